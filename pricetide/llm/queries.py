@@ -37,13 +37,145 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-@query("op1_ngram_jaccard_join")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query(
+    "op1_ngram_jaccard_join",
+    f"""
+    WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {SQL_WORDS}) AS ws FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM t WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+    FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
+    """,
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricetide.llm.jaccard_join import jaccard_components
 
     return jaccard_components(read(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.secrets import secret_digest
+
+    return secret_digest(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_exact_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 5
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from pricetide.llm.topk import exact_topk
+
+    return exact_topk(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query(
+    "op4_backoff_lm",
+    f"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SQL_WORDS}) AS ws FROM documents),
+    u AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, unnest(list_concat([NULL], ws[:len(ws) - 1])) AS p FROM t WHERE len(ws) > 0),
+    total AS (SELECT count(*) AS n FROM u),
+    c AS (
+      SELECT doc_id, n, i, w, p,
+        count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS cw,
+        count(*) OVER (PARTITION BY p, w) - count(*) OVER (PARTITION BY doc_id, p, w) AS cb FROM u),
+    x AS (SELECT *, lag(cw) OVER (PARTITION BY doc_id ORDER BY i) AS cp, p IS NOT NULL AND cb > 0 AS hit FROM c),
+    d AS (
+      SELECT doc_id, n,
+        sum(CASE WHEN hit THEN ln(cb) - ln(cp) ELSE ln(greatest(cw, 0.5)) - ln(greatest((SELECT n FROM total) - n, 1)) + CASE WHEN p IS NULL THEN 0 ELSE ln(0.4) END END) AS s,
+        count(*) FILTER (WHERE NOT hit) AS n_unigram, count(*) FILTER (WHERE NOT hit AND p IS NOT NULL) AS n_backoff
+      FROM x GROUP BY doc_id, n)
+    SELECT t.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_unigram, 0)::BIGINT AS n_unigram, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(coalesce(s, 0), 3) AS log_score
+    FROM t LEFT JOIN d USING (doc_id)
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from pricetide.llm.backoff_lm import backoff_scores
+
+    return backoff_scores(read(spark, sf_dir, "documents"), order=2).select("doc_id", "n_words", "n_unigram", "n_backoff", F.round("log_score", 3).alias("log_score"))
+
+
+@query("op5_bpe_trie")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.bpe import bpe_digest
+
+    return bpe_digest(read(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op6_compression_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.langid import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_mcd")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.quality import quality_verdicts
+
+    return quality_verdicts(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_stratified_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.sharding import shard_digest
+
+    return shard_digest(read(spark, sf_dir, "documents"), shards=16)
+
+
+@query("op9_nnls_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), vocabulary(), window=1024, closing=0)
+
+
+SQL_DIGITS = " || ".join(f"substr('{UPPER}234567', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s}) & 31)::INTEGER + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+
+
+@query(
+    "op10_warc_round_trip",
+    f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {SQL_DIGITS} AS payload_digest,
+      CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM m
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.warc import archive_round_trip
+
+    return archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
