@@ -28,7 +28,7 @@ from pricetide.llm import kernel as K
 from pricetide.llm.graph import connected_components
 from pricetide.session import cut
 
-BLOCK_ROWS, BLOCK_HASHES = 1024, 400_000  # of a tile's side
+BLOCK_ROWS, BLOCK_HASHES = 4096, 1_600_000  # of a tile's side; 64 bits a hash
 SEEN = 1_000_000  # sets that a task remembers, to send equal ones once
 GROWTH = 1.5  # of the size bands of step 2
 
