@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pricetide.llm import kernel as K
 from pricetide.session import cut
 
-CHUNK_BYTES = 16 << 20  # of text
+CHUNK_BYTES = 8 << 20  # of text
 ALPHA = 0.4
 
 _ENTRY = pa.schema([("range", pa.int64()), ("order", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
@@ -159,7 +159,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, chunk_
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("bigint")))
-    entries = dealt.groupBy("chunk").applyInArrow(_entries(order, chunks), _ENTRY_DDL)
+    entries = dealt.groupBy("chunk").applyInArrow(_entries(order, -(-chunks // 2)), _ENTRY_DDL)
     answers = entries.groupBy("range", "order").applyInArrow(_answers, _ANSWER_DDL)
     parts = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(order, alpha), _SCORE_DDL))
     words = parts.agg(F.sum("n_words")).first()[0] or 0
