@@ -1,12 +1,13 @@
 """Language identification by compression with per-language raw-content dictionaries.
 
-A text is compressed whole with each language's zstandard dictionary; the language of the smallest result is
-predicted, and the prediction is rejected where the second smallest is nearly as small. The dictionaries are raw
+A text in lower case, its letters' words parted by single spaces, is compressed whole, in blocks of ``BLOCK`` bytes, with
+each language's zstandard dictionary; the language of the smallest sum is predicted, and the prediction is rejected
+where the second smallest is nearly as small. The dictionaries are raw
 content: bounded samples of labelled texts (``SAMPLED`` texts of at most ``SAMPLE_BYTES`` each and ``DICT_BYTES`` in all
 a language, chosen by a hash of the row over all labelled rows), at most ``MOST_LANGUAGES`` of them, those with most rows.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0 and is rejected; null labels aren't learned from.
-Texts are compressed whole. Ties go to the first language in order of name. With no labelled row every text is ``und``.
+Ties go to the language learned from more rows. With no labelled row every text is ``und``.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import kernel as K
 
-SAMPLED, SAMPLE_BYTES, DICT_BYTES, MOST_LANGUAGES = 64, 4096, 112_000, 64
-LEVEL = 3
+SAMPLED, SAMPLE_BYTES, DICT_BYTES, MOST_LANGUAGES = 256, 1000, 112_000, 64
+LEVEL, BLOCK = 12, 4096
 MARGIN = 0.002
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
+_between = regex.compile(r"[^\p{L}\p{M}']+")
+
+
+def plain(text: str) -> bytes:
+    return f" {_between.sub(' ', text).lower()} ".encode()
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -41,16 +47,16 @@ def fit(docs: DataFrame, train: Column) -> dict[str, bytes]:
     least = known.where(F.col("lang").isin(langs)).groupBy("lang", cell.alias("cell")).agg(F.min("h").alias("h"))
     chosen = known.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("piece"))
     pieces = chosen.groupBy("lang", "h").agg(F.min("piece").alias("piece")).orderBy("lang", "h").collect()  # at most MOST_LANGUAGES * SAMPLED
-    out: dict[str, bytes] = {x: b"" for x in sorted(langs)}
+    out: dict[str, bytes] = {x: b"" for x in langs}  # those with most rows first
     for r in pieces:
-        out[r["lang"]] += r["piece"].encode() + b"\n"
+        out[r["lang"]] += plain(r["piece"])
     return {k: v[-DICT_BYTES:] for k, v in out.items() if v}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """docs (doc_id, text) with lang_pred, score and rejected; doc_id and text_tag are the only other columns."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_tag", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
-    names = sorted(dictionaries)
+    names = list(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presses = []
@@ -66,8 +72,9 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
                     score.append(0.0)
                     rejected.append(True)
                     continue
-                data = text.encode()
-                size = [len(p.compress(data)) for p in presses]
+                data = plain(text)
+                blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+                size = [sum(len(p.compress(x)) for x in blocks) for p in presses]
                 best = min(range(len(size)), key=size.__getitem__)
                 second = min((x for i, x in enumerate(size) if i != best), default=2 * size[best])
                 gap = (second - size[best]) / second
