@@ -26,19 +26,14 @@ def _running(n: str, *by: str, order: str) -> Column:
     return F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
 
 
-def ranked(rows: DataFrame, by: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
-    """rows with their rank from 0 within ``by``: buckets must rise with the order and hold few rows each."""
-    marked = rows.withColumn("_bucket", bucket)
-    counts = marked.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    whole = by or ["_all"]
-    first = (counts if by else counts.withColumn("_all", F.lit(0))).withColumn("_first", _running("_n", *whole, order="_bucket")).select(*by, "_bucket", "_first")
-    inner = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
-    out = marked.withColumn("_inner", inner)
-    same = [out[c].eqNullSafe(first[c]) for c in (*by, "_bucket")]
-    joined = out.join(first, on=same, how="inner")
-    for c in (*by, "_bucket"):
-        joined = joined.drop(first[c])
-    return joined.withColumn(name, F.col("_first") + F.col("_inner") - 1).drop("_bucket", "_first", "_inner")
+def ranked(rows: DataFrame, by: str | None, bucket: Column, order: list[str], name: str) -> DataFrame:
+    """rows with their rank from 0 within ``by`` (or all): buckets must rise with the order and hold few rows each."""
+    marked = rows.withColumn("_by", F.col(by) if by else F.lit(0)).withColumn("_bucket", bucket)
+    counts = marked.groupBy(F.col("_by").alias("_of"), F.col("_bucket").alias("_in")).agg(F.count("*").alias("_n"))
+    first = counts.withColumn("_first", _running("_n", "_of", order="_in")).drop("_n")
+    inner = marked.withColumn("_inner", F.row_number().over(Window.partitionBy("_by", "_bucket").orderBy(*order)))
+    joined = inner.join(first, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in")))
+    return joined.withColumn(name, F.col("_first") + F.col("_inner") - 1).drop("_by", "_of", "_bucket", "_in", "_first", "_inner")
 
 
 def interleave(rows: DataFrame, shards: int, seed: int, source: str = "source", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -50,10 +45,10 @@ def interleave(rows: DataFrame, shards: int, seed: int, source: str = "source",
     total = held.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
     by_hash = F.pmod(F.shiftrightunsigned("_h", 33), F.lit(1 << 31)) * F.lit(buckets) / F.lit(1 << 31)
-    inner = cut(ranked(held, [source], F.floor(by_hash).cast("bigint"), ["_h", *keys], "_rank"))
-    sizes = held.groupBy(source).agg(F.count("*").alias("_rows"))
-    mixed = inner.join(sizes, inner[source].eqNullSafe(sizes[source])).drop(sizes[source]).withColumn("_part", (F.col("_rank") + 0.5) / F.col("_rows"))
-    placed = ranked(mixed, [], F.floor(F.col("_part") * buckets).cast("bigint"), ["_part", "_h", *keys], "_at")
+    inner = cut(ranked(held, source, F.floor(by_hash).cast("bigint"), ["_h", *keys], "_rank"))
+    sizes = held.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_rows"))
+    mixed = inner.join(sizes, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumn("_part", (F.col("_rank") + 0.5) / F.col("_rows"))
+    placed = ranked(mixed, None, F.floor(F.col("_part") * buckets).cast("bigint"), ["_part", "_h", *keys], "_at")
     shard = F.expr(f"(_at * {shards}) div {max(total, 1)}")
     first = F.expr(f"((shard * {max(total, 1)}) + {shards - 1}) div {shards}")
     return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_at") - first).drop("_h", "_rank", "_rows", "_part", "_at")

@@ -166,7 +166,7 @@ def export_files(members: DataFrame, uri: str) -> DataFrame:
             for row in batch.to_pylist():
                 lines = "".join(f"{x['record_id'] or '-'} {x['offset']} {x['length']}\n" for x in row["index"])
                 for name, data in ((f"{row['archive']}.warc.gz", row["data"]), (f"{row['archive']}.idx", lines.encode())):
-                    with store.open_output_stream(f"{root}/.{name}") as f:
+                    with store.open_output_stream(f"{root}/.{name}", compression=None) as f:
                         f.write(data)
                     store.move(f"{root}/.{name}", f"{root}/{name}")
                 yield pa.RecordBatch.from_pylist([{"archive": row["archive"], "records": len(row["index"])}], schema=pa.schema([("archive", pa.string()), ("records", pa.int64())]))
