@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import kernel as K
 
-CACHED_UNITS = 400_000
+CACHED_UNITS, CACHED_FITS = 150_000, 250_000
+PIECE_CHARS = 1 << 20  # of texts whose units are held at a time
 LONG_UNIT = 200  # characters; longer units aren't kept
 # The vocabulary's way to cut a text into words, and to spell bytes as characters.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -78,7 +79,7 @@ class Vocabulary:
         """
         key = (left, right)
         if (known := self._fit.get(key)) is None:
-            if len(self._fit) > 1_000_000:
+            if len(self._fit) > CACHED_FITS:
                 self._fit.clear()
             a, b, i, j = self._edge(left, 1), self._edge(right, 0), 0, 0
             known = True
@@ -147,6 +148,16 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> Iterator[list]:
         """For each text the forms of its units, in order."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo + 1, len(texts[lo] or "")
+            while hi < len(texts) and size + len(texts[hi] or "") <= PIECE_CHARS:
+                size += len(texts[hi] or "")
+                hi += 1
+            yield from self._piece(texts[lo:hi])
+            lo = hi
+
+    def _piece(self, texts: list[str | None]) -> Iterator[list]:
         cut = [self._cut(t or "") for t in texts]
         if len(self.cache) > CACHED_UNITS:
             self.cache = {}
