@@ -54,20 +54,53 @@ def candidates(extractions: DataFrame, entities: DataFrame) -> DataFrame:
     return token_matches(blocking_tokens(extractions), texts, "property_id")
 
 
+def _filled(name: str) -> Column:
+    return F.coalesce(F.col(name) != "", F.lit(False))
+
+
+def keyed_extractions(extractions: DataFrame) -> DataFrame:
+    """(ext_id, e): what the score needs of an extraction, with names normalized once."""
+    shown = T.display_name("project_name", "building_name", "house_number", "name", "location_text")
+    e = F.struct(
+        T.keyed(T.clean_project_name(F.coalesce("project_name", "name"))).alias("project"),
+        T.keyed("building_name").alias("building"),
+        T.keyed("house_number").alias("unit"),
+        T.keyed(shown).alias("shown"),
+        (_filled("project_name") | _filled("building_name")).alias("tiered"),
+        F.col("type"),
+        F.col("area_m2"),
+    )
+    return extractions.select("ext_id", e.alias("e"))
+
+
+def keyed_entities(entities: DataFrame) -> DataFrame:
+    """(property_id, c): what the score needs of an entity."""
+    aliases = _strings("aliases")
+    known = F.concat(F.array(F.coalesce("project_name", "name"), F.col("name")), aliases)
+    identities = T.unique_text(F.concat(known, F.transform(known, T.clean_project_name)))
+    c = F.struct(
+        F.transform(identities, T.keyed).alias("identities"),
+        T.keyed("building_name").alias("building"),
+        T.keyed("house_number").alias("unit"),
+        F.transform(F.concat(F.array("name", "project_name"), aliases), T.keyed).alias("names"),
+        (_filled("project_name") & ~_filled("building_name") & ~_filled("house_number")).alias("whole"),
+        (_filled("project_name") | _filled("building_name")).alias("tiered"),
+        F.col("type"),
+        F.col("area_m2"),
+    )
+    return entities.select("property_id", c.alias("c"))
+
+
 def score() -> Column:
-    """Weighted score of an extraction (e) against an entity (c) in a joined frame of structs e and c."""
+    """Weighted score of a keyed extraction (e) against a keyed entity (c).
+
+    A candidate that is a whole project counts by its project; with a hierarchy on either side project, building, unit
+    and name count, without one the name alone. The type and an area within 10 % add a tenth each.
+    """
     e, c = (lambda n: F.col(f"e.{n}")), (lambda n: F.col(f"c.{n}"))
-    filled = lambda x: F.coalesce(x != "", F.lit(False))
-    aliases = F.coalesce(c("aliases"), F.array().cast(_NONE))
-    known = F.concat(F.array(F.coalesce(c("project_name"), c("name")), c("name")), aliases)
-    identities = T.unique_text(F.concat(known, F.transform(known, T.clean_project_name)))
-    project = T.max_text_sim(T.clean_project_name(F.coalesce(e("project_name"), e("name"))), identities)
-    building, unit = T.text_sim(e("building_name"), c("building_name")), T.text_sim(e("house_number"), c("house_number"))
-    shown = T.display_name(e("project_name"), e("building_name"), e("house_number"), e("name"), e("location_text"))
-    name = T.max_text_sim(shown, F.concat(F.array(c("name"), c("project_name")), aliases))
-    whole = filled(c("project_name")) & ~filled(c("building_name")) & ~filled(c("house_number"))
-    tiered = filled(e("project_name")) | filled(e("building_name")) | filled(c("project_name")) | filled(c("building_name"))
-    identity = F.when(whole, 0.76 * project + 0.14 * name).when(tiered, 0.42 * project + 0.22 * building + 0.18 * unit + 0.08 * name).otherwise(0.72 * name)
+    project, name = T.max_keyed_sim(e("project"), c("identities")), T.max_keyed_sim(e("shown"), c("names"))
+    building, unit = T.keyed_sim(e("building"), c("building")), T.keyed_sim(e("unit"), c("unit"))
+    identity = F.when(c("whole"), 0.76 * project + 0.14 * name).when(e("tiered") | c("tiered"), 0.42 * project + 0.22 * building + 0.18 * unit + 0.08 * name).otherwise(0.72 * name)
     same_type = F.coalesce((e("type") != "unknown") & (e("type") == c("type")), F.lit(False))
     same_area = F.coalesce((c("area_m2") > 0) & (F.abs(e("area_m2") - c("area_m2")) / c("area_m2") <= 0.1), F.lit(False))
     return identity + 0.1 * same_type.cast("double") + 0.1 * same_area.cast("double")
@@ -76,9 +109,7 @@ def score() -> Column:
 def ranked_candidates(extractions: DataFrame, entities: DataFrame, keep: int = KEEP) -> DataFrame:
     """(ext_id, property_id, score, rank): the best candidates of positive score."""
     pairs = candidates(extractions, entities)
-    e = extractions.select("ext_id", F.struct(*extractions.columns).alias("e"))
-    c = entities.select("property_id", F.struct(*entities.columns).alias("c"))
-    scored = pairs.join(e, "ext_id").join(c, "property_id").select("ext_id", "property_id", F.round(score(), 12).alias("score")).where("score > 0")
+    scored = pairs.join(keyed_extractions(extractions), "ext_id").join(keyed_entities(entities), "property_id").select("ext_id", "property_id", F.round(score(), 12).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("ext_id").orderBy(F.desc("score"), "property_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= keep)
 
