@@ -180,6 +180,14 @@ def _tiles(n: int, num: int, den: int):
     return run
 
 
+def _id():
+    return F.col("doc_id").cast("bigint")
+
+
+def _text():
+    return F.col("text").cast("string")
+
+
 def _assign(members: DataFrame, num: int, den: int) -> DataFrame:
     """Tiles of each member (node, tag, n, root): one for a small group, else pairs of blocks of like or neighbouring bands."""
     step = float(np.log(den / num * 1.02))
@@ -206,12 +214,13 @@ def _assign(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) for each row of docs (doc_id, text).
+    """(doc_id, tag, n_shingles, node, root, component_id) for each row of docs (doc_id, text).
 
     Sets of lower-case n-word shingles link when den * intersection >= num * union. component_id is the least doc_id
-    that links reach; documents of equal ``node`` have the same set.
+    that links reach, root names the component itself; documents of equal ``node`` have the same set, and rows of equal
+    ``tag`` the same id and text.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("doc_id", "text"))
+    rows = docs.select(_id().alias("doc_id"), _text().alias("text")).withColumn("tag", F.xxhash64("doc_id", "text"))
     sets = cut(rows.mapInArrow(_describe(n), "doc_id bigint, tag bigint, n_shingles bigint, node bigint"))
     keys = rows.select("text").mapInArrow(_keys(n, num, den), "key bigint, node bigint")
     least = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
@@ -222,20 +231,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(n, num, den), "a bigint, b bigint")
     linked = connected_components(links)
     least_id = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = least_id.join(least_id.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
+    named = least_id.join(least_id.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "root", "component_id")
     return (
         sets.join(named, "node", "left")
-        .select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "tag", "n_shingles", "node", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without near-duplicates: of each component the row of least doc_id stays, and all rows without shingles.
-
-    Rows that repeat a doc_id with a like text count as copies, one stays.
+    """docs without near-duplicates: of each component the row of least doc_id stays (null ids come last), and all rows
+    without shingles. Rows that repeat an id and a text count as copies, one stays.
     """
     marked = jaccard_components(docs, n, num, den)
-    first = marked.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
-    bare = marked.where("n_shingles = 0").select("doc_id").distinct()
-    unique = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
-    return unique.join(first.unionByName(bare).distinct(), "doc_id", "left_semi")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tag"))
+    chosen = marked.where("n_shingles > 0").groupBy("root").agg(F.min_by("tag", order).alias("tag")).select("tag")
+    bare = marked.where("n_shingles = 0").select("tag").distinct()
+    kept = docs.withColumn("_tag", F.xxhash64(_id(), _text())).join(chosen.unionByName(bare).withColumnRenamed("tag", "_tag"), "_tag", "left_semi")
+    return kept.dropDuplicates(["_tag"]).drop("_tag")

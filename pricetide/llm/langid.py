@@ -53,39 +53,41 @@ def fit(docs: DataFrame, train: Column) -> dict[str, bytes]:
     return {k: v[-DICT_BYTES:] for k, v in out.items() if v}
 
 
+class Judge:
+    """Predictions of texts with given dictionaries."""
+
+    def __init__(self, dictionaries: dict[str, bytes], margin: float):
+        self.names, self.margin, self.presses = list(dictionaries), margin, []
+        for content in dictionaries.values():
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=LEVEL)
+            self.presses.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def __call__(self, text: str | None) -> tuple[str, float, bool]:
+        """Label, score and whether the label is rejected."""
+        if not self.names or text is None or not _letter.search(text):
+            return UNKNOWN, 0.0, True
+        data = plain(text)
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        size = [sum(len(p.compress(x)) for x in blocks) for p in self.presses]
+        best = min(range(len(size)), key=size.__getitem__)
+        second = min((x for i, x in enumerate(size) if i != best), default=2 * size[best])
+        gap = (second - size[best]) / second
+        return self.names[best], min(1.0, max(0.0, gap)), gap < self.margin
+
+
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """docs (doc_id, text) with lang_pred, score and rejected; doc_id and text_tag are the only other columns."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_tag", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
-    names = list(dictionaries)
+    """(doc_id, lang_pred, score, rejected) for each row of docs (doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        presses = []
-        for name in names:
-            content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            presses.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+        judge = Judge(dictionaries, margin)
         for batch in batches:
-            label, score, rejected = [], [], []
-            for text in batch.column("text").to_pylist():
-                if not names or text is None or not _letter.search(text):
-                    label.append(UNKNOWN)
-                    score.append(0.0)
-                    rejected.append(True)
-                    continue
-                data = plain(text)
-                blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-                size = [sum(len(p.compress(x)) for x in blocks) for p in presses]
-                best = min(range(len(size)), key=size.__getitem__)
-                second = min((x for i, x in enumerate(size) if i != best), default=2 * size[best])
-                gap = (second - size[best]) / second
-                label.append(names[best])
-                score.append(min(1.0, max(0.0, gap)))
-                rejected.append(gap < margin)
-            yield K.table({"doc_id": batch.column("doc_id"), "text_tag": batch.column("text_tag"), "lang_pred": label, "score": score, "rejected": rejected}, schema)
-
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_tag"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_tag bigint, lang_pred string, score double, rejected boolean")
+            label, score, rejected = zip(*found, strict=True) if (found := [judge(t) for t in batch.column("text").to_pylist()]) else ([], [], [])
+            yield K.table({"doc_id": batch.column("doc_id"), "lang_pred": label, "score": score, "rejected": rejected}, schema)
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -94,8 +96,13 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language isn't rejected, with all their columns."""
-    bad = predict(docs, fit(docs, F.lit(True))).where("rejected").select("doc_id", "text_tag").distinct()
-    tagged = docs.withColumn("_tag", F.xxhash64(F.col("text").cast("string")))
-    return tagged.join(bad, tagged["doc_id"].eqNullSafe(bad["doc_id"]) & (tagged["_tag"] == bad["text_tag"]), "left_anti").drop("_tag")
+def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs (text, lang and others) whose language isn't rejected, with all their columns; no shuffle of texts."""
+    dictionaries = fit(docs, F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(dictionaries, margin)
+        for batch in batches:
+            yield batch.filter(pa.array([not judge(t)[2] for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -77,8 +77,8 @@ def test_long_text(docs, words):
 
 def test_keep_one(docs, words):
     a, b = " ".join(words(200, seed=1)), " ".join(words(200, seed=2))
-    rows = [(5, a), (3, a), (9, a + " tail"), (4, b), (4, b), (6, None), (7, "")]
-    assert sorted(r.doc_id for r in J.keep_one(docs(rows, extra=True)).collect()) == [3, 4, 6, 7]
+    rows = [(5, a), (3, a), (9, a + " tail"), (4, b), (4, b), (6, None), (7, ""), (None, "alone in the world of words"), (None, b)]
+    assert sorted((r.doc_id for r in J.keep_one(docs(rows, extra=True)).collect()), key=str) == [3, 4, 6, 7, None]
 
 
 def test_bitmap_bound_is_an_upper_bound():
