@@ -34,19 +34,29 @@ def pairs(predicted: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def align(scored: DataFrame) -> DataFrame:
-    """(case_id, p_id, e_id): expected ones in order take the best prediction left; the order makes it a grouped function."""
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for e_id, own in pdf.sort_values(["e_id", "score", "p_id"], ascending=[True, False, True]).groupby("e_id", sort=False):
-            for p_id in own["p_id"]:
-                if p_id not in taken:
+    """(case_id, p_id, e_id): expected ones in order take the best prediction left.
+
+    The order matters, so a case's pairs stay together, sorted, and are passed over once; only the predictions
+    that the current case has taken are held.
+    """
+
+    def greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        case, e_now, done, taken = None, None, False, set()
+        for pdf in frames:
+            out = []
+            for case_id, p_id, e_id in zip(pdf["case_id"], pdf["p_id"], pdf["e_id"], strict=True):
+                if case_id != case:
+                    case, e_now, taken = case_id, None, set()
+                if e_id != e_now:
+                    e_now, done = e_id, False
+                if not done and p_id not in taken:
+                    done = True
                     taken.add(p_id)
-                    out.append((pdf["case_id"].iloc[0], p_id, e_id))
-                    break
-        return pd.DataFrame(out, columns=["case_id", "p_id", "e_id"])
+                    out.append((case_id, p_id, e_id))
+            yield pd.DataFrame(out, columns=["case_id", "p_id", "e_id"])
 
-    return scored.groupBy("case_id").applyInPandas(greedy, "case_id string, p_id int, e_id int")
+    placed = scored.repartition("case_id").sortWithinPartitions("case_id", "e_id", F.desc("score"), "p_id")
+    return placed.select("case_id", "p_id", "e_id").mapInPandas(greedy, "case_id string, p_id int, e_id int")
 
 
 def field_accuracy(predicted: DataFrame, expected: DataFrame, matched: DataFrame) -> DataFrame:
