@@ -166,12 +166,13 @@ def random_spans(text: Column, accept: dict[tuple[str, int], float]) -> Column:
     return _matches(text, RUN, lambda pieces, found: let(F.transform(found, chosen), lambda ok: _located(pieces, found, 3, lambda i: F.get(ok, i - 1))))
 
 
-def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """docs with ``base_spans`` and ``all_spans`` (arrays of start, kind, end); such columns of docs are replaced."""
+def scan(docs: DataFrame, fdr: float = FDR, names: tuple[str, str] = ("base_spans", "all_spans")) -> DataFrame:
+    """docs with two columns ``names`` (arrays of start, kind, end): the patterns' spans and all; such columns are replaced."""
     accept = cutoffs(docs, fdr)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.withColumn("base_spans", base_spans(text)).withColumn("all_spans", random_spans(text, accept))
-    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", "all_spans")))
+    base, every = names
+    found = docs.withColumn(base, base_spans(text)).withColumn(every, random_spans(text, accept))
+    return found.withColumn(every, F.array_sort(F.concat(base, every)))
 
 
 def spelled(spans: Column) -> Column:
@@ -187,7 +188,8 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, fdr: float = FDR, mark: str = MARK) -> DataFrame:
     """docs with every span of its text replaced by a mark; spans that overlap get one."""
-    found = scan(docs, fdr)
+    base, every = "_base_spans", "_all_spans"
+    found = scan(docs, fdr, (base, every))
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -196,5 +198,5 @@ def redact(docs: DataFrame, fdr: float = FDR, mark: str = MARK) -> DataFrame:
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
 
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("all_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("all_spans") > 0, clean).otherwise(text)).drop("base_spans", "all_spans")
+    clean = F.aggregate(every, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    return found.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(text)).drop(base, every)
