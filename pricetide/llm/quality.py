@@ -31,6 +31,7 @@ LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SHARE = 0.75  # of a group that the estimate rests on
 STEPS = 4
 LEAST_GROUP = 60
+BROADCAST_GROUPS = 50_000  # rows of estimates, about 10 MB; beyond that they are joined by a shuffle
 TAIL = 1e-6  # of clean rows beyond the cutoff, were they normal
 SYMBOLS = b"#*$%&|<>"
 
@@ -150,13 +151,15 @@ def mcd_distances(rows: DataFrame, group: str, dims: int, floors: list[float], s
 
     quartiles = [F.percentile_approx(f"x{i}", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000).alias(f"q{i}") for i in range(dims)]
     params = cut(rows.groupBy(group).agg(*quartiles).mapInPandas(mapped(first), ddl))
+    few = params.count() <= BROADCAST_GROUPS
+    beside = lambda df: F.broadcast(df) if few else df  # noqa: E731  one row a group
     for _ in range(steps):
-        measured = rows.join(params, group).withColumn("d2", _distance(dims))
+        measured = rows.join(beside(params), group).withColumn("d2", _distance(dims))
         edge = measured.groupBy(group).agg(F.percentile_approx("d2", share, 1000).alias("edge"))
-        near = measured.join(edge, group).where("d2 <= edge")
+        near = measured.join(beside(edge), group).where("d2 <= edge")
         sums = near.groupBy(group).agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"m{i}") for i in range(dims)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in pairs))
         params = cut(sums.mapInPandas(mapped(again), ddl))
-    return rows.join(params, group).withColumn("d2", _distance(dims)).drop(*names)
+    return rows.join(beside(params), group).withColumn("d2", _distance(dims)).drop(*names)
 
 
 def quality_verdicts(docs: DataFrame, least_group: int = LEAST_GROUP, tail: float = TAIL) -> DataFrame:
