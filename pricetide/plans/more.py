@@ -8,8 +8,10 @@ from pricetide.operators import dedup as K
 from pricetide.operators import evaluate as V
 from pricetide.operators import ingest as I
 from pricetide.operators import resolve as R
+from pricetide.plans.gate import COMPLETE
 from pricetide.plans.registry import query
-from pricetide.sources.domain import OBS
+from pricetide.plans.text import RANKED, _resolution
+from pricetide.sources.domain import EXTRACTIONS, OBS, extractions
 
 def _null():
     return F.lit(None).cast("string")
@@ -128,3 +130,59 @@ def alignment(d):
     p, e = moved.select("case_id", F.col("id").alias("p_id"), F.col("price_vnd").alias("p")), base.select("case_id", F.col("id").alias("e_id"), F.col("price_vnd").alias("e"))
     both = matched.join(p, ["case_id", "p_id"]).join(e, ["case_id", "e_id"])
     return both.groupBy("case_id").agg(F.count("*").alias("matched"), F.count(F.when(V.price_matches(F.col("p"), F.col("e")), 1)).alias("price_right"))
+
+
+@query("S5_crawl_batches", """WITH b AS (SELECT source, doc_id, text FROM documents WHERE length(text) BETWEEN 200 AND 12000) SELECT source AS job_id, doc_id AS item_id, sha256(text) AS text_hash, length(text) AS n_chars FROM b""")
+def crawl_batches(d):
+    """Submissions as JSON text, one for each source and batch of ten items: parsed with a schema, exploded and checked for length."""
+    docs = K.batches(d.table("documents"), "source", 10, "doc_id")
+    sent = docs.groupBy("source", "batch").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("doc_id").alias("id"), "text")).alias("items"))).alias("body"))
+    items = sent.select("source", F.explode(F.from_json("body", "items array<struct<id: bigint, text: string>>", {"maxStringLen": "100000000"})["items"]).alias("i"))
+    return items.where(F.length("i.text").between(200, 12_000)).select(F.col("source").alias("job_id"), F.col("i.id").alias("item_id"), F.sha2("i.text", 256).alias("text_hash"), F.length("i.text").cast("bigint").alias("n_chars"))
+
+
+@query("A30_attachments", "SELECT conv_id, array_to_string(list('k' || turn ORDER BY turn) FILTER (WHERE length(text) % 2 = 0), ',') AS keys FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE length(text) % 2 = 0) > 0")
+def attachments(d):
+    key = F.concat(F.lit("k"), F.col("turn").cast("string"))
+    files = F.array(F.struct(F.when(F.length("text") % 2 == 0, key).alias("key"), F.lit("u").alias("url")), F.struct(F.lit("").alias("key"), F.lit("u").alias("url")))
+    found = I.attachments(d.table("conversations").withColumn("files", files), "conv_id", "turn", "files")
+    return found.where(F.size("attachments") > 0).select("conv_id", F.array_join(F.transform("attachments", lambda a: a["key"]), ",").alias("keys"))
+
+
+COMMITTED = f"""WITH {EXTRACTIONS}, ready AS (SELECT signal_id FROM ext GROUP BY 1 HAVING count(*) = count(*) FILTER (WHERE {COMPLETE})),
+t AS (SELECT conv_id, coalesce(string_agg(trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'user' AND trim(text) <> ''), '') AS x FROM conversations GROUP BY 1)
+SELECT conv_id AS session_id, 'session:' || conv_id AS source_ref, sha256(trim(x)) AS content_hash FROM t WHERE conv_id IN (SELECT signal_id FROM ready)"""
+
+
+@query("X8_session_commits", COMMITTED)
+def commits(d):
+    messages = d.table("conversations").withColumnRenamed("conv_id", "session_id")
+    sessions = messages.select("session_id").distinct().withColumn("status", F.lit("open"))
+    drafts = extractions(d).withColumnRenamed("signal_id", "session_id")
+    return I.committed(sessions, drafts, messages).select("session_id", "source_ref", "content_hash")
+
+
+@query("X9_research_records", "SELECT p_brand AS project, count(*) FILTER (WHERE p_type IN ('SMALL', 'PROMO')) AS facts, least(count(*), 5) AS evidence FROM part GROUP BY 1")
+def research(d):
+    scope = F.when(F.col("property_type") == "SMALL", "project").when(F.col("property_type") == "PROMO", "both").otherwise("building")
+    held = d.properties().groupBy("project").agg(F.collect_list(F.struct(scope.alias("applies_to"), F.col("name").alias("fact"))).alias("facts"), F.sort_array(F.collect_list("property_id")).alias("evidence"))
+    return held.select("project", I.research_record("project", "facts", "evidence").alias("r")).select("project", F.size("r.facts").cast("bigint").alias("facts"), F.size("r.evidence").cast("bigint").alias("evidence"))
+
+
+@query("R13_applied_hierarchies", "SELECT p_partkey AS ext_id, 'Project ' || p_brand AS project_name, 'Project ' || p_brand || ' / ' || p_type AS name, p_name AS alias FROM part WHERE p_size > 20")
+def applied(d):
+    none = _null()
+    ext = d.properties().where("size > 20").select(F.col("property_id").alias("ext_id"), "name", none.alias("project_name"), none.alias("building_name"), none.alias("house_number"), none.alias("location_text"), F.array().cast("array<string>").alias("aliases"), F.col("project"), F.col("property_type").alias("kind"))
+    chosen = ext.select("ext_id", F.concat(F.lit("Project "), "project").alias("full"), "kind").select("ext_id", F.concat(F.lit(""), "full").alias("project_name"), F.col("kind").alias("building_name"))
+    out = R.apply_hierarchy(ext.drop("project", "kind"), chosen)
+    return out.select("ext_id", "project_name", F.concat_ws(" / ", "project_name", "building_name").alias("name"), F.element_at("aliases", 1).alias("alias"))
+
+
+@query("R8_P13_persist_decisions", f"""WITH {RANKED}, g AS (SELECT s_suppkey AS ext_id, CASE WHEN s_nationkey % 5 = 0 THEN 'unknown' ELSE 'sale' END AS listing, CASE WHEN s_nationkey % 7 = 0 THEN NULL ELSE s_suppkey END AS price, (100 - s_nationkey * 3) / 100.0::DOUBLE AS confidence FROM supplier),
+b AS (SELECT ext_id, score FROM k WHERE rank = 1), j AS (SELECT g.*, coalesce(score, 0) AS best, CASE WHEN confidence < 0.4 THEN 'low' WHEN listing = 'unknown' THEN 'listing' WHEN price IS NULL THEN 'price' END AS reason FROM x JOIN g USING (ext_id) LEFT JOIN b USING (ext_id))
+SELECT ext_id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN best >= 0.45 AND best < 0.8 OR confidence < 0.6 THEN 'review' WHEN best >= 0.8 THEN 'linked' ELSE 'created' END AS outcome FROM j""")
+def persisted(d):
+    ext, ent = _resolution(d)
+    s = d.table("supplier").select(F.col("s_suppkey").alias("ext_id"), F.when(F.col("s_nationkey") % 5 == 0, "unknown").otherwise("sale").alias("listing_type"), F.when(F.col("s_nationkey") % 7 != 0, F.col("s_suppkey")).alias("price_vnd"), ((100 - F.col("s_nationkey") * 3) / F.lit(100.0)).alias("confidence"))
+    parents = d.spark.createDataFrame([], "name_normalized string")
+    return R.persist_decisions(ext.join(s, "ext_id"), ent, parents).select("ext_id", "outcome")
