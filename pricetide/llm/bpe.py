@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import kernel as K
 
-CACHED_UNITS, CACHED_FITS = 150_000, 250_000
+CACHED_UNITS, CACHED_FITS = 200_000, 250_000  # of units twice as many, in two generations
 PIECE_CHARS = 1 << 20  # of texts whose units are held at a time
 LONG_UNIT = 200  # characters; longer units aren't kept
 # The vocabulary's way to cut a text into words, and to spell bytes as characters.
@@ -142,7 +142,7 @@ class Encoder:
     """Encodes texts unit by unit; ``form`` makes what is kept of a unit from its ids."""
 
     def __init__(self, path: str, form):
-        self.vocabulary, self.form, self.cache = Vocabulary(path), form, {}
+        self.vocabulary, self.form, self.cache, self.older = Vocabulary(path), form, {}, {}
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self._special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
@@ -160,9 +160,12 @@ class Encoder:
     def _piece(self, texts: list[str | None]) -> Iterator[list]:
         cut = [self._cut(t or "") for t in texts]
         if len(self.cache) > CACHED_UNITS:
-            self.cache = {}
-        new = set().union(*cut).difference(self.cache)
-        special, held = self.vocabulary.special, self.cache
+            self.older, self.cache = self.cache, {}
+        special, held, older = self.vocabulary.special, self.cache, self.older
+        new = set().union(*cut).difference(held)
+        known = new.intersection(older)
+        held.update((u, older[u]) for u in known)  # what is still in use stays
+        new -= known
         split = {u: [w.encode() for w in _word.findall(u)] for u in new if u not in special}
         coded = self.vocabulary.encode_words({w for found in split.values() for w in found})
         form = {u: self.form(self.vocabulary, [i for w in found for i in coded[w]]) for u, found in split.items()}
