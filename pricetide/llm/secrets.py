@@ -1,8 +1,9 @@
 """Secret scans by patterns and by a randomness test battery; DataFrame functions only.
 
 Patterns find assignments, access keys and hex runs. The battery takes every maximal run of 20 or more characters of
-``[A-Za-z0-9+/=_-]`` that mixes letters and digits, infers its encoding (hex, base32, base36 or base64) and tests its
-symbols against random ones: chi-squared uniformity over the alphabet, runs above and below the middle, and serial
+``[A-Za-z0-9+/_-]`` that mixes letters and digits, with '=' at its end only (so the value of NAME=value is a run of its
+own), infers its encoding (hex and lower-case base36, each whole or parted by '-' and '_', base32 or base64) and tests
+its symbols against random ones: chi-squared uniformity over the alphabet, runs above and below the middle, and serial
 correlation. Fisher's method joins the three into one p-value, which is uniform for random strings and small for others.
 
 False-discovery control is by encoding and length band over all runs of the table: p-values above a half estimate how
@@ -26,18 +27,21 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # 16 characters in all
 HEX = r"[0-9a-f]{32,}"
 LEAST_VALUE = 8
-RUN = r"[A-Za-z0-9+/=_-]{20,}"
+RUN = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/=_-]))?"  # '=' only as padding at the end: NAME=value is cut in two
 FDR = 0.05
 BINS = 200
 MARK = "<SECRET>"
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Alphabets by encoding: the pattern that infers it, and its symbols in order.
+#: Alphabets by encoding: the pattern that infers it (the first that fits), and its symbols in order. What isn't in the
+#: alphabet (padding, and the '-' and '_' of the parted ones) is in the span but isn't tested.
 ENCODINGS = {
-    "hex": (r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    "hex": (r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)=*$", "0123456789abcdef"),
+    "hex_parted": (r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f_-]+|[0-9A-F_-]+)=*$", "0123456789abcdef"),
     "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", _UPPER + "234567"),
-    "base36": (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "0123456789" + _UPPER.lower()),
+    "base36": (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+=*$", "0123456789" + _UPPER.lower()),
+    "base36_parted": (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9_-]+=*$", "0123456789" + _UPPER.lower()),
     "base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+=*$", _UPPER + _UPPER.lower() + "0123456789+/"),
 }
 
@@ -90,7 +94,7 @@ def p_random(run: Column) -> Column:
     def battery(name: str, alphabet: str) -> Column:
         size = len(alphabet)
         symbols = F.rtrim(F.translate(run, "=-_", " +/"))
-        if name == "hex":
+        if name.startswith("hex"):
             symbols = F.lower(symbols)
         codes = F.transform(F.split(symbols, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
         return let(F.filter(codes, lambda x: x >= 0), lambda x: F.struct(F.lit(name).alias("encoding"), F.size(x).alias("length"), _joined(x, size).alias("p")))

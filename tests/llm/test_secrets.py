@@ -61,6 +61,18 @@ def test_random_runs_are_found_and_words_are_not(docs, words):
     assert not any("random" in got[i] for i in range(300, 600))
 
 
+def test_values_after_names_and_parted_lower_case_are_found(docs):
+    r = random.Random(8)
+    pick = lambda n, symbols: "".join(r.choice(symbols) for _ in range(n))
+    lower, hexes = "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    mixed = lower + lower[:26].upper()
+    forms = [lambda: ("AUTH_KEY=", pick(40, mixed)), lambda: ("?sig=", pick(40, mixed) + "=="), lambda: ("x=", pick(40, lower)), lambda: ("key ", "sk_live_" + pick(24, lower)), lambda: ("id=", "-".join(pick(n, hexes) for n in (8, 4, 4, 4, 12)))]
+    rows = [(i * 100 + j, *f()) for i, f in enumerate(forms) for j in range(100)]
+    got = {x.doc_id: x.spans for x in S.secret_digest(docs([(i, f"see {name}{value} end") for i, name, value in rows])).collect()}
+    for f in range(len(forms)):
+        assert sum(f"random:{4 + len(name)}:{4 + len(name) + len(value)}" in got[i] for i, name, value in rows if i // 100 == f) >= 80, f
+
+
 def test_redaction(docs):
     text = "é token=abcdefgh1 mid " + "0123456789abcdef" * 2 + " end"
     out = {r.doc_id: r.text for r in S.redact(docs([(1, text), (2, "clean"), (3, None), (4, "")])).collect()}
