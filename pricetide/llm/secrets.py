@@ -8,7 +8,9 @@ correlation. Fisher's method joins the three into one p-value, which is uniform
 
 False-discovery control is by encoding and length band over all runs of the table: p-values above a half estimate how
 many runs are random, what lies above a cutoff beyond the share that random runs explain is taken as false, and the
-smallest cutoff with at most ``FDR`` false ones is used. Where no cutoff does, the band adds nothing.
+smallest cutoff with at most ``FDR`` false ones, and one more, is used. Where only the one more stands against all cutoffs,
+it isn't counted. Bands of too few runs for any cutoff (under 1 / ``FDR``) are pooled by encoding; where these are too few
+as well, ``LEAST_P`` is the cutoff, which holds no false discovery rate. So every band has a decision.
 
 Spans are (start, end) in code points, end exclusive. A null text is an empty one, without spans. Rows are independent
 but for the cutoffs, so repeated rows, ties and extra columns need nothing more; empty tables give no rows.
@@ -30,6 +32,8 @@ LEAST_VALUE = 8
 RUN = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/=_-]))?"  # '=' only as padding at the end: NAME=value is cut in two
 FDR = 0.05
 BINS = 200
+LEAST_P = 0.05  # random runs are above it 19 times of 20
+NONE = 2.0  # a cutoff above all p
 MARK = "<SECRET>"
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -142,14 +146,37 @@ def cutoffs(docs: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], float]:
     held: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0] * BINS)
     for r in bins.groupBy("encoding", "band", "bin").count().collect():  # encodings x bands x bins
         held[r["encoding"], r["band"]][r["bin"]] = r["count"]
-    out = {}
+    return decided(held, fdr)
+
+
+def _cutoff(count: list[int], fdr: float, spare: int) -> float:
+    """The least p with at most a share ``fdr`` of false runs, ``spare`` counted besides; above 1 where there is none."""
+    random = min(2 * sum(count[BINS // 2 :]), sum(count))
+    for k in range(BINS):
+        accepted = sum(count[k:])
+        if accepted and max(0, accepted - random * (1 - k / BINS)) + spare <= fdr * accepted:
+            return k / BINS
+    return NONE
+
+
+def _least(count: list[int], fdr: float) -> float:
+    if sum(count) * fdr < 1:
+        return LEAST_P
+    least = _cutoff(count, fdr, 1)
+    return least if least < NONE else max(LEAST_P, _cutoff(count, fdr, 0))
+
+
+def decided(held: dict[tuple[str, int], list[int]], fdr: float = FDR) -> dict[tuple[str, int], float]:
+    """A cutoff for every band of held (runs by bin of p): bands of too few runs share their encoding's."""
+    out, small = {}, defaultdict(list)
     for key, count in held.items():
-        random = min(2 * sum(count[BINS // 2 :]), sum(count))
-        for k in range(BINS):
-            accepted = sum(count[k:])
-            if accepted and max(0, accepted - random * (1 - k / BINS)) + 1 <= fdr * accepted:
-                out[key] = k / BINS
-                break
+        if sum(count) * fdr < 1:
+            small[key[0]].append(key)
+        else:
+            out[key] = _least(count, fdr)
+    for keys in small.values():
+        pool = [sum(x) for x in zip(*(held[k] for k in keys), strict=True)]
+        out |= dict.fromkeys(keys, max(LEAST_P, _least(pool, fdr)))
     return out
 
 

@@ -73,6 +73,35 @@ def test_values_after_names_and_parted_lower_case_are_found(docs):
         assert sum(f"random:{4 + len(name)}:{4 + len(name) + len(value)}" in got[i] for i, name, value in rows if i // 100 == f) >= 80, f
 
 
+def test_small_bands_have_a_decision(docs):
+    r = random.Random(9)
+    pick = lambda n, symbols: "".join(r.choice(symbols) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    runs = [pick(n, mixed) for n in (24, 40, 80, 160) for _ in range(4)] + [pick(32, mixed[:26] + "234567") for _ in range(8)] + [pick(24, "0123456789abcdef") for _ in range(8)]
+    rows = [(i, f"see {run} end") for i, run in enumerate(runs)] + [(900 + i, "see " + ("Thing1" * 8)[:n] + " here") for i, n in enumerate((24, 40, 42))]
+    got = {x.doc_id: x.spans for x in S.secret_digest(docs(rows)).collect()}
+    assert sum(f"random:4:{4 + len(run)}" in got[i] for i, run in enumerate(runs)) >= 26
+    assert not any("random" in got[i] for i in range(900, 903))
+    clean = {x.doc_id: x.text for x in S.redact(docs(rows)).collect()}
+    assert sum(clean[i] == "see <SECRET> end" for i in range(len(runs))) >= 26
+
+
+def test_cutoffs_of_few_random_runs():
+    r = random.Random(4)
+
+    def bins(values):
+        count = [0] * S.BINS
+        for v in values:
+            count[int(v * S.BINS)] += 1
+        return count
+
+    few, thirty, words = bins(r.random() for _ in range(10)), bins([i / 40 for i in range(30)]), bins(r.random() / 100 for _ in range(1000))
+    out = S.decided({("hex", 0): few, ("base64", 0): thirty, ("base32", 0): words, ("base36", 0): bins([0.001] * 12), ("base36", 1): bins([0.001] * 12)})
+    assert out["hex", 0] == S.LEAST_P
+    assert out["base64", 0] < 0.5
+    assert min(out["base32", 0], out["base36", 0], out["base36", 1]) > 0.01
+
+
 def test_redaction(docs):
     text = "é token=abcdefgh1 mid " + "0123456789abcdef" * 2 + " end"
     out = {r.doc_id: r.text for r in S.redact(docs([(1, text), (2, "clean"), (3, None), (4, "")])).collect()}
