@@ -4,7 +4,8 @@ A text in lower case, its letters' words parted by single spaces, is compressed
 each language's zstandard dictionary; the language of the smallest sum is predicted, and the prediction is rejected
 where the second smallest is nearly as small. The dictionaries are raw
 content: bounded samples of labelled texts (``SAMPLED`` texts of at most ``SAMPLE_BYTES`` each and ``DICT_BYTES`` in all
-a language, chosen by a hash of the row over all labelled rows), at most ``MOST_LANGUAGES`` of them, those with most rows.
+a language, chosen by a hash of the row over all labelled rows). Every labelled language is learned: beyond
+``FULL_LANGUAGES`` of them, these bounds shrink in proportion, so that all samples and dictionaries stay within the same bytes.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0 and is rejected; null labels aren't learned from.
 Ties go to the language learned from more rows. With no labelled row every text is ``und``.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import kernel as K
 
-SAMPLED, SAMPLE_BYTES, DICT_BYTES, MOST_LANGUAGES = 256, 1000, 112_000, 64
+SAMPLED, SAMPLE_BYTES, DICT_BYTES, FULL_LANGUAGES = 256, 1000, 112_000, 64
 LEVEL, BLOCK = 12, 4096
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -41,16 +42,23 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, train: Column) -> dict[str, bytes]:
     """A dictionary for each language of docs (doc_id, text, lang), from rows where ``train`` holds."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", F.lit("sample")).alias("h"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    langs = [r["lang"] for r in sizes]
-    cell = F.pmod("h", F.lit(SAMPLED))
-    least = known.where(F.col("lang").isin(langs)).groupBy("lang", cell.alias("cell")).agg(F.min("h").alias("h"))
-    chosen = known.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("piece"))
-    pieces = chosen.groupBy("lang", "h").agg(F.min("piece").alias("piece")).orderBy("lang", "h").collect()  # at most MOST_LANGUAGES * SAMPLED
+    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    sampled, sample_bytes, dict_bytes = bounds(len(langs))
+    cell = F.pmod("h", F.lit(sampled))
+    least = known.groupBy("lang", cell.alias("cell")).agg(F.min("h").alias("h"))
+    chosen = known.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "h", F.substring("text", 1, sample_bytes).alias("piece"))
+    pieces = chosen.groupBy("lang", "h").agg(F.min("piece").alias("piece")).orderBy("lang", "h").collect()  # at most FULL_LANGUAGES * SAMPLED, or one a language
     out: dict[str, bytes] = {x: b"" for x in langs}  # those with most rows first
     for r in pieces:
         out[r["lang"]] += plain(r["piece"])
-    return {k: v[-DICT_BYTES:] for k, v in out.items() if v}
+    return {k: v[-dict_bytes:] for k, v in out.items() if v}
+
+
+def bounds(languages: int) -> tuple[int, int, int]:
+    """Texts, bytes of a text and bytes of a dictionary for each of so many languages."""
+    most = max(FULL_LANGUAGES, languages)
+    sampled = max(1, SAMPLED * FULL_LANGUAGES // most)
+    return sampled, max(1, min(SAMPLE_BYTES, SAMPLED * SAMPLE_BYTES * FULL_LANGUAGES // (most * sampled))), max(1, DICT_BYTES * FULL_LANGUAGES // most)
 
 
 class Judge:

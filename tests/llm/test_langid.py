@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import pytest
@@ -44,6 +45,26 @@ def test_long_text(docs, words):
     assert {r.doc_id: r.lang_pred for r in langid.identify(docs(rows)).collect()}[500] == "de"
 
 
+def test_every_labelled_language_is_learned(docs):
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    parts = {f"l{k:02d}": ["".join(r.choice(letters) for _ in range(3)) for _ in range(12)] for k in range(70)}
+    text = lambda lang: " ".join("".join(r.choice(parts[lang]) for _ in range(r.randint(1, 3))) for _ in range(60))
+    rows = [(k * 100 + i, text(lang), lang, "s") for k, lang in enumerate(parts) for i in range(9 if k < 64 else 6)]
+    df = docs(rows)
+    assert set(langid.fit(df, langid.F.lit(True))) == set(parts)
+    got = {x.doc_id: x for x in langid.identify(df).collect()}
+    rare = [(i, lang) for i, _, lang, _ in rows if i >= 6400 and got[i].held_out]
+    assert rare and all(got[i].lang_pred == lang and not got[i].rejected for i, lang in rare)
+
+
+def test_bounds_keep_the_bytes():
+    assert langid.bounds(0) == langid.bounds(4) == langid.bounds(64) == (256, 1000, 112_000)
+    for n in (65, 100, 1000, 20_000, 200_000):
+        sampled, text, held = langid.bounds(n)
+        assert sampled * text * n <= 64 * 256 * 1000 and held * n <= 64 * 112_000 and min(sampled, text, held) > 0
+
+
 @pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
 def test_held_out_accuracy(spark):
     df = spark.read.parquet(SF)
