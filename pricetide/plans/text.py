@@ -190,6 +190,18 @@ def entity_search(d):
     return R.search_entities(wanted, projects, buildings, buildings.where("false"))
 
 
+@query("R9_U1_hierarchy_search", f"""WITH t AS (SELECT s_suppkey AS ext_id, unnest(list_distinct({TOKENS.format(NORM.format("concat_ws(' ', p_name, p_type)"))})) AS token FROM supplier JOIN part ON p_partkey = s_suppkey),
+h AS (SELECT DISTINCT ext_id, 0 AS place, 'project' AS entity_type, p_brand AS id, p_brand AS name FROM t JOIN (SELECT DISTINCT p_brand FROM part) ON contains({NORM.format('p_brand')}, token)
+  UNION ALL SELECT DISTINCT ext_id, 1, 'building', p_type, p_type FROM t JOIN (SELECT DISTINCT p_type FROM part) ON contains({NORM.format('p_type')}, token)
+  UNION ALL SELECT DISTINCT ext_id, 2, 'property', p_partkey::VARCHAR, p_name FROM t JOIN part ON contains({NORM.format('p_name')}, token)),
+r AS (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY place, name, id) AS k FROM h) SELECT ext_id, entity_type, id, name FROM r WHERE k <= 8""")
+def hierarchy_search(d):
+    p = d.properties()
+    wanted = d.table("supplier").join(p, F.col("s_suppkey") == F.col("property_id")).select(F.col("s_suppkey").alias("ext_id"), F.explode(F.array_distinct(T.tokens(T.normalize_name(F.concat_ws(" ", "name", "property_type"))))).alias("token"))
+    named = lambda x: p.select(F.col(x).alias("id"), F.col(x).alias("name")).distinct()
+    return R.search_entities(wanted, named("project"), named("property_type"), p.select(F.col("property_id").alias("id"), "name"))
+
+
 @query("R11_R12_W13_chosen_hierarchy", """WITH n AS (SELECT DISTINCT p_name FROM part), s AS (SELECT a.p_name AS ext, b.p_name AS name, CASE WHEN a.p_name = b.p_name THEN 1.0 WHEN contains(a.p_name, b.p_name) OR contains(b.p_name, a.p_name) THEN 0.86
   ELSE len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.p_name, ' ')))) END AS score FROM n a, n b)
 SELECT ext AS ext_id, name AS project_name, round(score::DOUBLE, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY score DESC, name) AS k, lead(score) OVER (PARTITION BY ext ORDER BY score DESC, name) AS nxt FROM s) WHERE k = 1 AND score >= 0.72 AND (nxt IS NULL OR score - nxt >= 0.12)""")

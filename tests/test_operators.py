@@ -1,6 +1,7 @@
 """Expectations of operators on small tables."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,3 +281,12 @@ def test_evaluation(spark):
     acc = {r.field: (r.accuracy, r.n) for r in V.field_accuracy(predicted, expected, matched).collect()}
     assert acc["price"] == (1.0, 2) and acc["area"] == (0.5, 2) and acc["location"] == (1.0, 1)
     assert tuple(spark.range(1).select(*V.detection(0, 0, 0)).first()) == (1.0, 1.0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_hierarchy_search_reaches_every_property(spark):
+    from pricetide.plans import catalog
+
+    found = catalog.queries["R9_U1_hierarchy_search"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.entity_type for r in found} >= {"building", "property"}
+    assert max(sum(r.ext_id == x for r in found) for x in {r.ext_id for r in found}) == 8
