@@ -104,6 +104,16 @@ def frontier(d):
     return P.frontier(edges, d.spark.range(1).select(F.col("id").alias("url")), 4)
 
 
+ALL_EDGES = "e AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst FROM orders)"
+
+
+@query("E10_whole_link_frontier", f"WITH RECURSIVE {ALL_EDGES}, r(url, depth) AS (SELECT min(o_custkey)::BIGINT, 0 FROM orders UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY url")
+def whole_frontier(d):
+    o = d.table("orders")
+    edges = o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")).distinct()
+    return P.frontier(edges, o.agg(F.min("o_custkey").cast("bigint").alias("url")), 4)
+
+
 @query("E11_minimum_yield", "SELECT source, count(*) AS items, count(*) < 50 AS failed FROM documents GROUP BY source")
 def minimum(d):
     return d.table("documents").groupBy("source").agg(F.count("*").alias("items")).withColumn("failed", F.col("items") < 50)

@@ -290,3 +290,13 @@ def test_hierarchy_search_reaches_every_property(spark):
     found = catalog.queries["R9_U1_hierarchy_search"](spark, "/root/testdata/sf0.001").collect()
     assert {r.entity_type for r in found} >= {"building", "property"}
     assert max(sum(r.ext_id == x for r in found) for x in {r.ext_id for r in found}) == 8
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_frontier_and_pointers_go_over_whole_keys(spark):
+    from pricetide.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    part = {r[0] for r in spark.read.parquet(f"{folder}/lineitem.parquet").where("l_returnflag <> 'R' and l_partkey > 0").select("l_partkey").distinct().collect()}
+    assert {r.id for r in catalog.queries["D10_undone_pointer_chase"](spark, folder).select("id").collect()} == part
+    assert catalog.queries["E10_whole_link_frontier"](spark, folder).agg(F.max("url")).first()[0] > 997
