@@ -1,6 +1,6 @@
 """Packing token sequences into windows: repeat counts of length combinations by non-negative least squares.
 
-1. Each document's ids and a closing id are cut at multiples of the window; what is left over is its last piece.
+1. Texts are encoded whole. Each document's ids and a closing id are cut at multiples of the window; what is left over is its last piece.
 2. The histogram of piece lengths has at most ``window`` entries. Shallow combinations of lengths that fill a window
    exactly (one full piece, all pairs, triples with one length on a grid) are the columns of a non-negative least
    squares problem with the histogram as its right side; an accelerated projected gradient solves it.
@@ -16,26 +16,57 @@ give no rows; other columns of docs are not looked at.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricetide.llm import kernel as K
-from pricetide.llm.bpe import Vocabulary, encoder
+from pricetide.llm.bpe import Vocabulary, as_list, encoder
 from pricetide.session import cut
 
 GRID = 32  # one length of a triple is a multiple of this
 ROUNDS = 400
-CELL_ROWS = 20_000  # pieces ranked together
+CELL_ROWS, LEAST_CELL = 20_000, 50  # pieces ranked together: a thousandth of all within these bounds
+RANKS = 1 << 44  # more than there are pieces of a length
+#: Fixed value: the vocabulary's way to cut a text into words, written so that the matcher need not step back.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
-def as_words32(vocabulary: Vocabulary, ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+class Ids:
+    """Token ids of whole texts by merge ranks, for vocabularies whose ids rise with the rank of their merges.
+
+    There, merging the adjacent pair of least id is what the vocabulary's own merges do (tests hold this against the
+    tokenizers library). Other vocabularies, and texts on which the splitting pattern gives up (very long runs of white
+    space), take the trie of ``bpe``, which has the same ids.
+    """
+
+    def __init__(self, path: str):
+        self.path, known = path, Vocabulary(path)
+        special = set(known.special.values())
+        ranks = {b: i for i, b in known.bytes.items() if i not in special}
+        merged = [ranks[known.bytes[a] + known.bytes[b]] for a, b in known.rank]
+        rising = all(x < y for x, y in zip(merged, merged[1:], strict=False)) and all(bytes([b]) in ranks for b in range(256))
+        self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=known.special) if rising else None
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if self.fast:
+            try:
+                return self.fast.encode_to_numpy(text or "", allowed_special="all")
+            except ValueError:
+                pass
+        return np.array([i for unit in next(encoder(self.path, as_list).batch([text])) for i in unit], np.uint32)
+
+
+@cache
+def ids_of(path: str) -> Ids:
+    return Ids(path)
 
 
 def tokenised_pieces(docs: DataFrame, vocabulary: str, window: int, closing: int, with_ids: bool = False) -> DataFrame:
@@ -44,12 +75,11 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, window: int, closing: int
     schema = pa.schema([*fields, ("ids", pa.binary())] if with_ids else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(vocabulary, as_words32), array("I", [closing]).tobytes()
+        coder, end = ids_of(vocabulary), np.array([closing], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
-            for doc, found in zip(batch.column("doc_id").to_pylist(), coder.batch(batch.column("text").to_pylist()), strict=True):
-                found.append(end)
-                data = b"".join(found)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                data = coder(text.as_py()).astype("<u4", copy=False).tobytes() + end
                 for at in range(0, len(data), 4 * window):
                     piece = data[at : at + 4 * window]
                     out["doc_id"].append(doc)
@@ -148,19 +178,29 @@ def pack(pieces: DataFrame, window: int) -> DataFrame:
     for lengths, n in plan(histogram, window):
         offset = 0
         for length in lengths:
-            slots.append((length, ranked[length], ranked[length] + n, sequence - ranked[length], offset))
+            slots.append((length, ranked[length], sequence - ranked[length], offset))
             ranked[length] += n
             offset += length
         sequence += n
-    slots_df = spark.createDataFrame(slots, "length bigint, low bigint, high bigint, shift bigint, offset bigint")
-    salts = spark.createDataFrame([(k, -(-n // CELL_ROWS)) for k, n in histogram.items()], "length bigint, salts bigint")
+    place = np.array(sorted(slots), np.int64).reshape(-1, 4)  # as many rows as the plan has lengths
+    firsts = place[:, 0] * RANKS + place[:, 1]
+    cell = min(CELL_ROWS, max(LEAST_CELL, sum(histogram.values()) // 1000))
+    salts = spark.createDataFrame([(k, -(-n // cell)) for k, n in histogram.items()], "length bigint, salts bigint")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), "salts"))
     cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = cells.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
     ranked_df = salted.withColumn("inner", inner).join(before.select("length", "salt", "before"), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("inner") - 1)
-    placed = ranked_df.join(F.broadcast(slots_df), (ranked_df["length"] == slots_df["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).drop(slots_df["length"])
-    return placed.withColumn("sequence_id", F.col("rank") + F.col("shift")).select(*pieces.columns, "sequence_id", "offset")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = batch.column("rank").to_numpy()
+            at = np.searchsorted(firsts, batch.column("length").to_numpy() * RANKS + rank, "right") - 1
+            kept = [batch.column(c) for c in schema.names[:-2]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rank + place[at, 2]), pa.array(place[at, 3])], schema.names)
+
+    return ranked_df.select(*pieces.columns, "rank").mapInArrow(placed, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, closing: int = 0) -> DataFrame:

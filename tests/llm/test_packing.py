@@ -78,3 +78,33 @@ def test_least_squares_meets_a_solvable_histogram():
             again[k] += n
     again[0] = 0
     assert (x >= 0).all() and np.abs(again - histogram).max() < 0.02 * histogram.max()
+
+
+def test_rank_ids_are_those_of_the_library_and_of_the_trie():
+    from pricetide.llm import bpe
+
+    r, library, ranks = random.Random(4), Tokenizer.from_file(PATH), P.ids_of(PATH)
+    assert ranks.fast
+    parts = [b.decode("utf-8", "ignore") for b in list(bpe.Vocabulary(PATH).bytes.values())[::7]] + ["a" * 9, "=" * 5, "aaaa", " ", "\n", "\t\t", "　", "\x85", "'s", "<|endoftext|>", "0" * 7, "é", "\U0001f600"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    texts += [c * n for c in ("a", "A", "=", "-", "0", "ab", " ", "\n") for n in range(1, 60)] + [None, ""]
+    trie = bpe.encoder(PATH, bpe.as_list)
+    for text, units in zip(texts, trie.batch(texts), strict=True):
+        assert ranks(text).tolist() == library.encode(text or "", add_special_tokens=False).ids == [i for u in units for i in u]
+
+
+def test_every_token_is_its_own_encoding():
+    from pricetide.llm import bpe
+
+    known = bpe.Vocabulary(PATH)
+    whole = {i: b for i, b in known.bytes.items() if i not in known.special.values()}
+    coded = known.encode_words(set(whole.values()))
+    assert all(coded[b] == [i] for i, b in whole.items())
+
+
+def test_pattern_that_gives_up_falls_back():
+    text = " " * 1_000_000 + "x"
+    ranks = P.ids_of(PATH)
+    with pytest.raises(ValueError):
+        ranks.fast.encode_to_numpy(text, allowed_special="all")
+    assert ranks(text).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
