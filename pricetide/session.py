@@ -50,6 +50,8 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pricetide-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
@@ -64,6 +66,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back."""
-    path = f"{scratch_root(df.sparkSession).rstrip('/')}/pricetide-{name}-{uuid.uuid4().hex}"
+    path = stash_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def stash_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_root(spark).rstrip('/')}/pricetide-{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``stash_path`` named; nothing may read it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
