@@ -2,9 +2,11 @@
 
 1. A document's set is its distinct word shingles (hashed to 64 bits); equal sets collapse into one node.
 2. Candidates. Sets of a size band differ in at most k hashes if they reach the threshold. Each set is cut by hash
-   range into k + 1 parts and some spare ones, so two such sets agree in at least one part that isn't empty. Sets
+   range into k + 1 parts and some spare ones, and each leaves out as many parts as are spare: empty ones, then those
+   with the fewest hashes that aren't frequent in the table (a passage that many texts share leads nowhere). The order
+   depends on a part's contents alone, so two such sets still agree in a part that both keep. Sets
    that agree in a part of a band they both can join in are connected; the connected groups are the only places
-   where links can be.
+   where links can be. A task connects what agrees within it by itself, so a key has one row a task at most.
 3. Tiles. A group is cut into size bands and blocks of bounded size; a tile is a pair of blocks of one band or of
    neighbouring bands. In a tile, parity bitmaps of the hashes bound the overlap of two sets from above
    (bits that differ are at most the hashes that differ), and sorted arrays of those left are intersected.
@@ -31,6 +33,11 @@ from pricetide.session import cut
 BLOCK_ROWS, BLOCK_HASHES = 4096, 1_600_000  # of a tile's side; 64 bits a hash
 SEEN = 1_000_000  # sets that a task remembers, to send equal ones once
 GROWTH = 1.5  # of the size bands of step 2
+SPARE = 3  # one spare part for so many hashes that may differ
+CHUNK_KEYS = 2_000_000  # keys or hashes that a task holds at a time
+#: Hashes that a task reports as frequent, the least count there, and how many of the whole table count as frequent. These
+#: choose which parts are left out, and so how much work there is; the links found are the same with any others.
+FREQUENT, LEAST_FREQUENT, HOT = 5_000, 8, 20_000
 
 
 def band_tops(most: int) -> np.ndarray:
@@ -49,8 +56,8 @@ def node_ids(sets: K.Sets) -> np.ndarray:
     return K.mix(K.sum_ranges(K.mix(sets.hashes ^ K.PLACE[40]), sets.bounds) + size * K.PLACE[41]).view(np.int64)
 
 
-def part_keys(hashes: np.ndarray, tops: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of step 2 for one set: for its own band and those above it that it can reach."""
+def part_keys(hashes: np.ndarray, cold: np.ndarray, tops: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of step 2 for one set: for its own band and those above it that it can reach. cold: which hashes are rare."""
     size = len(hashes)
     own, reach = np.searchsorted(tops, [size, size * den // num])
     out = []
@@ -58,56 +65,125 @@ def part_keys(hashes: np.ndarray, tops: np.ndarray, num: int, den: int) -> np.nd
         differ = 2 * int(tops[band]) * (den - num) // (den + num)
         if not differ:
             continue  # only equal sets link
-        spare = 1 + differ // 24
+        spare = 1 + differ // SPARE
         parts = np.uint64(differ + 1 + spare)
         part = ((hashes >> np.uint64(32)) * parts) >> np.uint64(32)
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         sums = np.add.reduceat(K.mix(hashes ^ K.PLACE[42]), first)
-        place = part[first]
-        if int(parts) - len(first) > spare:  # too many empty parts to rule out that they are all two sets agree in
+        place, empty = part[first], int(parts) - len(first)
+        if empty > spare:  # too many empty parts to rule out that they are all two sets agree in
             none = np.setdiff1d(np.arange(parts, dtype=np.uint64), place)
             place, sums = np.concatenate([place, none]), np.concatenate([sums, np.zeros(len(none), np.uint64)])
-        out.append(K.mix(sums + K.mix(place * K.PLACE[43] + np.uint64(band * int(K.PLACE[44]) % 2**64))))
+        keys = K.mix(sums + K.mix(place * K.PLACE[43] + np.uint64(band * int(K.PLACE[44]) % 2**64)))
+        if empty < spare:  # the parts that tell least are left out, by an order that depends on their contents alone
+            order = np.lexsort((keys, np.diff(first, append=size), np.add.reduceat(cold.astype(np.int64), first)))
+            keys = keys[order[spare - empty :]]
+        out.append(keys)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+class Frequent:
+    """The hashes met most, of a stream of hashes, in bounded memory; counts are lower bounds."""
+
+    def __init__(self):
+        self.waiting, self.n, self.hashes, self.counts = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(hashes)
+        self.n += len(hashes)
+        if self.n > CHUNK_KEYS:
+            self._fold()
+
+    def _fold(self) -> None:
+        new, count = np.unique(np.concatenate(self.waiting), return_counts=True)
+        known, at = np.unique(np.concatenate([self.hashes, new[count > 1]]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([self.counts, count[count > 1]]), len(known)).astype(np.int64)
+        top = np.argsort(-total, kind="stable")[:FREQUENT]
+        self.waiting, self.n, self.hashes, self.counts = [], 0, known[top], total[top]
+
+    def most(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            self._fold()
+        top = self.counts >= LEAST_FREQUENT
+        return self.hashes[top].view(np.int64), self.counts[top]
+
+
 def _describe(n: int):
+    """A row for each row of docs; at the end, rows with a null node, a frequent hash as their tag and minus its count."""
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, seen = Frequent(), set()
         for batch in batches:
             size, node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for part in K.slices(batch.column("text")):
                 sets = K.shingle_sets(part, n)
+                own = node_ids(sets)
                 size.append(np.diff(sets.bounds))
-                node.append(node_ids(sets))
+                node.append(own)
+                new = np.array([x not in seen and not seen.add(x) for x in own.tolist()], bool)  # equal sets count once
+                frequent.add(sets.hashes[np.repeat(new, size[-1])])
+                if len(seen) > SEEN:
+                    seen = set()
             yield K.table({"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "n_shingles": np.concatenate(size), "node": np.concatenate(node)}, schema)
+        hashes, counts = frequent.most()
+        none = pa.nulls(len(hashes), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(hashes), pa.array(-counts), none], schema=schema)
 
     return run
 
 
-def _keys(n: int, num: int, den: int):
+def combined(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (key, node) that connect the same nodes as the given ones, with one row for each of the given keys.
+
+    Of the nodes of a key the least stays with it; each other one is connected with that by a key of the least node's own.
+    """
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    least = nodes[first][np.cumsum(first) - 1]
+    pairs = np.unique(np.stack([least, nodes])[:, least != nodes], axis=1)
+    heads = np.unique(pairs[0])
+    own = lambda x: K.mix(x.view(np.uint64) ^ K.PLACE[45]).view(np.int64)
+    return np.concatenate([keys[first], own(pairs[0]), own(heads)]), np.concatenate([nodes[first], pairs[1], heads])
+
+
+def _keys(n: int, num: int, den: int, hot: np.ndarray):
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    hot = np.sort(hot)
+
+    def cold(hashes: np.ndarray) -> np.ndarray:
+        if not len(hot):
+            return np.ones(len(hashes), bool)
+        return hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        tops = band_tops(1 << 10)
+        tops, keys, owner, waiting = band_tops(1 << 10), [], [], 0
+
+        def done() -> pa.RecordBatch:
+            return K.table(dict(zip(("key", "node"), combined(np.concatenate(keys), np.concatenate(owner)), strict=True)), schema)
+
         for batch in batches:
             for part in K.slices(batch.column("text")):
                 sets = K.shingle_sets(part, n)
-                sizes = np.diff(sets.bounds)
+                sizes, rare = np.diff(sets.bounds), cold(sets.hashes)
                 if len(sizes) and tops[-1] < (most := int(sizes.max()) * den // num):
                     tops = band_tops(most)
-                keys, owner = [], []
                 for i, node in enumerate(node_ids(sets).tolist()):
                     if sizes[i] and node not in seen:
                         seen.add(node)
-                        keys.append(part_keys(sets.hashes[sets.bounds[i] : sets.bounds[i + 1]], tops, num, den))
+                        own = slice(sets.bounds[i], sets.bounds[i + 1])
+                        keys.append(part_keys(sets.hashes[own], rare[own], tops, num, den))
                         owner.append(np.full(len(keys[-1]), node))
+                        waiting += len(keys[-1])
                 if len(seen) > SEEN:
                     seen = set()
-                if keys:
-                    yield K.table({"key": np.concatenate(keys), "node": np.concatenate(owner)}, schema)
+                if waiting > CHUNK_KEYS:
+                    yield done()
+                    keys, owner, waiting = [], [], 0
+        if keys:
+            yield done()
 
     return run
 
@@ -221,8 +297,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     ``tag`` the same id and text.
     """
     rows = docs.select(_id().alias("doc_id"), _text().alias("text")).withColumn("tag", F.xxhash64("doc_id", "text"))
-    sets = cut(rows.mapInArrow(_describe(n), "doc_id bigint, tag bigint, n_shingles bigint, node bigint"))
-    keys = rows.select("text").mapInArrow(_keys(n, num, den), "key bigint, node bigint")
+    described = cut(rows.mapInArrow(_describe(n), "doc_id bigint, tag bigint, n_shingles bigint, node bigint"))
+    sets = described.where("node is not null")
+    often = described.where("node is null").groupBy("tag").agg(F.sum("n_shingles").alias("n")).orderBy("n", "tag").limit(HOT).collect()
+    hot = np.array([r["tag"] for r in often], np.int64).view(np.uint64)
+    keys = rows.select("text").mapInArrow(_keys(n, num, den, hot), "key bigint, node bigint")
     least = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     groups = connected_components(keys.withColumn("least", least).where("node != least").select("node", "least").distinct(), "node", "least")
     nodes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("tag").alias("tag"), F.max("n_shingles").alias("n"))
@@ -246,5 +325,5 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tag"))
     chosen = marked.where("n_shingles > 0").groupBy("root").agg(F.min_by("tag", order).alias("tag")).select("tag")
     bare = marked.where("n_shingles = 0").select("tag").distinct()
-    kept = docs.withColumn("_tag", F.xxhash64(_id(), _text())).join(chosen.unionByName(bare).withColumnRenamed("tag", "_tag"), "_tag", "left_semi")
-    return kept.dropDuplicates(["_tag"]).drop("_tag")
+    held = docs.select(F.xxhash64(_id(), _text()).alias("tag"), F.struct(*docs.columns).alias("row"))  # no name of docs clashes in here
+    return held.join(chosen.unionByName(bare), "tag", "left_semi").dropDuplicates(["tag"]).select("row.*")
