@@ -4,13 +4,18 @@ Base rules fail a text of few words, or one whose repeated three-word windows co
 pass, each group (language and source) gets a minimum-covariance-determinant estimate of location and scatter of the
 transformed statistics; a text whose squared Mahalanobis distance is beyond the chi-squared cutoff is rejected.
 
-The estimate starts from medians and quartile ranges and makes concentration steps: distances, the quantile that
-keeps the nearest share of the group, and moments of those kept. All are aggregations over all rows of the group with
-partial sums before any shuffle. A floor on each scatter keeps statistics that are constant in clean text (no symbols,
-no repeats) from making tiny differences outliers. Groups of few rows share their language's estimate, and languages
-of few rows one estimate.
-
-Nulls: a null text has no words and fails; null language or source is a value of its own. Empty tables give no rows.
+The estimate has three fixed starts: medians and quartile ranges of the group, those of its language, and the moments of
+all its rows. From each, concentration steps are made until nothing changes: distances, the nearest share of the group
+(in whole bins of distance), and moments of those. The start that ends with the least determinant counts. All are
+aggregations over all rows of the group with partial sums before any shuffle, over whole numbers, so partitions and
+lost executors change no verdict. Every group has its own estimate, at every size: ``PRIOR_ROWS`` rows that lie as the
+language's do are added to its own, so a group of a few rows is judged nearly as its language, a large one by itself; a
+language leans on the whole table likewise. A floor on each scatter keeps statistics that are constant in clean text (no
+symbols, no repeats) from making tiny differences outliers.
+
+Nulls: a null text has no words and fails; null language or source is a value of its own. Repeated rows
+count once each and get the same verdict; ties in distance share a bin. Texts are measured whole, however long. Other
+columns of docs pass through ``keep_good`` and are not looked at elsewhere. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.llm import kernel as K
@@ -29,9 +34,11 @@ from pricetide.session import cut
 
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SHARE = 0.75  # of a group that the estimate rests on
-STEPS = 4
-LEAST_GROUP = 60
-BROADCAST_GROUPS = 50_000  # rows of estimates, about 10 MB; beyond that they are joined by a shuffle
+STEPS = 10  # at most; each lowers the determinant
+PRIOR_ROWS = 30  # that lie as the language's, added to each group
+UNIT = 10_000  # statistics are whole numbers of this part of one
+BINS = 32  # of squared distances to a factor of two
+BROADCAST_GROUPS = 50_000  # rows of estimates, three a group, about 10 MB; beyond that they are joined by a shuffle
 TAIL = 1e-6  # of clean rows beyond the cutoff, were they normal
 SYMBOLS = b"#*$%&|<>"
 
@@ -112,68 +119,107 @@ def _distance(dims: int) -> Column:
     total = F.lit(0.0)
     for i in range(dims):
         for j in range(i, dims):
-            term = (F.col(f"x{i}") - F.col(f"c{i}")) * (F.col(f"x{j}") - F.col(f"c{j}")) * F.col(f"p{i}{j}")
+            term = (F.col(f"x{i}") / UNIT - F.col(f"c{i}")) * (F.col(f"x{j}") / UNIT - F.col(f"c{j}")) * F.col(f"p{i}{j}")
             total = total + (term if i == j else 2 * term)
     return total
 
 
-def mcd_distances(rows: DataFrame, group: str, dims: int, floors: list[float], share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """rows (group, x0.. doubles) with ``d2``, the squared robust distance from the row's group. rows is read several times."""
+def bin_of(d2: Column) -> Column:
+    """Squared distances by size, ``BINS`` to a factor of two."""
+    return F.floor(F.log2(F.least(F.greatest(d2, F.lit(2.0**-20)), F.lit(2.0**40))) * BINS).cast("int")
+
+
+def mcd_distances(rows: DataFrame, group: str, parent: str, dims: int, floors: list[float], share: float = SHARE, prior: float = PRIOR_ROWS, steps: int = STEPS) -> DataFrame:
+    """rows (group, parent, x0.. bigint in 1 / UNIT) with ``d2``, the squared robust distance from the row's group.
+
+    rows is read several times. Sums are of whole numbers and quantiles of binned ones, so the order in which partial
+    results meet changes nothing.
+    """
     pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
     scale = share / _chi2_below(chi2_quantile(share, dims), dims + 2)
+    given = [f"b{i}" for i in range(dims)] + [f"v{i}" for i in range(dims)]  # centre and variances of the language
     names = [f"c{i}" for i in range(dims)] + [f"p{i}{j}" for i, j in pairs]
-    ddl = f"{group} bigint, " + ", ".join(f"{c} double" for c in names)
-
-    def precision(cov: np.ndarray) -> np.ndarray:
-        return np.linalg.inv(cov + np.diag(np.square(floors)))
+    head = [group, "start", "volume", *given, *names]
+    ddl = f"{group} bigint, start int, volume double, " + ", ".join(f"{c} double" for c in [*given, *names])
+
+    def spread(q: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([x[1] for x in q]) / UNIT, np.array([((x[2] - x[0]) / UNIT / 1.349) ** 2 for x in q])
+
+    def row(r: dict, start: int, centre: np.ndarray, cov: np.ndarray, base: tuple[np.ndarray, np.ndarray]) -> list:
+        whole = cov + np.diag(np.square(floors))
+        p = np.linalg.inv(whole)
+        return [r[group], start, round(float(np.linalg.slogdet(whole)[1]), 9), *base[0], *base[1], *centre, *(p[i, j] for i, j in pairs)]
+
+    def mixed(n: float, centre: np.ndarray, cov: np.ndarray, base: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Location and scatter of n rows and ``prior`` rows that lie as the language's do."""
+        off, w = centre - base[0], n / (n + prior)
+        return w * centre + (1 - w) * base[0], w * cov + (1 - w) * np.diag(base[1]) + w * (1 - w) * np.outer(off, off)
+
+    def moments(r: dict) -> tuple[np.ndarray, np.ndarray]:
+        n, unit = int(r["n"]), float(UNIT)
+        mean = np.array([int(r[f"m{i}"]) / n for i in range(dims)])
+        cov = np.zeros((dims, dims))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = (n * int(r[f"s{i}{j}"]) - int(r[f"m{i}"]) * int(r[f"m{j}"])) / (n * n) / unit**2
+        return mean / unit, cov
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.to_dict("records"):
-            q = [r[f"q{i}"] for i in range(dims)]
-            p = precision(np.diag([((x[2] - x[0]) / 1.349) ** 2 for x in q]))
-            out.append([r[group], *(x[1] for x in q), *(p[i, j] for i, j in pairs)])
-        return pd.DataFrame(out, columns=[group, *names])
+            (centre, var), (wide_centre, wide_var), every = (spread([r[f"{k}{i}"] for i in range(dims)]) for k in "qrt")
+            w = r["parent_n"] / (r["parent_n"] + prior)
+            base = w * wide_centre + (1 - w) * every[0], w * wide_var + (1 - w) * every[1]
+            out.append(row(r, 0, *mixed(r["n"], centre, np.diag(var), base), base))
+            out.append(row(r, 1, base[0], np.diag(base[1]), base))
+            out.append(row(r, 2, *mixed(r["n"], *moments(r), base), base))
+        return pd.DataFrame(out, columns=head)
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.to_dict("records"):
-            mean = np.array([r[f"m{i}"] for i in range(dims)]) / r["n"]
-            cov = np.zeros((dims, dims))
-            for i, j in pairs:
-                cov[i, j] = cov[j, i] = r[f"s{i}{j}"] / r["n"] - mean[i] * mean[j]
-            p = precision(scale * cov)
-            out.append([r[group], *mean, *(p[i, j] for i, j in pairs)])
-        return pd.DataFrame(out, columns=[group, *names])
+            base = tuple(np.array([r[f"{k}{i}"] for i in range(dims)]) for k in "bv")
+            centre, cov = moments(r)
+            out.append(row(r, r["start"], *mixed(int(r["n"]), centre, scale * cov, base), base))
+        return pd.DataFrame(out, columns=head)
 
     def mapped(f):
         return lambda it: (f(pdf) for pdf in it if len(pdf))
 
-    quartiles = [F.percentile_approx(f"x{i}", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000).alias(f"q{i}") for i in range(dims)]
-    params = cut(rows.groupBy(group).agg(*quartiles).mapInPandas(mapped(first), ddl))
+    def quartiles(name: str) -> list[Column]:
+        return [F.percentile(f"x{i}", [0.25, 0.5, 0.75]).alias(f"{name}{i}") for i in range(dims)]
+
+    exact = lambda x: F.sum(x.cast("decimal(38,0)"))
+    sums = [F.count("*").alias("n"), *(exact(F.col(f"x{i}")).alias(f"m{i}") for i in range(dims)), *(exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in pairs)]
+    totals = [c.cast("string").alias(name) for c, name in ((F.sum(name), name) for name in ["n", *(f"m{i}" for i in range(dims)), *(f"s{i}{j}" for i, j in pairs)])]
+    own = rows.groupBy(group, parent).agg(*sums, *quartiles("q"))
+    own = own.select(group, parent, F.col("n").cast("double"), *(c for c in own.columns if c[0] == "q"), *(F.col(c).cast("string") for c in own.columns if c[0] in "ms" and c[1:].isdigit()))
+    wide = rows.groupBy(parent).agg(F.count("*").cast("double").alias("parent_n"), *quartiles("r"))
+    every = rows.agg(*quartiles("t"))
+    params = cut(own.join(wide, parent).crossJoin(F.broadcast(every)).drop(parent).mapInPandas(mapped(first), ddl))  # ``every`` is one row
     few = params.count() <= BROADCAST_GROUPS
-    beside = lambda df: F.broadcast(df) if few else df  # noqa: E731  one row a group
+    beside = lambda df: F.broadcast(df) if few else df  # noqa: E731  a few rows a group
+    mark = None
     for _ in range(steps):
-        measured = rows.join(beside(params), group).withColumn("d2", _distance(dims))
-        edge = measured.groupBy(group).agg(F.percentile_approx("d2", share, 1000).alias("edge"))
-        near = measured.join(beside(edge), group).where("d2 <= edge")
-        sums = near.groupBy(group).agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"m{i}") for i in range(dims)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in pairs))
-        params = cut(sums.mapInPandas(mapped(again), ddl))
-    return rows.join(beside(params), group).withColumn("d2", _distance(dims)).drop(*names)
-
-
-def quality_verdicts(docs: DataFrame, least_group: int = LEAST_GROUP, tail: float = TAIL) -> DataFrame:
+        found = params.agg(F.sum(F.xxhash64(group, "start", *names).cast("decimal(38,0)"))).first()
+        if found == mark:
+            break
+        mark = found
+        cells = rows.join(beside(params.drop("volume", *given)), group).withColumn("bin", bin_of(_distance(dims))).groupBy(group, "start", "bin").agg(*sums)
+        upto = Window.partitionBy(group, "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        near = cells.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(group, "start"))).where(F.col("before") < F.ceil(share * F.col("all")))
+        sum_up = near.groupBy(group, "start").agg(*totals)
+        params = cut(sum_up.join(beside(params.select(group, "start", *given)), [group, "start"]).mapInPandas(mapped(again), ddl))
+    best = params.groupBy(group).agg(F.min_by(F.struct(*names), F.struct("volume", "start")).alias("best")).select(group, "best.*")
+    return rows.join(beside(best), group).withColumn("d2", _distance(dims)).drop(*names)
+
+
+def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """doc_id, text_tag, the counts, base_failed, distance (null where base_failed) and kept."""
     stats = cut(text_statistics(docs)).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     known = features()
-    passed = stats.where("not base_failed").select("*", *(x.alias(f"x{i}") for i, (x, _) in enumerate(known.values())), F.xxhash64("lang", "source").alias("_own"), F.xxhash64(F.lit("lang"), "lang").alias("_lang"))
-    sizes = passed.groupBy("_own", "_lang").agg(F.count("*").alias("_n"))
-    rest = sizes.where(F.col("_n") < least_group).groupBy("_lang").agg(F.sum("_n").alias("_m"))
-    group = F.when(F.col("_n") >= least_group, F.col("_own")).when(F.col("_m") >= least_group, F.col("_lang")).otherwise(F.lit(0).cast("bigint"))
-    groups = sizes.join(rest, "_lang", "left").select("_own", group.alias("group"))
-    rows = cut(passed.join(groups, "_own").drop("_own", "_lang"))
+    passed = stats.where("not base_failed").select("*", *(F.round(x * UNIT).cast("bigint").alias(f"x{i}") for i, (x, _) in enumerate(known.values())), F.xxhash64("lang", "source").alias("group"), F.xxhash64(F.lit("lang"), "lang").alias("parent"))
     floors = [f for _, f in known.values()]
-    judged = mcd_distances(rows, "group", len(floors), floors)
+    judged = mcd_distances(cut(passed), "group", "parent", len(floors), floors)
     edge = chi2_quantile(1 - tail, len(floors))
     columns = ["doc_id", "text_tag", *_counts, "base_failed"]
     none = F.lit(None).cast("double")
@@ -182,7 +228,7 @@ def quality_verdicts(docs: DataFrame, least_group: int = LEAST_GROUP, tail: floa
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is kept, with all their columns."""
+    """The rows of docs whose text is kept, with all their columns, whatever their names."""
     good = quality_verdicts(docs).where("kept").select("doc_id", "text_tag").distinct()
-    tagged = docs.withColumn("_tag", F.xxhash64(F.col("text").cast("string")))
-    return tagged.join(good, tagged["doc_id"].eqNullSafe(good["doc_id"]) & (tagged["_tag"] == good["text_tag"]), "left_semi").drop("_tag")
+    held = docs.select(F.col("doc_id").cast("bigint").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_tag"), F.struct(*docs.columns).alias("row"))
+    return held.join(good, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_tag") == F.col("text_tag")), "left_semi").select("row.*")

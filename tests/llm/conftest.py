@@ -27,7 +27,7 @@ def docs(spark):
         full = [(*r, *("en", "s0")[len(r) - 2 :]) if len(r) < 4 else r for r in rows]
         df = spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string")
         if extra:
-            for c in ("n", "node", "root", "key", "tag", "tile", "side", "chunk", "shard", "slot", "length", "start", "spans", "base_spans", "group", "kept", "x0", "d2", "rank", "score", "offset"):
+            for c in ("n", "node", "root", "key", "tag", "tile", "side", "chunk", "shard", "slot", "length", "start", "spans", "base_spans", "group", "kept", "x0", "d2", "rank", "score", "offset", "_tag", "row", "text_tag", "own_id", "own_tag", "_h", "_by", "_bucket", "_part", "_base_spans", "_all_spans", "held_out", "lang_pred", "rejected", "parent", "bin", "volume", "sha1", "first"):
                 df = df.selectExpr("*", f"'clash' AS {c}")
         return df
 

@@ -42,23 +42,57 @@ def test_outliers_go_and_clean_texts_stay(docs, words):
     assert {r.doc_id for r in Q.keep_good(docs(rows, extra=True)).collect()} == {i for i, kept in got.items() if kept}
 
 
-def test_estimate_matches_concentration_steps(spark):
-    """The distributed estimate against the same steps in numpy."""
+def brute_distances(x, group, parent, floors, share=Q.SHARE, prior=Q.PRIOR_ROWS):
+    """The same estimate in numpy, over all rows at once."""
+    dims, unit = x.shape[1], Q.UNIT
+    scale = share / Q._chi2_below(Q.chi2_quantile(share, dims), dims + 2)
+    box = lambda v: ((q := np.percentile(v, [25, 50, 75], axis=0) / unit)[1], ((q[2] - q[0]) / 1.349) ** 2)
+    mix = lambda n, a, b: (n * a + prior * b) / (n + prior)
+
+    def shrunk(n, centre, cov, base):
+        off, w = centre - base[0], n / (n + prior)
+        return mix(n, centre, base[0]), mix(n, cov, np.diag(base[1])) + w * (1 - w) * np.outer(off, off)
+
+    d2 = lambda v, c, s: np.einsum("ij,jk,ik->i", v / unit - c, np.linalg.inv(s + np.diag(np.square(floors))), v / unit - c)
+    out, every = np.zeros(len(x)), box(x)
+    for g in np.unique(group):
+        own = group == g
+        wide = parent == parent[own][0]
+        v, n = x[own], own.sum()
+        base = tuple(mix(wide.sum(), a, b) for a, b in zip(box(x[wide]), every))
+        ends = []
+        for start in range(3):
+            c, s = (shrunk(n, box(v)[0], np.diag(box(v)[1]), base), (base[0], np.diag(base[1])), shrunk(n, v.mean(axis=0) / unit, np.cov(v.T, bias=True) / unit**2, base))[start]
+            for _ in range(Q.STEPS):
+                cell = np.floor(np.log2(np.clip(d2(v, c, s), 2.0**-20, 2.0**40)) * Q.BINS)
+                near = v[cell <= np.sort(cell)[int(np.ceil(share * n)) - 1]]
+                c, s = shrunk(len(near), near.mean(axis=0) / unit, scale * np.cov(near.T, bias=True) / unit**2, base)
+            ends.append((round(float(np.linalg.slogdet(s + np.diag(np.square(floors)))[1]), 9), start, c, s))
+        *_, c, s = min(ends, key=lambda e: e[:2])
+        out[own] = d2(v, c, s)
+    return out
+
+
+def test_distances_against_numpy(spark):
     r = np.random.default_rng(6)
-    x = np.concatenate([r.normal(size=(900, 2)) @ np.array([[1.0, 0.4], [0, 0.5]]), 8 + r.normal(size=(100, 2))])
-    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in x], "g bigint, x0 double, x1 double")
-    got = np.array([(q.x0, q.x1, q.d2) for q in Q.mcd_distances(df, "g", 2, [1e-3, 1e-3]).collect()])
-    order = np.lexsort((got[:, 1], got[:, 0]))
-    mine = x[np.lexsort((x[:, 1], x[:, 0]))]
-    q = np.quantile(mine, [0.25, 0.5, 0.75], axis=0)
-    mean, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)
-    scale = 0.75 / Q._chi2_below(Q.chi2_quantile(0.75, 2), 4)
-    d2 = lambda: np.einsum("ij,jk,ik->i", mine - mean, np.linalg.inv(cov + np.eye(2) * 1e-6), mine - mean)
-    for _ in range(Q.STEPS):
-        near = mine[d2() <= np.quantile(d2(), 0.75)]
-        mean, cov = near.mean(axis=0), scale * np.cov(near.T, bias=True)
-    assert got[order][:, 2] == pytest.approx(d2(), rel=0.03, abs=0.03)
-    assert (got[:, 2] > Q.chi2_quantile(1 - 1e-6, 2)).sum() == 100
+    x = np.concatenate([r.normal(size=(300, 2)) @ np.array([[1.0, 0.4], [0, 0.5]]), 8 + r.normal(size=(60, 2)), r.normal(3, 2, size=(200, 2)), r.normal(1, 1, size=(9, 2))])
+    x = np.round(x * Q.UNIT).astype(np.int64)
+    group, parent = np.repeat([1, 1, 2, 3], [300, 60, 200, 9]), np.repeat([7, 8], [560, 9])
+    rows = [(i, int(g), int(p), int(a), int(b)) for i, (g, p, (a, b)) in enumerate(zip(group, parent, x))]
+    df = spark.createDataFrame(rows, "i int, g bigint, p bigint, x0 bigint, x1 bigint")
+    want = brute_distances(x, group, parent, [0.05, 0.05])
+    runs = [{q.i: q.d2 for q in Q.mcd_distances(df.repartition(n, "i"), "g", "p", 2, [0.05, 0.05]).collect()} for n in (1, 7)]
+    assert runs[0] == runs[1]
+    assert [runs[0][i] for i in range(len(rows))] == pytest.approx(want, rel=1e-6)
+    assert all(want[300:360] > Q.chi2_quantile(1 - Q.TAIL, 2)) and sum(want[:300] > Q.chi2_quantile(1 - Q.TAIL, 2)) == 0
+
+
+def test_small_groups_and_equal_rows(spark):
+    """A group of one row leans on its language's estimate; rows that are all equal are no outliers."""
+    rows = [(i, 1, 7, 1000 + 10 * (i % 9), 50) for i in range(200)] + [(900, 2, 7, 1030, 50), (901, 3, 7, 90_000, 50)] + [(950 + i, 4, 9, 5, 5) for i in range(5)]
+    df = spark.createDataFrame(rows, "i int, g bigint, p bigint, x0 bigint, x1 bigint")
+    got = {q.i: q.d2 for q in Q.mcd_distances(df, "g", "p", 2, [0.05, 0.05]).collect()}
+    assert got[900] < 5 and got[901] > Q.chi2_quantile(1 - Q.TAIL, 2) and got[950] < 5
 
 
 def test_quantile():
