@@ -1,18 +1,21 @@
-"""Language identification by compression with per-language raw-content dictionaries.
+"""Language identification by compression with per-language zstandard raw-content dictionaries.
 
 A text in lower case, its letters' words parted by single spaces, is compressed whole, in blocks of ``BLOCK`` bytes, with
 each language's zstandard dictionary; the language of the smallest sum is predicted, and the prediction is rejected
-where the second smallest is nearly as small. The dictionaries are raw
-content: bounded samples of labelled texts (``SAMPLED`` texts of at most ``SAMPLE_BYTES`` each and ``DICT_BYTES`` in all
-a language, chosen by a hash of the row over all labelled rows). Every labelled language is learned: beyond
-``FULL_LANGUAGES`` of them, these bounds shrink in proportion, so that all samples and dictionaries stay within the same bytes.
+where the second smallest is nearly as small. The dictionaries are raw content: the whole texts of at most ``SAMPLED``
+labelled rows a language, those of the least hash of the text in each of as many cells of hashes. Every labelled
+language is learned, however many there are; time a text grows with their number.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0 and is rejected; null labels aren't learned from.
-Ties go to the language learned from more rows. With no labelled row every text is ``und``.
+Equal texts of a language are learned once. Ties go to the language with more labelled rows, then to the lesser name.
+With no labelled row every text is ``und``, and ``keep_identified`` keeps all rows, since nothing speaks against any.
+Texts of any length are taken whole. Repeated rows get the same prediction; other columns are not looked at, and pass
+through ``keep_identified``. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import kernel as K
 
-SAMPLED, SAMPLE_BYTES, DICT_BYTES, FULL_LANGUAGES = 256, 1000, 112_000, 64
+SAMPLED = 64  # labelled texts a language at most
 LEVEL, BLOCK = 12, 4096
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -41,24 +44,20 @@ def is_held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, train: Column) -> dict[str, bytes]:
     """A dictionary for each language of docs (doc_id, text, lang), from rows where ``train`` holds."""
-    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", F.lit("sample")).alias("h"))
-    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
-    sampled, sample_bytes, dict_bytes = bounds(len(langs))
-    cell = F.pmod("h", F.lit(sampled))
-    least = known.groupBy("lang", cell.alias("cell")).agg(F.min("h").alias("h"))
-    chosen = known.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "h", F.substring("text", 1, sample_bytes).alias("piece"))
-    pieces = chosen.groupBy("lang", "h").agg(F.min("piece").alias("piece")).orderBy("lang", "h").collect()  # at most FULL_LANGUAGES * SAMPLED, or one a language
-    out: dict[str, bytes] = {x: b"" for x in langs}  # those with most rows first
-    for r in pieces:
-        out[r["lang"]] += plain(r["piece"])
-    return {k: v[-dict_bytes:] for k, v in out.items() if v}
-
-
-def bounds(languages: int) -> tuple[int, int, int]:
-    """Texts, bytes of a text and bytes of a dictionary for each of so many languages."""
-    most = max(FULL_LANGUAGES, languages)
-    sampled = max(1, SAMPLED * FULL_LANGUAGES // most)
-    return sampled, max(1, min(SAMPLE_BYTES, SAMPLED * SAMPLE_BYTES * FULL_LANGUAGES // (most * sampled))), max(1, DICT_BYTES * FULL_LANGUAGES // most)
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    known = docs.where(train & lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("h"))
+    least = known.groupBy("lang", F.pmod("h", F.lit(SAMPLED)).alias("cell")).agg(F.min("h").alias("h"), F.count("*").alias("n")).collect()  # at most SAMPLED a language
+    if not least:
+        return {}
+    chosen = known.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in least], "lang string, h bigint")
+    texts = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    rows: Counter[str] = Counter()
+    for r in least:
+        rows[r["lang"]] += r["n"]
+    out = {x: b"" for x in sorted(rows, key=lambda x: (-rows[x], x))}  # those with most rows first
+    for r in sorted(texts, key=lambda r: (r["lang"], r["h"])):
+        out[r["lang"]] += plain(r["text"])
+    return out
 
 
 class Judge:
@@ -113,4 +112,4 @@ def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not judge(t)[2] for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema) if dictionaries else docs

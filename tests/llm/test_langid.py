@@ -3,6 +3,8 @@ import random
 import zlib
 
 import pytest
+import xxhash
+import zstandard
 
 from pricetide.llm import langid
 
@@ -58,11 +60,53 @@ def test_every_labelled_language_is_learned(docs):
     assert rare and all(got[i].lang_pred == lang and not got[i].rejected for i, lang in rare)
 
 
-def test_bounds_keep_the_bytes():
-    assert langid.bounds(0) == langid.bounds(4) == langid.bounds(64) == (256, 1000, 112_000)
-    for n in (65, 100, 1000, 20_000, 200_000):
-        sampled, text, held = langid.bounds(n)
-        assert sampled * text * n <= 64 * 256 * 1000 and held * n <= 64 * 112_000 and min(sampled, text, held) > 0
+def brute(rows):
+    """(lang_pred, score) by id: dictionaries and one-shot compressions worked out row by row."""
+    learned, count = {}, {}
+    for i, text, lang, _ in rows:
+        if not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) and lang is not None and text:
+            h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+            h -= (h >> 63) << 64
+            learned.setdefault(lang, {}).setdefault(h % langid.SAMPLED, {})[h] = text
+            count[lang] = count.get(lang, 0) + 1
+    names = sorted(count, key=lambda x: (-count[x], x))
+    books = {x: b"".join(langid.plain(t) for _, t in sorted((min(cell), cell[min(cell)]) for cell in learned[x].values())) for x in names}
+    out = {}
+    for i, text, *_ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out[i] = ("und", 0.0)
+            continue
+        data = langid.plain(text)
+        size = {}
+        for x in names:
+            c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(books[x], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            size[x] = sum(len(c.compress(data[k : k + langid.BLOCK])) for k in range(0, len(data), langid.BLOCK))
+        best = min(names, key=size.get)
+        second = min(size[x] for x in names if x != best)
+        out[i] = (best, (second - size[best]) / second)
+    return out
+
+
+def test_predictions_against_plain_compressions(docs, words):
+    rows = [(i, " ".join(words(20 + i * 7 % 150, lang, seed=i)), lang, "s") for i in range(240) for lang in [("en", "de", "fr", "de")[i % 4]]]
+    rows += [(500, None, "en", "s"), (501, "12 !", None, "s"), (502, " ".join(words(3000, "fr", seed=1)), None, "s"), (503, rows[0][1], "en", "s"), (504, "é", None, None)]
+    want = brute(rows)
+    for n in (1, 5):
+        got = {r.doc_id: r for r in langid.identify(docs(rows).repartition(n)).collect()}
+        right = sum(got[i].lang_pred == x and abs(got[i].score - max(0.0, s)) < 0.02 for i, (x, s) in want.items())
+        assert right >= len(want) - 2, [(i, got[i], want[i]) for i in want if got[i].lang_pred != want[i][0]]
+    again = {r.doc_id: r for r in langid.identify(docs(rows).repartition(3)).collect()}
+    assert again == got
+
+
+def test_keep_identified_without_labels(docs):
+    assert langid.keep_identified(docs([(1, "the and", None, "s"), (2, None, None, "s")])).count() == 2
+
+
+def test_language_without_letters(docs, words):
+    rows = [*corpus(words), (700, "12 34", "xx", "s"), (701, "5", "xx", "s")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(rows)).collect()}
+    assert sum(got[i] == lang for i, _, lang, _ in corpus(words)) >= 57
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
