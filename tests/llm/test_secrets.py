@@ -1,7 +1,11 @@
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from pricetide.llm import secrets as S
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -86,20 +90,98 @@ def test_small_bands_have_a_decision(docs):
     assert sum(clean[i] == "see <SECRET> end" for i in range(len(runs))) >= 26
 
 
-def test_cutoffs_of_few_random_runs():
-    r = random.Random(4)
-
+def test_cutoffs_are_in_bounds():
     def bins(values):
-        count = [0] * S.BINS
+        count = [0.0] * S.BINS
         for v in values:
             count[int(v * S.BINS)] += 1
         return count
 
-    few, thirty, words = bins(r.random() for _ in range(10)), bins([i / 40 for i in range(30)]), bins(r.random() / 100 for _ in range(1000))
-    out = S.decided({("hex", 0): few, ("base64", 0): thirty, ("base32", 0): words, ("base36", 0): bins([0.001] * 12), ("base36", 1): bins([0.001] * 12)})
-    assert out["hex", 0] == S.LEAST_P
-    assert out["base64", 0] < 0.5
-    assert min(out["base32", 0], out["base36", 0], out["base36", 1]) > 0.01
+    r = random.Random(4)
+    few, many = bins(r.random() for _ in range(10)), bins(r.random() for _ in range(5000))
+    leaking = bins([0.0] * 100 + [min(0.99, r.expovariate(8)) for _ in range(900)])
+    out = S.decided({("hex", 0): few, ("base64", 0): many, ("base32", 0): leaking})
+    assert out["hex", 0] == out["base64", 0] == S.LEAST_P
+    assert out["base32", 0] > 0.3
+    assert S.decided({("hex", 3): bins([0.5])})["hex", 3] == S.LEAST_P
+
+
+def brute_battery(run):
+    """(encoding, length, p) of a run, symbol by symbol."""
+    for name, (pattern, alphabet) in S.ENCODINGS.items():
+        if not re.search(pattern, run):
+            continue
+        x = [alphabet.index(c) for c in (run.lower() if name.startswith("hex") else run).replace("-", "+").replace("_", "/") if c in alphabet]
+        n, size = len(x), len(alphabet)
+        tail = lambda z: max(1 / (1 + math.exp(min(700, 1.5976 * z + 0.07056 * z**3))), 1e-12)
+        widths, at, chi2 = S.CELLS[size][n >= S.SHORT], 0, -float(n)
+        for w in widths:
+            chi2 += sum(at <= v < at + w for v in x) ** 2 * size / w / n
+            at += w
+        df = len(widths) - 1
+        z_chi = ((max(chi2, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+        up = [v >= size / 2 for v in x]
+        changes, high, mean = sum(a != b for a, b in zip(up, up[1:])), sum(up), sum(x) / n
+        spread = sum((v - mean) ** 2 for v in x)
+        z_lag = abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread) * math.sqrt(n) if spread else 10.0
+        both = 2 * high * (n - high)
+        var = both * (both - n) / (n * n * (n - 1))
+        z_runs = abs(1 + changes - both / n - 1) / math.sqrt(var) if var > 0 else 10.0
+        total = -math.log(tail(z_chi)) - math.log(min(1, 2 * tail(z_runs))) - math.log(min(1, 2 * tail(z_lag)))
+        band = min(S.TOP_BAND, max(-1, math.floor(math.log2(n / 20) * 2)))
+        return name, n, sum(v >= total for v in S.null_table(size, band)) / S.BINS
+    return None
+
+
+def test_battery_against_brute_force(spark):
+    r = random.Random(12)
+    symbols = {k: a for k, (_, a) in S.ENCODINGS.items()}
+    runs = ["".join(r.choice(a) for _ in range(n)) for k, a in symbols.items() for n in (20, 27, 33, 39, 40, 64, 130, 2000) for _ in range(3)]
+    runs += [("Thing1" * 30)[:n] for n in (24, 41, 100)] + ["A1" * 15, "a" * 25 + "1", "sk_live_" + runs[60], runs[0].upper(), "deadbeef-0000-1111-2222-333344445555", "x" * 19 + "1", "getUserListById2Items", "ABCDEFGHIJ" * 3 + "2=="]
+    got = spark.createDataFrame([(x,) for x in runs], "run string").select("run", S.p_random(F.col("run")).alias("t")).collect()
+    near = 0
+    for row in got:
+        want = brute_battery(row.run)
+        if want is None:
+            assert row.t is None
+        else:
+            assert (row.t.encoding, row.t.length) == want[:2]
+            assert abs(row.t.p - want[2]) < 0.011  # a sum may lie on a hundredth's edge
+            near += row.t.p == want[2]
+    assert near >= len(runs) - 20
+
+
+def test_p_is_uniform_for_random_strings():
+    r = np.random.default_rng(5)
+    for size in (16, 32, 36, 64):
+        for n in (20, 31, 64, 200):
+            t = S.joined(r.integers(0, size, (2000, n)), size)
+            table = np.array(S.null_table(size, min(S.TOP_BAND, math.floor(math.log2(n / 20) * 2))))
+            p = (table[None, :] >= t[:, None]).mean(axis=1)
+            assert abs((p > 0.5).mean() - 0.5) < 0.09 and 0.93 < (p >= 0.03).mean() < 0.995
+
+
+def test_same_secrets_in_small_and_large_tables(docs, words):
+    r = random.Random(21)
+    pick = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    forms = [(k, a) for k, (_, a) in S.ENCODINGS.items() if "parted" not in k]
+    planted = [(i, pick(32 + 4 * i, forms[i % len(forms)][1])) for i in range(20)]
+    small = [(i, f"see {x} end") for i, x in planted]
+    large = small + [(1000 + i, " ".join(words(12, seed=i)) + f" {pick(r.randint(20, 90), forms[i % len(forms)][1])} end") for i in range(3000)] + [(9000 + i, "plain words " * 3) for i in range(2000)]
+    found = lambda rows: {x.doc_id for x in S.secret_digest(docs(rows)).collect() if "random" in x.spans and x.doc_id < 20}
+    assert len(found(small)) >= 17
+    assert found(small) == found(large)
+
+
+def test_very_many_matches_in_a_text(docs):
+    text = " ".join(f"token={i:08d}" for i in range(20_000))
+    got = S.secret_digest(docs([(1, text)])).first()
+    assert got.n_assign == 20_000 and got.base_sha256 == hashlib.sha256(spell(base(text)).encode()).hexdigest()
+
+
+def test_redaction_keeps_other_columns(docs):
+    got = S.redact(docs([(1, "token=abcdefgh1")], extra=True)).first().asDict()
+    assert got["text"] == "<SECRET>" and got["_base_spans"] == got["all_spans" if "all_spans" in got else "row"] == "clash"
 
 
 def test_redaction(docs):
