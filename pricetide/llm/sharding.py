@@ -1,6 +1,7 @@
 """Proportional stratified interleaving into shards.
 
-Rows are shuffled by a seeded hash within their source and get the fractional rank (rank - 1/2) / rows of the source.
+Rows are shuffled by a seeded hash within their source and get the fractional rank (rank + offset) / rows of the source,
+with rank from 0 and a seeded offset of the source between 0 and 1, so small sources don't all fall on the same places.
 In the order of fractional ranks every stretch holds the sources in their proportions; cut into equal stretches, every
 shard has the mixture, and shard sizes differ by one row at most.
 
@@ -9,7 +10,8 @@ bounded size, a small table of bucket counts gives each bucket's first rank, and
 
 Nulls: a null source is a source of its own; a null text has size 1 and the checksum of empty text; null doc_ids are
 spread like others by the hash of the row. Repeated rows are placed once each (the order among them doesn't matter).
-Empty tables give no rows.
+Texts of any length count whole; only their sizes and checksums are ranked. Equal fractional ranks are ordered by the
+hash of the row and then its keys. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pricetide.session import cut
 
-BUCKET_ROWS = 10_000
+BUCKET_ROWS, LEAST_BUCKETS = 10_000, 1000  # rows ranked together at most, and buckets of small tables
 
 
 def _running(n: str, *by: str, order: str) -> Column:
@@ -43,11 +45,12 @@ def interleave(rows: DataFrame, shards: int, seed: int, source: str = "source",
     """
     held = cut(rows.drop("shard", "slot").withColumn("_h", F.xxhash64(F.lit(seed), *keys)))
     total = held.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    by_hash = F.pmod(F.shiftrightunsigned("_h", 33), F.lit(1 << 31)) * F.lit(buckets) / F.lit(1 << 31)
+    buckets = max(1, min(total, LEAST_BUCKETS), -(-total // BUCKET_ROWS))
+    part_of = lambda h: F.shiftrightunsigned(h, 33) / F.lit(1 << 31)
+    by_hash = part_of("_h") * buckets
     inner = cut(ranked(held, source, F.floor(by_hash).cast("bigint"), ["_h", *keys], "_rank"))
     sizes = held.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_rows"))
-    mixed = inner.join(sizes, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumn("_part", (F.col("_rank") + 0.5) / F.col("_rows"))
+    mixed = inner.join(sizes, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumn("_part", (F.col("_rank") + part_of(F.xxhash64(F.lit(seed), F.lit("offset"), source))) / F.col("_rows"))
     placed = ranked(mixed, None, F.floor(F.col("_part") * buckets).cast("bigint"), ["_part", "_h", *keys], "_at")
     shard = F.expr(f"(_at * {shards}) div {max(total, 1)}")
     first = F.expr(f"((shard * {max(total, 1)}) + {shards - 1}) div {shards}")
@@ -63,6 +66,14 @@ def shard_digest(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 17) -> None:
-    """Write docs (doc_id, text, source, ...) under path/shard=N/, each shard in slot order."""
-    placed = interleave(docs, shards, seed)
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write docs (doc_id, text, source, ...) under path/shard=N/, each shard in slot order.
+
+    Rows are named by a hash of all their columns; what is ranked are these names and sources alone, and whole rows are
+    moved once, to their shard's place. Rows that repeat each other get a place each.
+    """
+    named = docs.select(F.xxhash64(*docs.columns).alias("own_name"), F.struct(*docs.columns).alias("row"))
+    rows = named.select("own_name", F.col("row")["source"].cast("string").alias("source"))
+    placed = interleave(rows, shards, seed, keys=("own_name",)).select("own_name", F.col("shard").alias("own_shard"), F.col("slot").alias("own_slot"))
+    joined = named.dropDuplicates(["own_name"]).join(placed, "own_name").select("own_shard", "own_slot", "row.*")
+    out = joined.drop("shard", "slot").withColumnsRenamed({"own_shard": "shard", "own_slot": "slot"})
+    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

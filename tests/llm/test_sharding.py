@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricetide.llm import sharding as S
 
@@ -19,6 +20,7 @@ def check(rows, got, shards=16):
 @pytest.mark.parametrize("bucket", [7, 10_000])
 def test_law_and_mixture(docs, monkeypatch, bucket):
     monkeypatch.setattr(S, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(S, "LEAST_BUCKETS", 10_000 // bucket)
     rows = [(i, f"text {i % 50}é", "en", None if i % 11 == 0 else f"s{0 if i % 3 else i % 7}") for i in range(1003)] + [(None, None, None, None)] * 3 + [(5, "again", "en", "s0")]
     df = docs(rows)
     got = S.shard_digest(df).collect()
@@ -51,4 +53,44 @@ def test_edges(docs):
 def test_write(docs, tmp_path, spark):
     S.write_shards(docs([(i, "x", "en", f"s{i % 3}") for i in range(64)]), str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.groupBy("shard").count().collect() and back.count() == 64
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [16] * 4
+    assert back.select("shard", "slot").distinct().count() == back.count() == 64
+
+
+def test_repeated_rows_are_written_once_each(docs, tmp_path, spark):
+    S.write_shards(docs([(1, "x", "en", "s")] * 5 + [(i, "y" * 100_000, None, None) for i in range(6)], extra=True), str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.where("doc_id = 1 and text = 'x'").count() == 5 and back.count() == 11
+    assert back.select("shard", "slot").distinct().count() == 11
+
+
+def test_places_against_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_ROWS", 40)
+    rows = [(i, f"t{i % 90}", "en", None if i % 13 == 0 else f"s{min(i % 17, 5)}") for i in range(700)] + [(800 + i, "single", "en", f"host{i}") for i in range(60)]
+    df = docs(rows)
+    text = F.coalesce("text", F.lit(""))
+    h = F.xxhash64(F.lit(17), "doc_id", F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("bigint"))
+    known = df.select("doc_id", "source", h.alias("h"), F.xxhash64(F.lit(17), F.lit("offset"), "source").alias("o")).collect()
+    top = lambda x: ((x % 2**64) >> 33) / 2**31
+    by = defaultdict(list)
+    for r in known:
+        by[r.source].append(r)
+    parts = [((k + top(r.o)) / len(own), r.h, r.doc_id) for own in by.values() for k, r in enumerate(sorted(own, key=lambda r: (top(r.h), r.h, r.doc_id)))]
+    want, n = {}, len(parts)
+    for at, (*_, doc) in enumerate(sorted(parts)):
+        shard = at * 16 // n
+        want[doc] = (shard, at - -(-shard * n // 16))
+    assert {r.doc_id: (r.shard, r.slot) for r in S.shard_digest(df).collect()} == want
+
+
+def test_many_sources_of_one_row_spread_over_buckets(docs, spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), "id").alias("source"))
+    seen = []
+    real = S.ranked
+    try:
+        S.ranked = lambda df, by, bucket, order, name: (seen.append(df.groupBy(F.lit(by), bucket.alias("b"), *([by] if by else [])).count().agg(F.max("count")).first()[0]), real(df, by, bucket, order, name))[1]
+        placed = S.interleave(rows, 16, 1).collect()
+    finally:
+        S.ranked = real
+    assert seen[0] == 1 and seen[1] <= 20
+    assert len(placed) == 5000
