@@ -1,12 +1,15 @@
 """WARC archives: write records, and turn whole-file gzip into one member per record with an offset index.
 
 Archives are rows of a Parquet table (archive, data), so Spark's committer makes each exactly once and any executor
-can read them; ``export_files`` writes them out as files. The normaliser inflates a whole-file stream once, finds the
-records by their Content-Length, compresses each as a gzip member of its own and notes its offset and length.
+can read them, and the index of a normalised archive is in its row; ``export_files`` writes both out as files, the index
+as a sidecar of its archive. The normaliser inflates a whole-file stream once, piece by piece, finds the records by their
+Content-Length, compresses each as a gzip member of its own and notes its offset and length.
 
 Nulls: a null payload is an empty one; a record without page_id has none in its headers, is never the response that
 others refer to, and is a response itself. Rows that repeat the least page_id of a payload are all responses. Empty
-tables give no archives. Payloads are stored whole, and a long one makes a long archive.
+tables give no archives. Payloads are stored whole, and a long one makes a long archive. Equal
+payloads are told by their SHA-1; other columns of pages are not looked at. URLs keep their printable characters; others
+are percent-encoded byte by byte in UTF-8.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from pricetide.llm import kernel as K
 from pricetide.session import stash
 
+PIECE, READ_ROWS = 1 << 20, 500  # bytes inflated, and records read, at a time
 ARCHIVE_BYTES = 8 << 20  # of records before compression
 LEVEL = 4
 GZIP = 31  # zlib's window bits for gzip framing
@@ -56,7 +61,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, re
     if page_id is not None:
         lines.append(f"WARC-Record-ID: <{RECORD_ID}{page_id}>")
     if url is not None:
-        lines.append("WARC-Target-URI: " + "".join(c if c.isprintable() and c != " " else "%{:02X}".format(ord(c) % 256) for c in url))
+        lines.append("WARC-Target-URI: " + "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     if refers_to is not None:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{RECORD_ID}{refers_to}>"]
     lines += [f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -84,7 +89,7 @@ def write_monolithic(records: DataFrame) -> DataFrame:
             return K.table({"archive": [hashlib.sha1(first + b"%d" % zlib.crc32(data)).hexdigest()[:20]], "data": [data]}, _ARCHIVE)
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 rec = record(row["page_id"], row["url"], row["html"].encode(), bytes.fromhex(row["sha1"]), row["refers_to"])
                 if press is None:
                     press, first = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), rec[:400]
@@ -99,14 +104,48 @@ def write_monolithic(records: DataFrame) -> DataFrame:
     return records.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(run, "archive string, data binary")
 
 
-def inflated(data: bytes) -> bytes:
-    """All members of a gzip file, inflated in one pass."""
-    out = []
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time: only one archive is held as Python bytes."""
+    for at in range(batch.num_rows):
+        yield {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """All members of a gzip file in one pass, as pieces of at most ``PIECE`` bytes."""
     while data:
         stream = zlib.decompressobj(GZIP)
-        out.append(stream.decompress(data))
+        while not stream.eof:
+            piece = stream.decompress(data, PIECE)
+            data = stream.unconsumed_tail
+            if piece:
+                yield piece
+            elif not data and not stream.eof:
+                raise ValueError("gzip stream ends early")
         data = stream.unused_data
-    return b"".join(out)
+
+
+def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields of each record of a gzip file, and the record as a gzip member; held are a piece and the member."""
+    pieces, held = inflated(data), bytearray()
+    while True:
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if (more := next(pieces, None)) is None:
+                if held:
+                    raise ValueError("archive ends within a record's header")
+                return
+            held += more
+        fields, _, left = headers(bytes(held[: end + 4]), 0)
+        press, member = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), []
+        while left:
+            if not held:
+                if (more := next(pieces, None)) is None:
+                    raise ValueError("archive ends within a record")
+                held += more
+            part = bytes(held[:left])
+            del held[: len(part)]
+            left -= len(part)
+            member.append(press.compress(part))
+        yield fields, b"".join([*member, press.flush()])
 
 
 def normalise(archives: DataFrame) -> DataFrame:
@@ -114,16 +153,12 @@ def normalise(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data, at, place, members, index = inflated(row["data"]), 0, 0, [], []
-                while at < len(data):
-                    fields, _, nxt = headers(data, at)
-                    press = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
-                    member = press.compress(data[at:nxt]) + press.flush()
+            for row in rows_of(batch):
+                place, members, index = 0, [], []
+                for fields, member in split_records(row["data"]):
                     index.append({"record_id": fields.get("warc-record-id", "").strip("<>") or None, "offset": place, "length": len(member)})
                     members.append(member)
                     place += len(member)
-                    at = nxt
                 yield K.table({"archive": [row["archive"]], "data": [b"".join(members)], "index": [index]}, _MEMBER)
 
     return archives.select("archive", "data").mapInArrow(run, _MEMBER_DDL)
@@ -147,9 +182,10 @@ def read_records(members: DataFrame, with_payload: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if found := list(parsed(row)):
-                    yield pa.RecordBatch.from_pylist(found, schema=_PAGE)
+            for row in rows_of(batch):
+                found = parsed(row)
+                while part := list(islice(found, READ_ROWS)):
+                    yield pa.RecordBatch.from_pylist(part, schema=_PAGE)
 
     return members.select("archive", "data", "index").mapInArrow(run, _PAGE_DDL)
 
@@ -163,7 +199,7 @@ def export_files(members: DataFrame, uri: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 lines = "".join(f"{x['record_id'] or '-'} {x['offset']} {x['length']}\n" for x in row["index"])
                 for name, data in ((f"{row['archive']}.warc.gz", row["data"]), (f"{row['archive']}.idx", lines.encode())):
                     with store.open_output_stream(f"{root}/.{name}", compression=None) as f:

@@ -53,7 +53,27 @@ def test_payloads_come_back_whole(spark):
 
 
 def test_many_members_are_inflated_in_one_pass():
-    assert W.inflated(gzip.compress(b"a") + gzip.compress(b"b" * 1000)) == b"a" + b"b" * 1000
+    assert b"".join(W.inflated(gzip.compress(b"a") + gzip.compress(b"b" * 3_000_000) + gzip.compress(b""))) == b"a" + b"b" * 3_000_000
+    assert list(W.inflated(b"")) == []
+    with pytest.raises(ValueError):
+        list(W.inflated(gzip.compress(b"a" * 5000)[:-12]))
+
+
+def test_monolith_of_many_records(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (1 + i % 40)) for i in range(4000)] + [(9000, "big", "q" * 5_000_000)]
+    one = W.write_monolithic(W.deduplicated(pages(spark, rows).coalesce(1))).collect()
+    joined = b"".join(bytes(r.data) for r in one)  # a foreign file: several members of many records each
+    members = W.normalise(spark.createDataFrame([("whole", joined)], "archive string, data binary"))
+    got = {r.page_id: len(r.payload) for r in W.read_records(members).collect()}
+    assert got == {i: len(h) for i, _, h in rows}
+    with pytest.raises(ValueError):
+        list(W.split_records(gzip.compress(gzip.decompress(bytes(one[0].data))[:-700])))
+
+
+def test_urls_are_percent_encoded_by_byte(spark):
+    rows = [(1, "http://a/\u3000x\u2028y z\té", "h")]
+    members = W.normalise(W.write_monolithic(W.deduplicated(pages(spark, rows))))
+    assert W.read_records(members).first().url == "http://a/%E3%80%80x%E2%80%A8y%20z%09é"
 
 
 def test_export(spark, tmp_path):
