@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricetide.session import discard, stash_path
 
-HOT_DEGREE = 4096  # nodes of more edges, and more than a thousandth of all, aren't windowed: at most 2000 of them
+HOT_DEGREE = 1024  # nodes of more edges, and more than a thousandth of all, aren't windowed: at most 2000 of them
 
 
 def _with_least(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
