@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.functions import gate
@@ -41,6 +41,33 @@ def facts(signals: DataFrame) -> DataFrame:
     return out
 
 
+MESSAGE = "raw_text string, source_type string, source_ref string, captured_at timestamp"
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Messages (JSON lines) as signals: without a type they are a broker's, blank references and texts are none."""
+    raw = spark.read.schema(MESSAGE).json(path)
+    trimmed = raw.withColumns({"raw_text": F.trim("raw_text"), "source_ref": F.nullif(F.trim("source_ref"), F.lit("")), "source_type": F.coalesce("source_type", F.lit("broker"))})
+    return trimmed.where("raw_text <> ''")
+
+
+def curation_drafts(session: DataFrame, derived: DataFrame) -> DataFrame:
+    """Drafts of a session and those derived from its hierarchy, each marked with where it comes from."""
+    return session.withColumn("origin", F.lit("session")).unionByName(derived.withColumn("origin", F.lit("hierarchy")), allowMissingColumns=True)
+
+
+def backfill(properties: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(projects, buildings) of old property rows (project_name, building_name): one spelling of each normalized name.
+
+    The least spelling counts; blank names make no row, and a building needs its project.
+    """
+    norm = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    named = properties.select("project_name", "building_name", norm("project_name").alias("project"), norm("building_name").alias("building")).where("project is not null")
+    projects = named.groupBy(F.col("project").alias("name_normalized")).agg(F.min("project_name").alias("name"))
+    buildings = named.where("building is not null").groupBy("project", F.col("building").alias("name_normalized")).agg(F.min("building_name").alias("name"))
+    return projects, buildings
+
+
 def append_facts(rows: DataFrame, path: str) -> None:
     """Append accepted observations, partitioned by month."""
     rows.where("reason is null").drop("reason").write.mode("append").partitionBy("month").parquet(path)

@@ -206,3 +206,8 @@ def frontier(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
             break
         seen = seen.unionByName(level)
     return seen
+
+
+def minimum_yield(items: DataFrame, by: str, least: int) -> DataFrame:
+    """(by, items, failed): whether a crawl brought too few items."""
+    return items.groupBy(by).agg(F.count("*").alias("items")).withColumn("failed", F.col("items") < least)

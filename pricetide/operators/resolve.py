@@ -42,13 +42,20 @@ def entity_text(*columns: str | Column) -> Column:
 def token_matches(wanted: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """(ext_id, key): entities (key, search_text) whose text holds a token of the extraction."""
     distinct = wanted.select("token").distinct().withColumn("gram", F.substring("token", 1, 3))
-    spread = texts.select(key, "search_text", F.explode(trigrams(F.col("search_text"))).alias("gram"))
-    hits = spread.join(distinct, "gram").where(F.col("search_text").contains(F.col("token"))).select(key, "token").distinct()
+    spread = texts.select(key, F.explode(trigrams(F.col("search_text"))).alias("gram"))
+    maybe = spread.join(distinct, "gram").select(key, "token")  # keys alone; a text moves once it can be a hit
+    hits = maybe.join(texts.select(key, "search_text"), key).where(F.col("search_text").contains(F.col("token"))).select(key, "token").distinct()
     return wanted.join(hits, "token").select("ext_id", key).distinct()
 
 
+def canonical(entities: DataFrame, pointer: str = "canonical_id") -> DataFrame:
+    """Entities that aren't merged into another; all where there is no such column."""
+    return entities.where(F.col(pointer).isNull()) if pointer in entities.columns else entities
+
+
 def candidates(extractions: DataFrame, entities: DataFrame) -> DataFrame:
     """(ext_id, property_id): canonical entities of which a field holds a blocking token."""
+    entities = canonical(entities)
     aliases = F.array_join(_strings("aliases"), " ")
     texts = entities.select("property_id", entity_text("name", "project_name", "building_name", "house_number", aliases, "wiki_notes").alias("search_text"))
     return token_matches(blocking_tokens(extractions), texts, "property_id")
@@ -233,6 +240,31 @@ def apply_reviews(observations: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def create_suggestion(raw: Column | str, ref: Column | str) -> Column:
+    """Struct (project_name, building_name, house_number, label): what a reviewer would create from an extraction."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    project = T.clean_project_name(F.coalesce("project_name", "name"))
+    building = F.coalesce(blank("building_name"), T.infer_building(project, raw, ref))
+    label = F.nullif(F.concat_ws(" / ", blank(project), building, blank("house_number")), F.lit(""))
+    return F.struct(project.alias("project_name"), building.alias("building_name"), blank("house_number").alias("house_number"), F.coalesce(label, "name", F.lit("(new property)")).alias("label"))
+
+
+def review_queue(observations: DataFrame, signals: DataFrame, entities: DataFrame, newest: str = "created_at", limit: int | None = None) -> DataFrame:
+    """What waits for a reviewer: the observation, its signal, the best candidates and what could be created instead.
+
+    observations: ext_id, signal_id, needs_review, ``newest`` and the extraction record; signals: signal_id, raw_text,
+    source_type, source_ref. ``limit`` keeps the newest ones (the page a reviewer opens).
+    """
+    waiting = observations.where("needs_review")
+    if limit is not None:
+        waiting = waiting.orderBy(F.desc(newest), "ext_id").limit(limit)
+    seen = waiting.join(signals.select("signal_id", "raw_text", "source_type", "source_ref"), "signal_id")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "property_id", "score")))  # KEEP at most
+    found = ranked_candidates(waiting, entities).groupBy("ext_id").agg(listed.alias("candidates"))
+    none = F.array().cast("array<struct<rank:int,property_id:bigint,score:double>>")
+    return seen.join(found, "ext_id", "left").withColumns({"candidates": F.coalesce("candidates", none), "suggestion": create_suggestion("raw_text", "source_ref")})
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -37,9 +37,13 @@ def refs(d):
 @query("F6_F8_best_similarities", "WITH n AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS t FROM part), b AS (SELECT p_brand, list(DISTINCT p_name) AS names FROM part WHERE p_size > 25 GROUP BY 1) SELECT name, p_brand AS project, round(list_max(list_transform(names, lambda x: CASE WHEN x = name THEN 1.0 ELSE len(list_intersect(t, string_split(x, ' ')))::DOUBLE / len(list_distinct(list_concat(t, string_split(x, ' ')))) END)), 6) AS best FROM n, b")
 def best(d):
     p = d.properties()
-    groups = p.where("size > 25").groupBy("project").agg(F.collect_set("name").alias("names"))
-    keyed = groups.select("project", F.transform("names", T.keyed).alias("keys"))
-    return p.select("name").distinct().withColumn("key", T.keyed("name")).join(F.broadcast(keyed)).select("name", "project", F.round(T.max_keyed_sim(F.col("key"), F.col("keys")), 6).alias("best"))
+    named = p.where("size > 25").select("project", F.col("name").alias("other")).distinct()
+    names = p.select("name").distinct()
+    word = lambda c: F.explode(F.array_distinct(T.tokens(T.normalize_name(c)))).alias("word")
+    near = names.select("name", word("name")).join(named.select("project", "other", word("other")), "word").select("name", "project", "other").distinct()
+    sims = near.select("name", "project", T.text_sim("name", "other").alias("sim")).groupBy("name", "project").agg(F.max("sim").alias("best"))
+    every = names.crossJoin(named.select("project").distinct())  # the result has a row for each of these, near or not
+    return every.join(sims, ["name", "project"], "left").select("name", "project", F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best"))
 
 
 @query("F24_F25_R10_R16_inferred_names", "SELECT p_partkey AS property_id, p_brand AS project, p_type AS building FROM part")
@@ -50,10 +54,9 @@ def inferred(d):
 
 @query("F28_tolerant_json", "SELECT event_id, least(greatest(CAST(json_extract_string(props, '$.k') AS INTEGER) / 100.0::DOUBLE, 0), 1) AS confidence, 'unknown' AS kind FROM events")
 def tolerant(d):
-    j = F.from_json("props", "k double, kind string, items array<string>", {"mode": "PERMISSIVE"})
-    bounded = F.least(F.greatest(F.coalesce(j["k"] / 100, F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
-    kind = F.when(j["kind"].isin("apartment", "house", "land", "project"), j["kind"]).otherwise("unknown")
-    return d.table("events").select("event_id", bounded.alias("confidence"), kind.alias("kind"))
+    from pricetide.operators.extract import tolerant_record
+
+    return d.table("events").select("event_id", tolerant_record(F.col("props"), "k", "kind").alias("r")).select("event_id", "r.confidence", "r.kind")
 
 
 @query("F35_search_texts", "SELECT p_partkey AS property_id, p_brand || ' ' || p_type || ' ' || p_name || ' housing' AS text FROM part")

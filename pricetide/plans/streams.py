@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pricetide.operators.dedup import first_by
 from pricetide.plans.registry import query
-from pricetide.session import scratch_root
+from pricetide.session import scratch_root, stash
 from pricetide.sources.domain import EVENTS
 from pricetide.streaming import streams as S
 
@@ -37,9 +37,10 @@ def job_counters(d):
 
 @query("T1_stream_first_nonces", f"WITH {EVENTS} SELECT DISTINCT device_id, pages AS nonce FROM ev")
 def first_nonces(d):
-    """Over one batch of events every nonce is new once; the watermark decides only between batches."""
-    sent = _stream(d).select("device_id", F.col("pages").alias("nonce"), F.col("ts").alias("sent_at"))
-    return _run(d, S.first_nonces(sent), "append").select("device_id", "nonce").distinct()
+    """Events in several micro-batches, all sent at one time: the state lets each nonce of a device through once."""
+    split = stash(d.events().select("device_id", F.col("pages").alias("nonce"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("sent_at")).repartition(3), "nonces")
+    sent = d.spark.readStream.schema(split.schema).option("maxFilesPerTrigger", 1).parquet(split.inputFiles()[0].rsplit("/", 1)[0])
+    return _run(d, S.first_nonces(sent), "append").select("device_id", "nonce")
 
 
 @query("T11_stream_activity", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")

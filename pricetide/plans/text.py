@@ -116,7 +116,7 @@ def whole_frontier(d):
 
 @query("E11_minimum_yield", "SELECT source, count(*) AS items, count(*) < 50 AS failed FROM documents GROUP BY source")
 def minimum(d):
-    return d.table("documents").groupBy("source").agg(F.count("*").alias("items")).withColumn("failed", F.col("items") < 50)
+    return P.minimum_yield(d.table("documents"), "source", 50)
 
 
 @query("E5_F32_listings")
@@ -127,7 +127,7 @@ def listings(d):
 
 @query("E6_F18_F19_distilled")
 def distilled(d):
-    return d.table("documents").select("doc_id", X.distilled(F.col("text"), F.col("source"), F.lit(None).cast("string")).alias("post"))
+    return X.distilled_posts(d.table("documents"), "doc_id", "text", "source")
 
 
 @query("F17_clean_lines", "SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS hash FROM documents")

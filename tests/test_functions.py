@@ -62,7 +62,13 @@ def test_address_shorthand(spark):
 def test_names_from_display_names(spark):
     got = values(spark, ["Sky / S1 / 12", "Sky > S1", "Sky", "2 tỷ / S1"], T.hierarchy_from_name)
     assert [tuple(r) for r in got] == [("Sky", "S1"), ("Sky", "S1"), (None, None), (None, "S1")]
-    assert values(spark, ["Sky Park", "giá 3 tỷ", "chung cư", "x" * 90, "77"], T.reasonable_name) == ["Sky Park", None, None, None, None]
+    assert values(spark, ["Sky Park", "giá 3 tỷ", "chung cư", "x" * 90, "77", "Tower", "Sky Tower", "for sale", "3,5 tr", "tr 5", "Thuê", " "], T.reasonable_name) == ["Sky Park", None, None, None, "77", None, "Sky Tower", None, "3,5 tr", "tr 5", "Thuê", None]
+
+
+def test_flat_json_and_field_lines(spark):
+    rows = ['{"name":" A  b ","price":12.5,"x":{"name":"no"}}', '{"name":{"name":"in","value":7},"priceCurrency":"VND"}', '["a"]', '"', "plain  text", "{}", "", '{"name":[1],"value":""}', None]
+    assert values(spark, rows, lambda x: T.flat_json(F.col(x) if isinstance(x, str) else x)) == ["A b 12.5", "in 7 VND", None, '"', "plain text", None, None, None, None]
+    assert values(spark, ["v ", " ", None], lambda x: T.field_lines({"A": F.col(x) if isinstance(x, str) else x, "B": F.lit("b")})) == ["A: v\nB: b", "B: b", "B: b"]
 
 
 def test_building_inference(spark):

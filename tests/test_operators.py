@@ -169,13 +169,30 @@ def test_several_listings_in_a_message(spark):
 
 def test_distillation(spark):
     raw = "Đăng nhập\nBán căn hộ Sky 60m2 giá 3 tỷ. Liên hệ: 0909 123 456\nbán căn hộ sky 60m2 giá 3 tỷ.\nmenu\nTrời đẹp quá\n" + "Giá tốt " * 60
-    post = spark.range(1).select(X.distilled(F.lit(raw), F.lit("r1"), F.lit(None).cast("string"))).first()[0]
-    lines = post.split("\n")
+    rows = spark.createDataFrame([(1, raw, "r1", None), (2, "Trời đẹp", "r", "p"), (3, None, "r", None)], "id int, text string, ref string, page string")
+    posts = {r["id"]: r.post for r in X.distilled_posts(rows, "id", "text", "ref", "page").collect()}
+    lines = posts[1].split("\n")
     assert lines[:3] == ["Distilled public web listing for extraction.", "Source URL: r1", "Key explicit facts:"]
     assert lines[3] == "- Bán căn hộ Sky 60m2 giá 3 tỷ." and len(lines) == 6 and lines[4].endswith("...") and len(lines[4]) <= 2 + X.FACT_CHARS + 3
     assert lines[5] == "Distillation confidence: 0.55"
-    none = spark.range(1).select(X.distilled(F.lit("Trời đẹp"), F.lit("r"), F.lit("p"))).first()[0]
-    assert "No clear listing facts found." in none and none.endswith("0.30") and "Collected from: p" in none
+    assert "No clear listing facts found." in posts[2] and posts[2].endswith("0.30") and "Collected from: p" in posts[2]
+    assert posts[3].endswith("0.30")
+
+
+def test_described_post(spark):
+    row = {c: None for c in X.DESCRIBED.values()} | {"title": " T ", "listing_type": "unknown", "property_type": "house", "price_text": "3 tỷ"}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} string" for c in row))
+    got = df.select(X.described_post(F.lit("u"), F.lit(None).cast("string"), F.array(F.lit(" a "), F.lit("")), F.lit(0.7))).first()[0]
+    assert got == "Distilled public web listing for extraction.\nSource URL: u\nTitle: T\nProperty type: house\nPrice: 3 tỷ\nAdditional explicit facts:\n- a\nDistillation confidence: 0.70"
+
+
+def test_messages_and_backfill(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"raw_text":" a ","source_ref":" "}\n{"raw_text":" "}\n{"raw_text":"b","source_type":"web","source_ref":"r"}\n')
+    got = sorted((r.raw_text, r.source_type, r.source_ref) for r in I.read_messages(spark, str(tmp_path / "m.json")).collect())
+    assert got == [("a", "broker", None), ("b", "web", "r")]
+    projects, buildings = I.backfill(spark.createDataFrame([("Sky ", "S1"), ("sky", " s1"), ("Park", None), (" ", "x"), (None, "y")], "project_name string, building_name string"))
+    assert sorted(r.name_normalized for r in projects.collect()) == ["park", "sky"]
+    assert [(r.project, r.name_normalized) for r in buildings.collect()] == [("sky", "s1")]
 
 
 HTML = """<html><head><title> A &amp; B </title><meta property="og:title" content="OG"><script type="application/ld+json">{"a":1}</script></head><body><nav><a href="/n">nav</a></nav>
