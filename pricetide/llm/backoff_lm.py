@@ -4,11 +4,11 @@ score(w | context) is count(context w) / count(context) where that n-gram occurs
 under a shorter context; a word that occurs nowhere else counts one half. The counts are those of the whole table less
 the document's own, so copies of a document raise its score but its own text doesn't.
 
-All is relational, on packed rows. Documents are dealt into chunks of bounded size by a hash. A chunk's distinct n-grams
-(hashed to 64 bits) with their counts go out as one row for each range of hashes; so a frequent n-gram is one entry
-of each chunk, never a hot key. The rows of a range make its part of the count table, which is joined to each chunk's
-entries and sent back as counts in the entries' order. Chunk by chunk, n-grams look up their counts and are summed by
-document.
+All is relational. Documents are dealt into chunks of bounded size by a hash. A chunk's distinct n-grams (hashed to 64
+bits, all orders) are exploded into rows (gram, chunk, count), so a frequent n-gram is one row of each chunk, never one
+of each occurrence, and rows grow with the words. Partitioned by the n-gram they are summed to the count table and
+joined to it in one pass (a window over the n-gram); what other chunks count goes back to a chunk, for the n-grams that
+occur in another one. Chunk by chunk, n-grams look up their counts and are summed by document.
 
 Nulls: a null text has no words and score 0; null doc_ids are scored like others. Repeated rows are documents of their
 own, so each counts as "another" of the others. Extra columns are not looked at. Empty tables give no rows.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.llm import kernel as K
@@ -29,24 +29,12 @@ from pricetide.session import cut
 CHUNK_BYTES = 8 << 20  # of text
 ALPHA = 0.4
 
-_ENTRY = pa.schema([("range", pa.int64()), ("order", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
-_ENTRY_DDL = "range bigint, order int, chunk bigint, grams binary, counts binary"
-_ANSWER = pa.schema([("chunk", pa.int64()), ("order", pa.int32()), ("range", pa.int64()), ("counts", pa.binary())])
-_ANSWER_DDL = "chunk bigint, order int, range bigint, counts binary"
+_ENTRY = pa.schema([("gram", pa.int64()), ("chunk", pa.int64()), ("count", pa.int64())])
+_ENTRY_DDL = "gram bigint, chunk bigint, count bigint"
 _SCORE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("part", pa.float64()), ("n_unigram", pa.int64()), ("n_backoff", pa.int64())])
 _SCORE_DDL = "doc_id bigint, n_words bigint, part double, n_unigram bigint, n_backoff bigint"
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Bytes by significance, which a compressor of the shuffle shortens."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def unplanes(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
-
-
 def chunk_words(text: pa.ChunkedArray) -> K.Words:
     """Words of a whole chunk; text numbers run over the chunk."""
     parts, at = [], 0
@@ -65,54 +53,31 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
-def _entries(order: int, ranges: int):
+def _entries(order: int):
     def run(table: pa.Table) -> pa.Table:
-        chunk, found = table.column("chunk")[0].as_py(), chunk_words(table.column("text"))
-        out: dict[str, list] = {f.name: [] for f in _ENTRY}
-        for n in range(1, order + 1):
-            gram = np.sort(K.grams(found, n)[0])
-            first = _runs(gram)
-            gram, count = gram[first[:-1]], np.diff(first).astype(np.uint32)
-            place = range_of(gram, ranges)
-            cuts = _runs(place)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out["range"].append(int(place[lo]))
-                out["order"].append(n)
-                out["chunk"].append(chunk)
-                out["grams"].append(planes(np.diff(gram[lo:hi], prepend=np.uint64(0))))
-                out["counts"].append(planes(count[lo:hi]))
-        return pa.table([pa.array(out[f.name], f.type) for f in _ENTRY], schema=_ENTRY)
+        found = chunk_words(table.column("text"))
+        gram, count = np.unique(np.concatenate([K.grams(found, n)[0] for n in range(1, order + 1)]), return_counts=True)
+        chunk = np.full(len(gram), table.column("chunk")[0].as_py())
+        return pa.table([pa.array(gram.view(np.int64)), pa.array(chunk, pa.int64()), pa.array(count.astype(np.int64))], schema=_ENTRY)
 
     return run
 
 
-def range_of(gram: np.ndarray, ranges: int) -> np.ndarray:
-    return (((gram >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
-
-
-def _answers(table: pa.Table) -> pa.Table:
-    """Counts of the whole table for each chunk's entries of one range and order."""
-    grams = [np.cumsum(unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("grams")]
-    counts = [unplanes(x.as_py(), np.uint32) for x in table.column("counts")]
-    known, at = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts), len(known)).astype(np.uint64)
-    ends = np.cumsum([0, *map(len, grams)])
-    own = [planes(total[at[lo:hi]]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
-    return pa.table([table.column("chunk").combine_chunks(), table.column("order").combine_chunks(), table.column("range").combine_chunks(), pa.array(own, pa.binary())], schema=_ANSWER)
-
-
-def _elsewhere(gram: np.ndarray, text: np.ndarray, answers: list[np.ndarray]) -> np.ndarray:
-    """For each n-gram occurrence, how often it occurs in other documents."""
+def _elsewhere(gram: np.ndarray, text: np.ndarray, known: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each n-gram occurrence of a chunk, how often it occurs in other documents; known n-grams occur in other chunks too."""
     if not len(gram):
         return np.zeros(0)
     order = np.argsort(gram, kind="stable")  # texts stay in order among equal n-grams
     g, t = gram[order], text[order]
-    new = np.append(True, g[1:] != g[:-1])
-    total = np.concatenate(answers)[np.cumsum(new) - 1]
-    first = np.flatnonzero(new | np.append(True, t[1:] != t[:-1]))
-    own = np.repeat(np.diff(np.append(first, len(g))), np.diff(np.append(first, len(g))))
+    runs = _runs(g)
+    total = np.diff(runs)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, g[runs[:-1]]), len(known) - 1)
+        total = total + np.where(known[at] == g[runs[:-1]], others[at], 0)
+    first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (t[1:] != t[:-1])))
+    own = np.diff(np.append(first, len(g)))
     out = np.empty(len(g))
-    out[order] = total - own.astype(np.uint64)
+    out[order] = np.repeat(total, np.diff(runs)) - np.repeat(own, own)
     return out
 
 
@@ -120,13 +85,13 @@ def _scores(order: int, alpha: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         found = chunk_words(docs.column("text"))
         n_texts, n_words = docs.num_rows, len(found.hashes)
-        held: dict[int, list[tuple[int, np.ndarray]]] = {n: [] for n in range(1, order + 1)}
-        for row in answers.to_pylist():
-            held[row["order"]].append((row["range"], unplanes(row["counts"], np.uint64)))
+        known, others = answers.column("gram").to_numpy().view(np.uint64), answers.column("others").to_numpy()
+        by = np.argsort(known)
+        known, others = known[by], others[by]
         part, steps, done, shorter = np.zeros(n_words), np.zeros(n_words, np.int64), np.zeros(n_words, bool), []
         for n in range(1, order + 1):
             gram, at = K.grams(found, n)
-            shorter.append((at, _elsewhere(gram, found.text[at], [x for _, x in sorted(held[n], key=lambda p: p[0])])))
+            shorter.append((at, _elsewhere(gram, found.text[at], known, others)))
         context = np.zeros((order + 1, n_words))  # [n]: count of the n-gram that begins at a word
         for n, (at, count) in enumerate(shorter, 1):
             context[n, at] = count
@@ -159,8 +124,9 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, chunk_
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("bigint")))
-    entries = dealt.groupBy("chunk").applyInArrow(_entries(order, -(-chunks // 2)), _ENTRY_DDL)
-    answers = entries.groupBy("range", "order").applyInArrow(_answers, _ANSWER_DDL)
+    entries = dealt.groupBy("chunk").applyInArrow(_entries(order), _ENTRY_DDL)
+    total = F.sum("count").over(Window.partitionBy("gram"))
+    answers = entries.withColumn("others", total - F.col("count")).where("others > 0").select("chunk", "gram", "others")
     parts = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(order, alpha), _SCORE_DDL))
     words = parts.agg(F.sum("n_words")).first()[0] or 0
     others = F.greatest(F.lit(words) - F.col("n_words"), F.lit(1))
