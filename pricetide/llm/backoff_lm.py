@@ -8,7 +8,8 @@ All is relational, on packed rows. Documents are dealt into chunks of bounded si
 (hashed to 64 bits) with their counts go out as one row for each range of hashes; so a frequent n-gram is one entry
 of each chunk, never a hot key. The rows of a range make its part of the count table, which is joined to each chunk's
 entries and sent back as counts in the entries' order. Chunk by chunk, n-grams look up their counts and are summed by
-document.
+document. A chunk has at most half of ``MOST_CHUNKS`` ranges, so rows stay packed and grow with the text: beyond that many
+chunks, the chunks of a ward are summed first, and wards, whose ranges are cut finer, meet as chunks do.
 
 Nulls: a null text has no words and score 0; null doc_ids are scored like others. Repeated rows are documents of their
 own, so each counts as "another" of the others. Extra columns are not looked at. Empty tables give no rows.
@@ -27,10 +28,11 @@ from pricetide.llm import kernel as K
 from pricetide.session import cut
 
 CHUNK_BYTES = 8 << 20  # of text
+MOST_CHUNKS = 4096  # whose rows meet at once; more chunks meet by wards of so many
 ALPHA = 0.4
 
-_ENTRY = pa.schema([("range", pa.int64()), ("order", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
-_ENTRY_DDL = "range bigint, order int, chunk bigint, grams binary, counts binary"
+_ENTRY = pa.schema([("range", pa.int64()), ("order", pa.int32()), ("chunk", pa.int64()), ("ward", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+_ENTRY_DDL = "range bigint, order int, chunk bigint, ward bigint, grams binary, counts binary"
 _ANSWER = pa.schema([("chunk", pa.int64()), ("order", pa.int32()), ("range", pa.int64()), ("counts", pa.binary())])
 _ANSWER_DDL = "chunk bigint, order int, range bigint, counts binary"
 _SCORE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("part", pa.float64()), ("n_unigram", pa.int64()), ("n_backoff", pa.int64())])
@@ -65,22 +67,40 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
-def _entries(order: int, ranges: int):
+def _rows(out: dict[str, list], order: int, chunk: int, ward: int, gram: np.ndarray, count: np.ndarray, ranges: int) -> None:
+    """Add the rows of sorted n-grams, one for each range that has any."""
+    place = range_of(gram, ranges)
+    cuts = _runs(place)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        out["range"].append(int(place[lo]))
+        out["order"].append(order)
+        out["chunk"].append(chunk)
+        out["ward"].append(ward)
+        out["grams"].append(planes(np.diff(gram[lo:hi], prepend=np.uint64(0))))
+        out["counts"].append(planes(count[lo:hi].astype(np.uint32 if count[lo:hi].max() < 2**32 else np.uint64)))
+
+
+def _entries(order: int, ranges: int, wards: int):
     def run(table: pa.Table) -> pa.Table:
         chunk, found = table.column("chunk")[0].as_py(), chunk_words(table.column("text"))
         out: dict[str, list] = {f.name: [] for f in _ENTRY}
         for n in range(1, order + 1):
             gram = np.sort(K.grams(found, n)[0])
             first = _runs(gram)
-            gram, count = gram[first[:-1]], np.diff(first).astype(np.uint32)
-            place = range_of(gram, ranges)
-            cuts = _runs(place)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out["range"].append(int(place[lo]))
-                out["order"].append(n)
-                out["chunk"].append(chunk)
-                out["grams"].append(planes(np.diff(gram[lo:hi], prepend=np.uint64(0))))
-                out["counts"].append(planes(count[lo:hi]))
+            _rows(out, n, chunk, chunk % wards, gram[first[:-1]], np.diff(first).astype(np.uint64), ranges)
+        return pa.table([pa.array(out[f.name], f.type) for f in _ENTRY], schema=_ENTRY)
+
+    return run
+
+
+def _ward_entries(ranges: int):
+    """The entries of a ward as those of one chunk, with finer ranges: from rows of one ward, range and order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out: dict[str, list] = {f.name: [] for f in _ENTRY}
+        known, total, *_ = _summed(table)
+        ward = table.column("ward")[0].as_py()
+        _rows(out, table.column("order")[0].as_py(), ward, ward, known, total, ranges)
         return pa.table([pa.array(out[f.name], f.type) for f in _ENTRY], schema=_ENTRY)
 
     return run
@@ -90,17 +110,35 @@ def range_of(gram: np.ndarray, ranges: int) -> np.ndarray:
     return (((gram >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """Counts of the whole table for each chunk's entries of one range and order."""
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of rows of one order and range, their counts, the place of each row's entries there, and the rows' ends."""
     grams = [np.cumsum(unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("grams")]
-    counts = [unplanes(x.as_py(), np.uint32) for x in table.column("counts")]
+    counts = [unplanes(data := x.as_py(), np.uint32 if len(data) == 4 * len(g) else np.uint64) for x, g in zip(table.column("counts"), grams, strict=True)]
     known, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(known)).astype(np.uint64)
-    ends = np.cumsum([0, *map(len, grams)])
+    return known, total, at, np.cumsum([0, *map(len, grams)])
+
+
+def _told(table: pa.Table, total: np.ndarray, at: np.ndarray, ends: np.ndarray) -> pa.Table:
     own = [planes(total[at[lo:hi]]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
     return pa.table([table.column("chunk").combine_chunks(), table.column("order").combine_chunks(), table.column("range").combine_chunks(), pa.array(own, pa.binary())], schema=_ANSWER)
 
 
+def _answers(table: pa.Table) -> pa.Table:
+    """Counts of the whole table for each chunk's entries of one range and order."""
+    _, total, at, ends = _summed(table)
+    return _told(table, total, at, ends)
+
+
+def _ward_answers(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """The same for a ward's chunks, from the answers to the ward's own entries (in the order of their finer ranges)."""
+    if not table.num_rows:
+        return pa.table([pa.array([], f.type) for f in _ANSWER], schema=_ANSWER)
+    _, _, at, ends = _summed(table)
+    parts = sorted(zip(answers.column("range").to_pylist(), answers.column("counts").to_pylist(), strict=True))
+    return _told(table, np.concatenate([unplanes(x, np.uint64) for _, x in parts]), at, ends)
+
+
 def _elsewhere(gram: np.ndarray, text: np.ndarray, answers: list[np.ndarray]) -> np.ndarray:
     """For each n-gram occurrence, how often it occurs in other documents."""
     if not len(gram):
@@ -159,8 +197,16 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, chunk_
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("bigint")))
-    entries = dealt.groupBy("chunk").applyInArrow(_entries(order, -(-chunks // 2)), _ENTRY_DDL)
-    answers = entries.groupBy("range", "order").applyInArrow(_answers, _ANSWER_DDL)
+    wards = -(-chunks // MOST_CHUNKS)
+    ranges = -(-min(chunks, MOST_CHUNKS) // 2)
+    entries = dealt.groupBy("chunk").applyInArrow(_entries(order, ranges, wards), _ENTRY_DDL)
+    if wards == 1:
+        answers = entries.groupBy("range", "order").applyInArrow(_answers, _ANSWER_DDL)
+    else:
+        finer = -(-wards // 2)
+        of_wards = entries.groupBy("ward", "range", "order").applyInArrow(_ward_entries(ranges * finer), _ENTRY_DDL)
+        told = of_wards.groupBy("range", "order").applyInArrow(_answers, _ANSWER_DDL).withColumnRenamed("chunk", "ward").withColumn("wide", F.expr(f"range div {finer}"))
+        answers = entries.groupBy("ward", "range", "order").cogroup(told.groupBy("ward", "wide", "order")).applyInArrow(_ward_answers, _ANSWER_DDL)
     parts = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(order, alpha), _SCORE_DDL))
     words = parts.agg(F.sum("n_words")).first()[0] or 0
     others = F.greatest(F.lit(words) - F.col("n_words"), F.lit(1))
