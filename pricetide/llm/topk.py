@@ -1,8 +1,8 @@
 """Exact top-k by inner product with norm-bucketed retrieval.
 
 Vectors are grouped by length (norm ranges, each cut into blocks of bounded size) and queries into blocks. A first
-pass over the block of longest vectors gives each query a lower bound of its k-th score. In every other pair of
-blocks that bound, over the query's norm and the block's largest norm, is a local cosine threshold: above 1 the query
+pass over a block of the longest vectors gives each query a lower bound of its k-th score. Pairs of blocks in which no
+query can reach its bound, by the longest norm, are left out before any vector moves. In every other pair that bound, over the query's norm and the block's largest norm, is a local cosine threshold: above 1 the query
 passes the block over; if it is high, vectors whose coordinates can't reach it at the query's largest coordinates are
 dropped; else only those too short are. What is left is verified by the products themselves.
 
@@ -11,7 +11,7 @@ integers (a score beyond 64 bits becomes the nearest 64-bit number). Ties go to
 
 Nulls: null vectors, vectors with a null, NaN or infinite component, and null ids take no part. Rows that repeat an
 id and a vector count once; a row never finds vectors of its own id. Vectors meet queries of their own dimension only.
-Empty tables give no rows.
+Other columns are not looked at. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pricetide.llm import kernel as K
 from pricetide.session import cut
 
-NORM_RANGES = 64
+NORM_RANGES, RANGE_ROWS = 64, 256  # ranges at most, and vectors of a range at least
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
 FOCUS = 4  # coordinates that prune
 HIGH_COSINE = 0.6  # local thresholds from here on prune by coordinates
@@ -151,46 +151,44 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _blocks(rows: DataFrame, size: int, ranges: int, first: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """rows with ``block``, numbered from ``first`` with the longest norms first, and (dims, block) of each."""
-    edges = {r["dims"]: r["e"] for r in rows.groupBy("dims").agg(F.percentile_approx("norm2", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5))).alias("e")).collect()}
-    level: Column = F.lit(0)
-    for dims, e in edges.items():
-        inner = F.lit(0)
-        for x in sorted(set(e)) if ranges > 1 else []:
-            inner = inner + (F.col("norm2") > x).cast("int")
-        level = F.when(F.col("dims") == dims, inner).otherwise(level)
-    levelled = rows.withColumn("level", level)
-    counts = levelled.groupBy("dims", "level").count().orderBy("dims", F.desc("level")).collect()  # dimensions x ranges
-    block, listed = F.lit(None).cast("bigint"), []
-    for r in counts:
-        salts = -(-r["count"] // size)
-        salt = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(salts).cast("bigint"))
-        block = F.when((F.col("dims") == r["dims"]) & (F.col("level") == r["level"]), F.lit(first + len(listed)).cast("bigint") + salt).otherwise(block)
-        listed += [(r["dims"], first + len(listed) + s) for s in range(salts)]
-    return levelled.withColumn("block", block).drop("level"), listed
+def _blocks(rows: DataFrame, size: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """rows with ``block``, and a small table of the blocks: dims, level (of norms, from 0), salt, block and its longest norm."""
+    cuts = [i / ranges for i in range(1, ranges)]
+    edges = cut(rows.groupBy("dims").agg((F.percentile_approx("norm2", cuts) if cuts else F.array().cast("array<double>")).alias("edges")))
+    levelled = rows.join(edges, "dims").withColumn("level", F.size(F.filter("edges", lambda x: F.col("norm2") > x))).drop("edges")
+    counts = cut(levelled.groupBy("dims", "level").agg(F.ceil(F.count("*") / size).cast("bigint").alias("salts"), F.sqrt(F.max("norm2")).alias("longest")))
+    salted = levelled.join(counts.select("dims", "level", "salts"), ["dims", "level"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(7)), "salts"))
+    block = F.xxhash64("dims", "level", "salt").alias("block")
+    listed = counts.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")).select("dims", "level", "salt", block, "longest")
+    return salted.select("vec_id", "v", "norm2", "dims", block), listed
+
+
+def _wanted(asked: DataFrame, asked_blocks: DataFrame, blocks: DataFrame, firsts: DataFrame, floors: DataFrame) -> DataFrame:
+    """(q_block, block): the pairs of blocks, beyond the first ones, in which some query's floor can be reached.
+
+    By the norms alone: a block of which the longest vector is shorter than the least floor / norm of the queries is out.
+    """
+    known = asked.select(F.col("block").alias("q_block"), F.col("vec_id").alias("query_id"), "norm2").join(floors, "query_id", "left")
+    need = F.when(F.col("least") > 0, F.col("least") / F.sqrt("norm2")).otherwise(-1.0)  # null: the query has no floor yet
+    reach = known.groupBy("q_block").agg((F.min(need) * (1 - 1e-9)).alias("reach"))
+    ours = asked_blocks.select("dims", F.col("block").alias("q_block")).join(reach, "q_block").join(firsts.withColumnRenamed("block", "first"), "dims")
+    return ours.join(blocks.select("dims", "block", "longest"), "dims").where((F.col("block") != F.col("first")) & ((F.col("longest") >= F.col("reach")) | (F.col("reach") < 0))).select("q_block", "block")
 
 
 def exact_topk(vectors: DataFrame, is_query: Column, k: int, scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of vectors (vec_id, embedding) where ``is_query`` (of vec_id) holds."""
     rows = cut(integer_vectors(vectors, scale))
     total = rows.count()
-    placed, blocks = _blocks(rows, BLOCK_ROWS, max(1, min(NORM_RANGES, total // BLOCK_ROWS)), 0)
-    asked, asked_blocks = _blocks(rows.where(is_query), QUERY_ROWS, 1, 0)
+    placed, blocks = _blocks(rows, BLOCK_ROWS, max(1, min(NORM_RANGES, total // RANGE_ROWS)))
+    asked, asked_blocks = _blocks(rows.where(is_query), QUERY_ROWS, 1)
     c = cut(_pack(placed, "vec_id").select("block", F.col("ids").alias("c_ids"), F.col("rows").alias("c_rows")))
     q = cut(_pack(asked, "vec_id").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")))
-    of_dims: dict[int, list[int]] = {}
-    for dims, b in blocks:
-        of_dims.setdefault(dims, []).append(b)
-    rest, first = F.array().cast("array<bigint>"), F.lit(None).cast("bigint")
-    for dims, own in of_dims.items():
-        held = F.col("q_block").isin([b for d, b in asked_blocks if d == dims] or [-1])
-        first = F.when(held, F.lit(own[0]).cast("bigint")).otherwise(first)
-        rest = F.when(held, F.sequence(F.lit(own[0] + 1).cast("bigint"), F.lit(own[-1]).cast("bigint")) if len(own) > 1 else F.array().cast("array<bigint>")).otherwise(rest)
-    opened = cut(_search(q.withColumn("block", first).withColumn("floors", F.lit(None).cast("binary")).join(c, "block"), k))
-    floors = _best(opened, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select("query_id", "least")
-    ordered = q.join(_floors_by_block(q, floors), "q_block")
-    pairs = ordered.withColumn("block", F.explode(rest)).join(c, "block")
+    firsts = blocks.groupBy("dims").agg(F.min_by("block", F.struct(-F.col("level"), F.col("salt"))).alias("block"))
+    opening = asked_blocks.select("dims", F.col("block").alias("q_block")).join(firsts, "dims").select("q_block", "block")
+    opened = cut(_search(q.withColumn("floors", F.lit(None).cast("binary")).join(opening, "q_block").join(c, "block"), k))
+    floors = cut(_best(opened, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select("query_id", "least"))
+    wanted = _wanted(asked, asked_blocks, blocks, firsts, floors)
+    pairs = q.join(_floors_by_block(q, floors), "q_block").join(wanted, "q_block").join(c, "block")
     found = opened.unionByName(_search(pairs, k))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

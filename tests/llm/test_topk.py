@@ -63,3 +63,24 @@ def test_large_numbers_are_exact(spark):
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, [1.0])]) == []
+
+
+def test_short_blocks_are_pruned_before_rows_move(spark, monkeypatch):
+    """With mixed norms most pairs of blocks can't reach a query's floor; they never get to the search."""
+    monkeypatch.setattr(T, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(T, "RANGE_ROWS", 32)
+    monkeypatch.setattr(T, "QUERY_ROWS", 16)
+    r = np.random.default_rng(2)
+    v = r.normal(size=(900, 6))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True) * np.exp(1.5 * r.normal(size=(900, 1)))
+    rows = [(i, [float(np.float32(x)) for x in row]) for i, row in enumerate(v)]
+    seen, real = [], T._wanted
+
+    def wanted(asked, asked_blocks, blocks, firsts, floors):
+        out = real(asked, asked_blocks, blocks, firsts, floors)
+        seen.append((out.count(), asked_blocks.count() * (blocks.count() - 1)))
+        return out
+
+    monkeypatch.setattr(T, "_wanted", wanted)
+    assert run(spark, rows, 30) == brute(rows, 30, 3)
+    assert seen[0][0] < 0.6 * seen[0][1], seen
