@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_SAMPLE = 5
+MEDIAN_BUCKETS = 64  # of values to a factor of e
 
 
 def finite(x: Column) -> Column:
@@ -67,8 +68,22 @@ def month_axis(rows: DataFrame, at: str, months: int) -> DataFrame:
 
 
 def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
-    """by, n, weighted_median: the least value at which the running weight reaches half of its group's."""
-    w = Window.partitionBy(*by)
-    run = F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("_run", run).withColumn("_all", F.sum(weight).over(w))
-    return marked.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.when(F.col("_run") >= F.col("_all") / 2, F.col(value))).alias("weighted_median"))
+    """by, n, weighted_median: the least value at which the running weight reaches half of its group's.
+
+    Weights are summed by bucket of value first (some thousands to a group, partial sums before the shuffle); only the
+    rows of the bucket that reaches the half are put in order.
+    """
+    v = F.col(value)
+    cells = rows.withColumn("_bucket", (F.signum(v) * F.floor(F.log1p(F.abs(v)) * MEDIAN_BUCKETS)).cast("bigint"))
+    sums = cells.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*by)
+    upto = F.sum("_w").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    marked = sums.withColumns({"_upto": upto, "_all": F.sum("_w").over(whole), "n": F.sum("_n").over(whole)}).where(F.col("_upto") >= F.col("_all") / 2)
+    half = marked.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min_by(F.struct(F.col("_bucket").alias("at"), (F.col("_upto") - F.col("_w")).alias("before"), F.col("_all").alias("all"), "n"), "_bucket").alias("_half"))
+    same = F.col("_bucket") == F.col("_half.at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inner = cells.join(half, same)
+    run = F.col("_half.before") + F.sum(weight).over(whole.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+    reached = F.min(F.when(F.col("_run") >= F.col("_half.all") / 2, v))
+    return inner.withColumn("_run", run).groupBy(*by).agg(F.first("_half.n").alias("n"), F.coalesce(reached, F.max(v)).alias("weighted_median"))

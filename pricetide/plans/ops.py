@@ -42,12 +42,12 @@ def expired(d):
     return O.expired(O.job_state(d.events()), _now(d)).select("job_id", "state")
 
 
-@query("T5_P26_W14_leasable", f"""WITH {JOBS}, dev AS (SELECT user_id AS device_id, min(user_id % 40) AS own FROM events GROUP BY 1), o AS (SELECT job_id, job_id % 7 AS priority, started_at FROM jobs WHERE state = 'queued'),
+@query("T5_P26_W14_leasable", f"""WITH {JOBS}, dev AS (SELECT user_id AS device_id, min(user_id * 31 + 1) AS own FROM events GROUP BY 1), o AS (SELECT job_id, job_id % 7 AS priority, started_at FROM jobs WHERE state = 'queued'),
 e AS (SELECT device_id, o.* FROM dev JOIN o ON device_id % 2 = 0 OR o.job_id = own), r AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY priority DESC, started_at, job_id) AS place FROM e) SELECT device_id, job_id, place::INTEGER AS place FROM r WHERE place <= 3""")
 def leasable(d):
     state = O.job_state(d.events()).select("job_id", F.col("job_id").alias("source_id"), "state", (F.col("job_id") % 7).alias("priority"), F.col("started_at").alias("created_at"))
     none = F.array().cast("array<bigint>")
-    scoped = d.events().select("device_id").distinct().withColumn("scope", F.when(F.col("device_id") % 2 == 0, none).otherwise(F.array(F.col("device_id") % 40)))
+    scoped = d.events().select("device_id").distinct().withColumn("scope", F.when(F.col("device_id") % 2 == 0, none).otherwise(F.array(F.col("device_id") * 31 + 1)))
     return O.leasable(state, scoped, 3)
 
 

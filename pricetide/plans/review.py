@@ -170,3 +170,13 @@ def stream_signals(d):
     split = stash(d.table("documents").select(F.lit("web").alias("source_type"), F.col("source").alias("source_ref"), F.col("text").alias("raw_text"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("captured_at")).repartition(3), "signals")
     raw = d.spark.readStream.schema(split.schema).option("maxFilesPerTrigger", 1).parquet(split.inputFiles()[0].rsplit("/", 1)[0])
     return _run(d, S.new_signals(raw), "append").select("source_ref", "content_hash")
+
+
+@query("R6_created_rows", f"""SELECT sha256(concat_ws('|', {NORM.format("p_brand || ' / ' || p_type")}, 'apartment')) AS property_id, p_brand || ' / ' || p_type AS name, {NORM.format("p_brand || ' / ' || p_type")} AS name_normalized, p_brand AS project_name,
+  p_type AS building_name, p_name || '|old ' || p_name AS aliases, 'dự án|' || lower(p_type) AS tags, count(*) AS n FROM part GROUP BY p_brand, p_type, p_name""")
+def created_rows(d):
+    """The rows that extractions create, with keys, aliases (without the row's own name) and tags."""
+    p, none = d.properties(), _null()
+    ext = p.select("name", F.concat(F.lit("dự án "), "project").alias("project_name"), F.col("property_type").alias("building_name"), none.alias("house_number"), none.alias("location_text"), F.array(F.concat(F.lit("old "), "name"), F.concat(F.col("project"), F.lit(" "), F.col("property_type"))).alias("aliases"), F.array(F.lower("property_type"), F.upper("property_type")).alias("tags"), F.lit("apartment").alias("type"), F.col("size").alias("area_m2"))
+    made = R.created_entities(ext).withColumns({"aliases": F.array_join("aliases", "|"), "tags": F.array_join("tags", "|")})
+    return made.groupBy("property_id", "name", "name_normalized", "project_name", "building_name", "aliases", "tags").agg(F.count("*").alias("n"))

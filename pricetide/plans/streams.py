@@ -16,7 +16,7 @@ def _stream(d):
     static = d.table("events")
     raw = d.spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d.folder}/events*")
     kind = F.element_at(F.create_map(*map(F.lit, ("signup", "job_created", "view", "heartbeat", "click", "page", "error", "user_action", "purchase", "completed"))), F.col("event_type"))
-    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("device_id"), (F.col("user_id") % 40).alias("job_id"), kind.alias("type"), F.get_json_object("props", "$.k").cast("int").alias("pages"))
+    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("device_id"), (F.col("user_id") * 31 + F.dayofmonth("ts")).alias("job_id"), kind.alias("type"), F.get_json_object("props", "$.k").cast("int").alias("pages"))
 
 
 def _run(d, df, mode):

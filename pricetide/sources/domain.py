@@ -63,9 +63,9 @@ class Domain:
         return self.table("documents").select(F.col("doc_id").alias("signal_id"), F.lit("web").alias("source_type"), F.col("source").alias("source_ref"), F.col("text").alias("raw_text"))
 
     def events(self) -> DataFrame:
-        """Device events: an error blocks a job, a purchase completes it."""
+        """Device events: a device has a job a day of the month; an error blocks it, a purchase completes it."""
         kind = F.element_at(F.create_map(*map(F.lit, ("signup", "job_created", "view", "heartbeat", "click", "page", "error", "user_action", "purchase", "completed"))), F.col("event_type"))
-        return self.table("events").select("event_id", "ts", F.col("user_id").alias("device_id"), (F.col("user_id") % 40).alias("job_id"), kind.alias("type"), "value", F.get_json_object("props", "$.k").cast("int").alias("pages"))
+        return self.table("events").select("event_id", "ts", F.col("user_id").alias("device_id"), (F.col("user_id") * 31 + F.dayofmonth("ts")).alias("job_id"), kind.alias("type"), "value", F.get_json_object("props", "$.k").cast("int").alias("pages"))
 
 
 #: The observations as SQL, for oracles.
@@ -80,7 +80,7 @@ reviewed AS (SELECT * FROM obs WHERE NOT needs_review AND property_id IS NOT NUL
 
 #: The device events as SQL.
 EVENTS = """ev AS (
-  SELECT event_id, ts, user_id AS device_id, user_id % 40 AS job_id, value,
+  SELECT event_id, ts, user_id AS device_id, user_id * 31 + day(ts) AS job_id, value,
     CASE event_type WHEN 'signup' THEN 'job_created' WHEN 'view' THEN 'heartbeat' WHEN 'click' THEN 'page' WHEN 'error' THEN 'user_action' WHEN 'purchase' THEN 'completed' END AS type,
     CAST(json_extract_string(props, '$.k') AS INTEGER) AS pages
   FROM events)"""
