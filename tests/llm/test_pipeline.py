@@ -37,3 +37,13 @@ def test_stages(spark, corpus):
 def test_stages_take_empty_tables(spark, corpus):
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, corpus.where("false"), "").count() == 0
+
+
+def test_stages_take_columns_of_any_name(spark, docs, words):
+    rows = [(i, " ".join(words(90 + i % 60, "en", seed=i)), "en", "s") for i in range(30)] + [(90, " ".join(words(90, "en", seed=0)), "en", "s"), (None, "token=abcdefgh12 " + " ".join(words(90, seed=3)), None, None)]
+    df = docs(rows, extra=True).selectExpr("*", "'clash' AS tested", "'clash' AS ids")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, df, "")
+        assert out.columns == df.columns, name
+        assert {r["_tag"] for r in out.collect()} == {"clash"}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() >= len(rows)
