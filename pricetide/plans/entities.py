@@ -174,10 +174,10 @@ def cosine(d):
     return e.join(other, (e["label"] == other["label"]) & (F.col("other") == F.col("vec_id") + 1)).select(F.col("vec_id").alias("id"), "other", F.round(score(F.col("embedding"), F.col("v")), 5).alias("cosine"))
 
 
-@query("D10_pointer_chase", """WITH RECURSIVE log AS (SELECT l_partkey AS f, max(l_partkey // 2) AS t FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1), c AS (SELECT f AS id, t AS canonical FROM log UNION ALL SELECT c.id, log.t FROM c JOIN log ON c.canonical = log.f)
+@query("D10_pointer_chase", """WITH RECURSIVE log AS (SELECT l_partkey AS f, max(l_partkey // 2) AS t FROM lineitem WHERE l_partkey > 0 GROUP BY 1), c AS (SELECT f AS id, t AS canonical FROM log UNION ALL SELECT c.id, log.t FROM c JOIN log ON c.canonical = log.f)
 SELECT id, min(canonical) AS canonical FROM c GROUP BY id""")
 def pointers(d):
-    merges = d.table("lineitem").where("l_partkey % 3 <> 0").select(F.col("l_partkey").alias("from_id"), F.floor(F.col("l_partkey") / 2).alias("to_id"), F.col("l_orderkey").alias("merge_id"), F.lit(False).alias("undone"))
+    merges = d.table("lineitem").where("l_partkey > 0").select(F.col("l_partkey").alias("from_id"), F.floor(F.col("l_partkey") / 2).alias("to_id"), F.col("l_orderkey").alias("merge_id"), F.lit(False).alias("undone"))
     return K.resolve_pointers(merges)
 
 

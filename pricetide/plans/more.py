@@ -34,10 +34,10 @@ def refs(d):
     return d.table("documents").select("doc_id", U.signal_ref(F.lit("web"), "source", F.concat(F.lit("https://p/"), "source"), "text").alias("ref"))
 
 
-@query("F6_F8_best_similarities", "WITH n AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS t FROM part), b AS (SELECT p_brand, list(DISTINCT p_name) AS names FROM part WHERE p_size > 25 GROUP BY 1) SELECT name, p_brand AS project, round(list_max(list_transform(names, lambda x: CASE WHEN x = name THEN 1.0 ELSE len(list_intersect(t, string_split(x, ' ')))::DOUBLE / len(list_distinct(list_concat(t, string_split(x, ' ')))) END)), 6) AS best FROM n, b")
+@query("F6_F8_best_similarities", "WITH n AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS t FROM part), b AS (SELECT p_brand, list(DISTINCT p_name) AS names FROM part GROUP BY 1) SELECT name, p_brand AS project, round(list_max(list_transform(names, lambda x: CASE WHEN x = name THEN 1.0 ELSE len(list_intersect(t, string_split(x, ' ')))::DOUBLE / len(list_distinct(list_concat(t, string_split(x, ' ')))) END)), 6) AS best FROM n, b")
 def best(d):
     p = d.properties()
-    named = p.where("size > 25").select("project", F.col("name").alias("other")).distinct()
+    named = p.select("project", F.col("name").alias("other")).distinct()
     names = p.select("name").distinct()
     word = lambda c: F.explode(F.array_distinct(T.tokens(T.normalize_name(c)))).alias("word")
     near = names.select("name", word("name")).join(named.select("project", "other", word("other")), "word").select("name", "project", "other").distinct()
@@ -172,10 +172,10 @@ def research(d):
     return held.select("project", I.research_record("project", "facts", "evidence").alias("r")).select("project", F.size("r.facts").cast("bigint").alias("facts"), F.size("r.evidence").cast("bigint").alias("evidence"))
 
 
-@query("R13_applied_hierarchies", "SELECT p_partkey AS ext_id, 'Project ' || p_brand AS project_name, 'Project ' || p_brand || ' / ' || p_type AS name, p_name AS alias FROM part WHERE p_size > 20")
+@query("R13_applied_hierarchies", "SELECT p_partkey AS ext_id, 'Project ' || p_brand AS project_name, 'Project ' || p_brand || ' / ' || p_type AS name, p_name AS alias FROM part")
 def applied(d):
     none = _null()
-    ext = d.properties().where("size > 20").select(F.col("property_id").alias("ext_id"), "name", none.alias("project_name"), none.alias("building_name"), none.alias("house_number"), none.alias("location_text"), F.array().cast("array<string>").alias("aliases"), F.col("project"), F.col("property_type").alias("kind"))
+    ext = d.properties().select(F.col("property_id").alias("ext_id"), "name", none.alias("project_name"), none.alias("building_name"), none.alias("house_number"), none.alias("location_text"), F.array().cast("array<string>").alias("aliases"), F.col("project"), F.col("property_type").alias("kind"))
     chosen = ext.select("ext_id", F.concat(F.lit("Project "), "project").alias("full"), "kind").select("ext_id", F.concat(F.lit(""), "full").alias("project_name"), F.col("kind").alias("building_name"))
     out = R.apply_hierarchy(ext.drop("project", "kind"), chosen)
     return out.select("ext_id", "project_name", F.concat_ws(" / ", "project_name", "building_name").alias("name"), F.element_at("aliases", 1).alias("alias"))

@@ -94,14 +94,14 @@ def changed(d):
     return P.changes(d.table("documents"), "source", "doc_id", "text").select("doc_id", "source", "changed")
 
 
-EDGES = "e AS (SELECT DISTINCT o_custkey % 997 AS src, o_orderkey % 997 AS dst FROM orders WHERE o_orderpriority = '1-URGENT')"
+EDGES = "e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem)"
 
 
-@query("E10_link_frontier", f"WITH RECURSIVE {EDGES}, r(url, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY url")
+@query("E10_link_frontier", f"WITH RECURSIVE {EDGES}, r(url, depth) AS (SELECT min(l_orderkey)::BIGINT, 0 FROM lineitem UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY url")
 def frontier(d):
-    o = d.table("orders").where("o_orderpriority = '1-URGENT'")
-    edges = o.select((F.col("o_custkey") % 997).alias("src"), (F.col("o_orderkey") % 997).alias("dst")).distinct()
-    return P.frontier(edges, d.spark.range(1).select(F.col("id").alias("url")), 4)
+    items = d.table("lineitem")
+    pairs = F.inline(F.array(F.struct(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")), F.struct(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))))
+    return P.frontier(items.select(pairs).distinct(), items.agg(F.min("l_orderkey").cast("bigint").alias("url")), 4)
 
 
 ALL_EDGES = "e AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst FROM orders)"
