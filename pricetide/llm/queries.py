@@ -176,6 +176,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+@query(
+    "op11_line_dedup",
+    rf"""
+    WITH l AS (
+      SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k
+      FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+    c AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*)::BIGINT AS n_lines, count(c.k)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.k IS NULL), '')) AS kept_sha256
+    FROM l LEFT JOIN c USING (k) GROUP BY doc_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.line_dedup import line_digest
+
+    return line_digest(read(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
+
+
+SQL_CRC32 = """crc AS MATERIALIZED (
+      SELECT t, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(t) + 1), lambda i: ascii(t[i])::BIGINT)), lambda c, x:
+        list_reduce(list_concat([xor(c, x)], range(8)), lambda v, j: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))) AS v FROM texts)"""
+
+
+@query(
+    "op13_prefix_trie",
+    rf"""
+    WITH o AS (
+      SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS ts
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    texts AS (SELECT c::VARCHAR AS t FROM o), {SQL_CRC32},
+    h AS (SELECT o.c, ts, xor(v, 4294967295) % 4 AS h FROM o JOIN crc ON t = c::VARCHAR),
+    b AS (SELECT h.c, list_concat(coalesce(o.ts[:h], []), h.ts[h + 1:]) AS ts FROM h LEFT JOIN o ON o.c = h.c - h.c % 20),
+    m AS (SELECT c, len(ts) AS n, d, ts[:d] AS k FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM b)),
+    x AS (
+      SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+        CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].t, {SQL_WORDS})) END AS words
+      FROM m GROUP BY k, d),
+    u AS (SELECT k[:d - 1] AS k, count(*) AS n_children FROM x WHERE d > 0 GROUP BY 1),
+    y AS (SELECT x.*, coalesce(n_children, 0) AS n_children FROM x LEFT JOIN u USING (k)),
+    s AS (
+      SELECT k[:a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+      FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM y) GROUP BY 1)
+    SELECT y.conv_id, y.d::BIGINT AS depth, p.conv_id AS parent_conv_id, y.n_convs, y.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, y.ends_sha256
+    FROM y JOIN s ON s.k = y.k LEFT JOIN x p ON y.d > 0 AND p.k = y.k[:y.d - 1]
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(read(spark, sf_dir, "conversations"), every=20, most=4)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
