@@ -176,11 +176,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+SQL_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 @query(
     "op11_line_dedup",
     rf"""
     WITH l AS (
-      SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k
+      SELECT doc_id, i, line, translate(trim(line, {SQL_WHITE}), '{UPPER}', '{LOWER}') AS k
       FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
     c AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
     SELECT doc_id, count(*)::BIGINT AS n_lines, count(c.k)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.k IS NULL), '')) AS kept_sha256
@@ -198,6 +201,56 @@ SQL_CRC32 = """crc AS MATERIALIZED (
         list_reduce(list_concat([xor(c, x)], range(8)), lambda v, j: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))) AS v FROM texts)"""
 
 
+@query(
+    "op12_turn_repair",
+    rf"""
+    WITH RECURSIVE raw AS (
+      SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS t FROM conversations),
+    texts AS (SELECT DISTINCT t FROM raw), {SQL_CRC32},
+    seeded AS (SELECT raw.*, xor(v, 4294967295) % 20 AS k FROM raw JOIN crc USING (t)),
+    damaged AS (
+      SELECT c, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END))
+      FROM seeded WHERE k <> 0),
+    ordered AS (
+      SELECT *, rtrim(text, {SQL_WHITE}) AS solid, row_number() OVER w AS i, lag(role) OVER w AS before, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) > 1 AS again
+      FROM damaged WINDOW w AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, text)),
+    f AS (
+      SELECT *, solid = '' AS b, solid <> '' AND again AS d, solid <> '' AND NOT again AND right(solid, 1) NOT IN ('.', '!', '?') AS tr, role[1] AS ini,
+        before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au') AS bad
+      FROM ordered),
+    e(p, q, w, s) AS (VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')),
+    x(p, q, w, s, ini) AS (VALUES (0, 0, 2, 'D', NULL), (1, 1, 2, 'D', NULL), (2, 2, 2, 'D', NULL), (3, 3, 2, 'D', NULL), (0, 2, 1, 'R', NULL), (1, 2, 1, 'R', NULL), (3, 2, 1, 'R', NULL), (2, 3, 1, 'R', NULL),
+      (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'), (2, 3, 0, 'K', 'a')),
+    step AS (
+      SELECT e.p, x.q, e.w + x.w AS w, e.s || x.s AS s, x.s AS edit, x.ini FROM e JOIN x ON e.q = x.p),
+    walk AS (
+      SELECT DISTINCT c, 0::BIGINT AS i, 0 AS q, struct_pack(w := 0, s := '') AS m FROM raw
+      UNION ALL
+      SELECT r.c, r.i + 1, step.q, min(struct_pack(w := r.m.w + step.w + CASE WHEN f.tr AND edit <> 'D' THEN 5 ELSE 0 END, s := r.m.s || step.s))
+      FROM walk r JOIN f ON f.c IS NOT DISTINCT FROM r.c AND f.i = r.i + 1 JOIN step ON step.p = r.q AND (edit = 'D' OR (NOT f.b AND NOT f.d AND (edit = 'R' OR step.ini = f.ini)))
+      GROUP BY r.c, r.i, step.q),
+    n AS (
+      SELECT c, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (b) AS blank, count(*) FILTER (d) AS duplicate, count(*) FILTER (tr) AS truncated, count(*) FILTER (bad) AS illegal FROM f GROUP BY c),
+    best AS (
+      SELECT walk.c, min(struct_pack(w := m.w + e.w, s := m.s || e.s)) AS m
+      FROM walk LEFT JOIN n ON n.c IS NOT DISTINCT FROM walk.c JOIN e ON e.p = walk.q WHERE i = coalesce(n.n, 0) AND e.q IN (0, 3) GROUP BY walk.c),
+    letters AS (SELECT c, j, m.s[j] AS edit FROM (SELECT c, m, unnest(range(1, len(m.s) + 1)) AS j FROM best)),
+    placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS o FROM letters WINDOW w AS (PARTITION BY c ORDER BY j)),
+    made AS (SELECT placed.*, f.role, f.text, max(CASE WHEN o = 1 AND edit = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY placed.c) AS led FROM placed LEFT JOIN f ON f.c IS NOT DISTINCT FROM placed.c AND f.i = placed.i AND edit <> 'I'),
+    out AS (
+      SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - 1 - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS whole
+      FROM made WHERE edit <> 'D' GROUP BY c)
+    SELECT best.c AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+      best.m.w::BIGINT AS cost, best.m.s AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+    FROM best LEFT JOIN n ON n.c IS NOT DISTINCT FROM best.c LEFT JOIN out ON out.c IS NOT DISTINCT FROM best.c
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricetide.llm.turn_repair import damaged, repair_digest
+
+    return repair_digest(damaged(read(spark, sf_dir, "conversations")))
+
+
 @query(
     "op13_prefix_trie",
     rf"""
