@@ -211,9 +211,8 @@ SQL_CRC32 = """crc AS MATERIALIZED (
     damaged AS (
       SELECT c, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END))
       FROM seeded WHERE k <> 0),
-    ordered AS (
-      SELECT *, rtrim(text, {SQL_WHITE}) AS solid, row_number() OVER w AS i, lag(role) OVER w AS before, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) > 1 AS again
-      FROM damaged WINDOW w AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, text)),
+    said AS (SELECT *, rtrim(text, {SQL_WHITE}) AS solid, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM damaged),
+    ordered AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before FROM said WINDOW w AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, again)),
     f AS (
       SELECT *, solid = '' AS b, solid <> '' AND again AS d, solid <> '' AND NOT again AND right(solid, 1) NOT IN ('.', '!', '?') AS tr, role[1] AS ini,
         before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au') AS bad

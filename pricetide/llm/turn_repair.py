@@ -192,8 +192,8 @@ def sequences(rows: DataFrame) -> DataFrame:
     lean = rows.select("conv_id", "turn", "role", initial.alias("initial"), *_hashes(), (solid == "").alias("blank"), F.right(solid, F.lit(1)).isin(*STOPS).alias("closed"))
     own = lean.where("role IS NOT NULL").repartition("conv_id")
     by = [F.asc_nulls_first("turn"), "role", "hash1", "hash2"]
-    order = Window.partitionBy("conv_id").orderBy(*by)
     alike = Window.partitionBy("conv_id", "hash1", "hash2").orderBy(*by)
+    order = Window.partitionBy("conv_id").orderBy(*by, "again")  # of equal rows of a turn, the first is the one not said before
     again = own.withColumn("again", F.row_number().over(alike) > 1)
     placed = again.select(
         "conv_id", "turn", "initial", (F.row_number().over(order) - 1).alias("place"), F.lag("initial").over(order).alias("before"),
