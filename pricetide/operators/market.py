@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.operators import stats as S
+from pricetide.operators.quantiles import distributions, medians, quantiles
 
 DEALS = ("asking", "transacted")
 
@@ -45,23 +46,34 @@ def filtered(rows: DataFrame, f: Filters) -> DataFrame:
 def segments(rows: DataFrame, by: tuple[str, ...] = ("property_type", "deal_status")) -> DataFrame:
     """Distribution of ppm2 by segment, with the sample guard."""
     priced = rows.where(F.col("ppm2").isNotNull() & F.col("deal_status").isin(*DEALS))
-    return priced.groupBy(*by).agg(*S.distribution(F.col("ppm2"))).withColumn("underpowered", S.underpowered())
+    return distributions(priced, list(by), "ppm2").withColumn("underpowered", S.underpowered())
 
 
 def segment_sets(rows: DataFrame) -> DataFrame:
-    """The full segment key and its roll-ups to (listing type, deal) and listing type in one pass of grouping sets."""
+    """The full segment key and its roll-ups to (listing type, deal) and listing type, in one pass over rows unfolded by level.
+
+    ``level`` has a bit for each key that is rolled up, the last key's lowest.
+    """
     priced = rows.where(F.col("ppm2").isNotNull() & F.col("deal_status").isin(*DEALS))
     keys = ["listing_type", "deal_status", "property_type"]
-    columns = [F.col(k) for k in keys]
-    out = priced.groupingSets([columns, columns[:2], columns[:1]], *columns)
-    return out.agg(*S.distribution(F.col("ppm2")), F.grouping_id(*keys).cast("int").alias("level"))
+    shown = lambda k, level: F.when(level < (1 << (len(keys) - 1 - keys.index(k))), F.col(k))
+    unfolded = priced.select("ppm2", *keys, F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("level"))
+    return distributions(unfolded.select("ppm2", "level", *(shown(k, F.col("level")).alias(k) for k in keys)), [*keys, "level"], "ppm2")
+
+
+def _by_deal(found: DataFrame, by: list[str]) -> DataFrame:
+    """by, asking and transacted: the medians of both deals side by side."""
+    one = lambda d: F.max(F.when(F.col("deal_status") == d, F.col("median"))).alias(d)
+    return found.groupBy(*by).agg(*map(one, DEALS))
 
 
 def monthly_trend(rows: DataFrame, months: int) -> DataFrame:
     """key, label, asking, transacted, volume for each month of the axis, with and without data."""
-    deal = lambda d: S.quantile(F.when(F.col("deal_status") == d, F.col("ppm2")), 0.5)
-    found = rows.groupBy(F.trunc("at", "MM").alias("month")).agg(deal("asking").alias("asking"), deal("transacted").alias("transacted"), F.count("*").alias("volume"))
+    dated = rows.select(F.trunc("at", "MM").alias("month"), "deal_status", "ppm2")
+    volume = dated.groupBy("month").agg(F.count("*").alias("volume"))
+    mid = _by_deal(medians(dated.where(F.col("deal_status").isin(*DEALS)), ["month", "deal_status"], "ppm2"), ["month"])
     axis = F.broadcast(S.month_axis(rows, "at", months))
+    found = volume.join(mid, "month", "left")
     return axis.join(found, "month", "left").select("key", "label", "asking", "transacted", F.coalesce("volume", F.lit(0)).cast("bigint").alias("volume"))
 
 
@@ -76,11 +88,13 @@ def trend_change(trend: DataFrame) -> DataFrame:
 
 def rank_areas(rows: DataFrame) -> DataFrame:
     priced = rows.where("ppm2 is not null and area is not null and area <> ''")
-    return priced.groupBy("area").agg(S.quantile(F.col("ppm2"), 0.5).alias("median"), F.count("*").alias("n")).withColumn("dim", S.underpowered())
+    return medians(priced, ["area"], "ppm2").withColumn("dim", S.underpowered())
 
 
 def discounts(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(S.discount(F.col("ppm2"), F.col("deal_status")).alias("discount_pct"))
+    """Percent by which the median transacted price is below the median asking one; null if either is missing."""
+    both = _by_deal(medians(rows, [*by, "deal_status"], "ppm2"), list(by))
+    return both.select(*by, F.when(F.col("asking") != 0, (F.col("asking") - F.col("transacted")) / F.col("asking") * 100).alias("discount_pct"))
 
 
 def mean_discount(rows: DataFrame) -> DataFrame:
@@ -136,8 +150,8 @@ def liquidity(rows: DataFrame) -> DataFrame:
 def valuation(rows: DataFrame) -> DataFrame:
     """Each property's median against that of its project and type: ratio and verdict beyond 10 %."""
     priced = rows.where("ppm2 is not null")
-    base = priced.groupBy("project", "property_type").agg(S.quantile(F.col("ppm2"), 0.5).alias("baseline"))
-    own = priced.groupBy("property_id", "project", "property_type").agg(S.quantile(F.col("ppm2"), 0.5).alias("median"), F.count("*").alias("n"))
+    base = medians(priced, ["project", "property_type"], "ppm2", "baseline").drop("n")
+    own = medians(priced, ["property_id", "project", "property_type"], "ppm2")
     ratio = F.col("median") / F.col("baseline")
     verdict = F.when(ratio > 1.1, "over").when(ratio < 0.9, "under").otherwise("fair")
     return own.join(base, ["project", "property_type"]).select("property_id", "n", "median", "baseline", F.round(ratio, 6).alias("ratio"), verdict.alias("verdict"))
@@ -147,7 +161,7 @@ def outlier_bands(rows: DataFrame) -> DataFrame:
     """Quartiles by quarter and type, with the number of values beyond 1.5 quartile ranges."""
     priced = rows.where("ppm2 is not null").withColumn("quarter", F.date_format(F.date_trunc("quarter", "at"), "yyyy-MM"))
     keys = ["quarter", "property_type"]
-    bands = priced.groupBy(*keys).agg(*S.distribution(F.col("ppm2"))).withColumn("reach", 1.5 * (F.col("p75") - F.col("p25")))
+    bands = distributions(priced, keys, "ppm2").withColumn("reach", 1.5 * (F.col("p75") - F.col("p25")))
     beyond = (F.col("ppm2") < F.col("p25") - F.col("reach")) | (F.col("ppm2") > F.col("p75") + F.col("reach"))
     out = priced.select(*keys, "ppm2").join(bands, keys).groupBy(*keys).agg(F.count(F.when(beyond, 1)).alias("outliers"))
     return bands.join(out, keys).select(*keys, "n", "p25", "median", "p75", "outliers")
@@ -157,8 +171,9 @@ def source_reliability(rows: DataFrame) -> DataFrame:
     """Each source's median deviation from its segments' medians, in units of the segment's own (MAD), and far-off rows."""
     keys = ["listing_type", "deal_status", "property_type"]
     priced = rows.where("ppm2 is not null")
-    middle = priced.groupBy(*keys).agg(S.quantile(F.col("ppm2"), 0.5).alias("mid"))
+    middle = medians(priced, keys, "ppm2", "mid").drop("n")
     off = priced.join(middle, keys).withColumn("off", F.abs(F.col("ppm2") - F.col("mid")))
-    mad = off.groupBy(*keys).agg(S.quantile(F.col("off"), 0.5).alias("mad"))
+    mad = medians(off, keys, "off", "mad").drop("n")
     scored = off.join(mad, keys).withColumn("z", F.when(F.col("mad") > 0, F.col("off") / F.col("mad")))
-    return scored.groupBy("source_id").agg(F.count("*").alias("n"), S.quantile(F.col("z"), 0.5).alias("median_z"), F.count(F.when(F.col("z") > 3, 1)).alias("bait"))
+    counts = scored.groupBy("source_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("z") > 3, 1)).alias("bait"))
+    return counts.join(quantiles(scored, ["source_id"], F.col("z"), {"median_z": 0.5}).select("source_id", "median_z"), "source_id")

@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.operators.quantiles import finite
+
 MIN_SAMPLE = 5
 MEDIAN_BUCKETS = 64  # of values to a factor of e
 
 
-def finite(x: Column) -> Column:
-    """x, or null where it is NaN or infinite."""
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-
-
-def quantile(x: Column, q: float, approximate: int | None = None) -> Column:
-    """Quantile with linear interpolation, null of nothing. ``approximate``: the accuracy of a sketch, for huge groups."""
-    return F.percentile_approx(x, q, approximate) if approximate else F.percentile(x, q)
+def quantile(x: Column, q: float) -> Column:
+    """Quantile with linear interpolation, null of nothing, of groups whose values fit a buffer; ``quantiles`` has no such bound."""
+    return F.percentile(x, q)
 
 
 def distribution(x: Column, prefix: str = "") -> list[Column]:
-    """n, median, p25, p75, min and max over finite values."""
+    """n, median, p25, p75, min and max over finite values of groups that fit a buffer."""
     v = finite(x)
     found = {"n": F.count(v), "median": quantile(v, 0.5), "p25": quantile(v, 0.25), "p75": quantile(v, 0.75), "min": F.min(v), "max": F.max(v)}
     return [c.alias(prefix + k) for k, c in found.items()]
@@ -30,12 +27,6 @@ def underpowered(n: str = "n") -> Column:
     return F.col(n) < MIN_SAMPLE
 
 
-def discount(price: Column, deal: Column) -> Column:
-    """Percent by which the median transacted price is below the median asking one; null if either is missing."""
-    asking, done = quantile(F.when(deal == "asking", price), 0.5), quantile(F.when(deal == "transacted", price), 0.5)
-    return F.when(asking != 0, (asking - done) / asking * 100)
-
-
 def histogram(rows: DataFrame, value: str, bins: int = 7, unit: float = 1e6) -> DataFrame:
     """(bin, lo, step, n) with empty bins; no rows for fewer than MIN_SAMPLE values or equal ones.
 
@@ -83,7 +74,7 @@ def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str) ->
     same = F.col("_bucket") == F.col("_half.at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    inner = cells.join(half, same)
+    inner = cells.join(half, same).groupBy(*by, value, "_half").agg(F.sum(weight).alias(weight))  # equal values are one row
     run = F.col("_half.before") + F.sum(weight).over(whole.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
     reached = F.min(F.when(F.col("_run") >= F.col("_half.all") / 2, v))
     return inner.withColumn("_run", run).groupBy(*by).agg(F.first("_half.n").alias("n"), F.coalesce(reached, F.max(v)).alias("weighted_median"))

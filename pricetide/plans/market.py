@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from pricetide.operators import market as M
 from pricetide.operators import stats as S
+from pricetide.operators.quantiles import distributions
+from pricetide.operators.quantiles import quantiles as quantiles_of
 from pricetide.plans.registry import query
 from pricetide.sources.domain import OBS
 
@@ -24,13 +26,12 @@ def segment_distribution(d):
 
 @query("A1_quantiles_by_type", f"WITH {OBS} SELECT property_type, quantile_cont(ppm2, 0.1) AS p10, quantile_cont(ppm2, 0.9) AS p90, quantile_cont(ppm2, 0.99) AS p99 FROM obs GROUP BY property_type", "p10 p90 p99")
 def quantiles(d):
-    x = F.col("ppm2")
-    return d.observations().groupBy("property_type").agg(S.quantile(x, 0.1).alias("p10"), S.quantile(x, 0.9).alias("p90"), S.quantile(x, 0.99).alias("p99"))
+    return quantiles_of(d.observations(), ["property_type"], F.col("ppm2"), {"p10": 0.1, "p90": 0.9, "p99": 0.99}).select("property_type", "p10", "p90", "p99")
 
 
 @query("A2_distribution_by_area", f"WITH {OBS} SELECT area, {DIST.format('ppm2')} FROM reviewed GROUP BY area", "median p25 p75 min max")
 def distribution_by_area(d):
-    return d.reviewed().groupBy("area").agg(*S.distribution(F.col("ppm2")))
+    return distributions(d.reviewed(), ["area"], "ppm2")
 
 
 @query("A3_sample_guard", f"WITH {OBS} SELECT property_id, deal_status, count(*) AS n, count(*) < 5 AS underpowered FROM reviewed GROUP BY property_id, deal_status")
