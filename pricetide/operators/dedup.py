@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.session import cut
+
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column | str, k: int = 1) -> DataFrame:
     """The first k rows of each key in the order."""
@@ -44,15 +46,33 @@ def merge_note(old: Column, new: Column, prefix: str) -> Column:
     return F.when(F.coalesce(F.trim(new), F.lit("")) == "", old).when(blank == "", line).when(blank.contains(line), old).otherwise(F.concat(blank, F.lit("\n\n"), line))
 
 
-def resolve_pointers(log: DataFrame, rounds: int = 10) -> DataFrame:
+def merges_as_of(log: DataFrame, when: Column) -> DataFrame:
+    """The merge log (merge_id, from_id, to_id, created_at, undone_at) as it stood at a time, with ``undone``."""
+    undone = F.coalesce(F.col("undone_at") <= when, F.lit(False))
+    return log.where(F.col("created_at") <= when).select("merge_id", "from_id", "to_id", undone.alias("undone"))
+
+
+def resolve_pointers(log: DataFrame) -> DataFrame:
     """(id, canonical) from a merge log (merge_id, from_id, to_id, undone): undone merges don't count, the last merge of
-    an id does, and chains are followed by doubling until none is left."""
-    now = first_by(log.where("not undone"), ["from_id"], F.desc("merge_id")).select(F.col("from_id").alias("id"), F.col("to_id").alias("canonical"))
+    an id does, and chains of any length are followed by doubling until none is left. A cycle is an error.
+
+    Ids that have arrived are put aside. Without a cycle a chain is at most as long as there are merges, so more rounds than
+    their logarithm mean one.
+    """
+    moving = cut(first_by(log.where("not undone"), ["from_id"], F.desc("merge_id")).select(F.col("from_id").alias("id"), F.col("to_id").alias("canonical")))
+    rounds, arrived = moving.count().bit_length() + 1, moving.where("false")
     for _ in range(rounds):
-        step = now.select(F.col("id").alias("_id"), F.col("canonical").alias("_next"))
-        after = now.join(step, F.col("canonical") == F.col("_id"), "left").select("id", F.coalesce("_next", "canonical").alias("canonical"), F.col("_next").isNotNull().alias("moved"))
-        done = after.where("moved").isEmpty()
-        now = after.drop("moved")
-        if done:
-            break
-    return now
+        step = arrived.unionByName(moving).select(F.col("id").alias("_id"), F.col("canonical").alias("_next"))
+        after = cut(moving.join(step, F.col("canonical") == F.col("_id"), "left").select("id", F.coalesce("_next", "canonical").alias("canonical"), F.col("_next").isNotNull().alias("moved")))
+        arrived = arrived.unionByName(after.where("not moved").drop("moved"))
+        moving = after.where("moved").drop("moved")
+        if moving.isEmpty():
+            return arrived
+    raise ValueError(f"the merge log has a cycle that leads from {[r['id'] for r in moving.orderBy('id').limit(5).collect()]} back to ids on the way")
+
+
+def followed(rows: DataFrame, pointers: DataFrame, key: str, small: int = 200_000) -> DataFrame:
+    """rows with ``key`` replaced by what it was merged into; pointers (id, canonical) go beside the rows if they are few."""
+    to = pointers.select(F.col("id").alias("_id"), F.col("canonical").alias("_canonical"))
+    to = F.broadcast(to) if pointers.count() <= small else to
+    return rows.join(to, F.col(key) == F.col("_id"), "left").withColumn(key, F.coalesce("_canonical", key)).drop("_id", "_canonical")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.operators import stats as S
+from pricetide.operators.location_stats import ancestors
+from pricetide.operators.quantiles import medians
 
 
 def counted(entities: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -82,19 +84,10 @@ def search(rows: DataFrame, query: str, *columns: str) -> DataFrame:
     return rows.where(F.lower(F.concat_ws(" ", *columns)).contains(query.lower()))
 
 
-def tree_rollup(places: DataFrame, rows: DataFrame, place: str, depth: int = 8) -> DataFrame:
-    """(id, name, n, median): statistics of each place over its own rows and those of all places below it.
-
-    Ancestors are found by joining parents round by round; a tree deeper than ``depth`` is an error in the data.
-    """
-    parents = places.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"))
-    level = places.select(F.col("id").alias("below"), F.col("id").alias("id"))
-    reach = level
-    for _ in range(depth):
-        level = level.join(parents, F.col("id") == F.col("_id")).where("_parent is not null").select("below", F.col("_parent").alias("id"))
-        if level.isEmpty():
-            break
-        reach = reach.unionByName(level)
-    named = places.select("id", "name")
-    own = rows.join(places.select(F.col("name").alias(place), F.col("id").alias("below")), place)
-    return own.join(reach, "below").groupBy("id").agg(F.count("*").alias("n"), S.quantile(F.col("ppm2"), 0.5).alias("median")).join(named, "id")
+def tree_rollup(places: DataFrame, rows: DataFrame, place: str) -> DataFrame:
+    """(id, name, n, median): statistics of each place over its own rows and those of all places below it, however deep."""
+    reach = ancestors(places)
+    own = rows.join(places.select(F.col("name").alias(place), F.col("id").alias("below")), place).select("below", "ppm2")
+    above = own.join(reach, "below")
+    counts = above.groupBy("id").agg(F.count("*").alias("n"))
+    return counts.join(medians(above, ["id"], "ppm2").select("id", "median"), "id").join(places.select("id", "name"), "id")

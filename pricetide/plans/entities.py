@@ -1,13 +1,18 @@
 """Queries on entity lists, details, joins, windows and sets."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricetide.operators import dedup as K
 from pricetide.operators import entities as E
 from pricetide.operators import geo as G
+from pricetide.operators import location_stats as L
 from pricetide.operators import stats as S
+from pricetide.plans.market import DIST
 from pricetide.plans.registry import query
+from pricetide.session import stash_path
 from pricetide.sources.domain import OBS
+from pricetide.sources.versioned import VersionedTable, upsert_into
 
 SALE = "CASE WHEN listing_type = 'sale' AND NOT needs_review THEN ppm2 END"
 
@@ -186,3 +191,58 @@ SELECT id, min(canonical) AS canonical FROM c GROUP BY id""")
 def undone_pointers(d):
     merges = d.table("lineitem").where("l_partkey > 0").select(F.col("l_partkey").alias("from_id"), F.floor(F.col("l_partkey") / 2).alias("to_id"), F.col("l_orderkey").alias("merge_id"), (F.col("l_returnflag") == "R").alias("undone"))
     return K.resolve_pointers(merges)
+
+
+#: A merge log made of the parts: each goes into the one before it of its brand and type, in chains of any length, for a time.
+MERGES = """merges AS (
+  SELECT p_partkey AS merge_id, p_partkey AS from_id, lag(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS to_id,
+    DATE '1996-01-01' + p_size::INTEGER * 20 AS created_at, CASE WHEN p_retailprice > 990 THEN DATE '1996-01-01' + p_size::INTEGER * 40 END AS undone_at
+  FROM part)"""
+AS_OF = "1998-01-01"
+
+
+def merge_log(d):
+    size = F.col("p_size").cast("int")
+    before = F.lag("p_partkey").over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
+    day = lambda n: F.date_add(F.lit("1996-01-01").cast("date"), size * n)
+    log = d.table("part").select(F.col("p_partkey").alias("merge_id"), F.col("p_partkey").alias("from_id"), before.alias("to_id"), day(20).alias("created_at"), F.when(F.col("p_retailprice") > 990, day(40)).alias("undone_at"))
+    return log.where("to_id IS NOT NULL")
+
+
+@query("Q16_D10_merged_sales", f"""WITH RECURSIVE {OBS}, {MERGES},
+log AS (SELECT from_id, to_id FROM merges WHERE to_id IS NOT NULL AND created_at <= DATE '{AS_OF}' AND (undone_at IS NULL OR undone_at > DATE '{AS_OF}')),
+c AS (SELECT from_id AS id, to_id AS canonical FROM log UNION ALL SELECT c.id, log.to_id FROM c JOIN log ON c.canonical = log.from_id),
+p AS (SELECT id, min(canonical) AS canonical FROM c GROUP BY id),
+o AS (SELECT coalesce(p.canonical, property_id) AS property_id, ppm2, seen_at, listing_type, needs_review FROM obs LEFT JOIN p ON p.id = property_id)
+SELECT property_id, max(seen_at) AS last_seen, {DIST.format(f"({SALE})")} FROM o GROUP BY property_id""", "median p25 p75 min max")
+def merged_sales(d):
+    """Statistics of properties with what was merged into them, as of a time."""
+    pointers = K.resolve_pointers(K.merges_as_of(merge_log(d), F.lit(AS_OF).cast("date")))
+    return E.sale_distribution(K.followed(d.observations(), pointers, "property_id"), "property_id")
+
+
+@query("D7_cached_location_stats", f"""WITH {OBS},
+b AS (SELECT n_nationkey, n_regionkey, property_type, deal_status, floor(ln(ppm2) * 64)::BIGINT AS bucket, ppm2 FROM reviewed JOIN nation ON area = n_name WHERE ppm2 > 0),
+s AS (SELECT place, property_type, deal_status, bucket, count(*) AS n, min(ppm2) AS lo, max(ppm2) AS hi
+  FROM (SELECT 'n' || n_nationkey AS place, * FROM b UNION ALL SELECT 'r' || n_regionkey, * FROM b) GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY place, property_type, deal_status ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY place, property_type, deal_status) AS total FROM s)
+SELECT place, property_type, deal_status, sum(n)::BIGINT AS n, min(lo) AS min, max(hi) AS max, {', '.join(f"max((lo + hi) / 2) FILTER (WHERE upto >= ceil(total * {q}) AND upto - n < ceil(total * {q})) AS {name}" for name, q in L.SHARES.items())}
+FROM r GROUP BY place, property_type, deal_status""", "p25 median p75 min max")
+def cached_location_stats(d):
+    """Three increments of facts by time go into the stored state; its roll-up over all places is what comes out."""
+    table = L.location_table(d.spark, stash_path(d.spark, "location-stats"))
+    places = d.locations()
+    facts = d.reviewed().join(places.select(F.col("name").alias("area"), F.col("id").alias("place_id")), "area")
+    for when in ("at < '1997-01-01'", "at >= '1997-01-01' AND at < '1999-01-01'", "at >= '1999-01-01'"):
+        L.add_facts(table, facts.where(when), "place_id")
+    return L.summary(L.rolled_up(table.read(), places))
+
+
+@query("X2_stored_upsert", "SELECT user_id AS device_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def stored_upsert(d):
+    """The last event of each device, upserted into a stored table in three loads, each of which rewrites the parts it touches."""
+    rows = d.table("events").select(F.col("user_id").alias("device_id"), "event_id", F.col("event_type").alias("type"), "value", "ts")
+    table = VersionedTable(d.spark, stash_path(d.spark, "devices"), "device_id bigint, event_id bigint, type string, value double", ["device_id"], 16)
+    for days in ("> 20", "<= 10", "BETWEEN 11 AND 20"):  # out of order: the newer event stays
+        upsert_into(table, rows.where(f"dayofmonth(ts) {days}").drop("ts"), "event_id")
+    return table.read()

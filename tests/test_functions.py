@@ -132,3 +132,10 @@ def test_gate_columns(spark):
     assert [r.r for r in got] == [False, False, False, True, True, True]
     assert got[0].c and got[5].m == ["price", "project/property identity or location"]
     assert got[5].l == "#1 (unnamed): needs price, project/property identity or location"
+
+
+def test_flat_json_of_any_depth(spark):
+    deep = '{"name":' * 10 + '{"value":7.0,"name":"in"}' + "}" * 10
+    very = '{"name":' * 400 + '"x"' + "}" * 400
+    rows = [deep, very, '{"name":NaN}', '{"price":1e999}', '{"price":true,"value":1.5}', "{broken"]
+    assert values(spark, rows, lambda x: T.flat_json(F.col(x) if isinstance(x, str) else x)) == ["in 7", "x", None, "inf", "1.5", None]
