@@ -4,14 +4,15 @@ Base rules fail a text of few words, or one whose repeated three-word windows co
 pass, each group (language and source) gets a minimum-covariance-determinant estimate of location and scatter of the
 transformed statistics; a text whose squared Mahalanobis distance is beyond the chi-squared cutoff is rejected.
 
-The estimate has three fixed starts: medians and quartile ranges of the group, those of its language, and the moments of
-all its rows. From each, concentration steps are made until nothing changes: distances, the nearest share of the group
-(in whole bins of distance), and moments of those. The start that ends with the least determinant counts. All are
-aggregations over all rows of the group with partial sums before any shuffle, over whole numbers, so partitions and
-lost executors change no verdict. Every group has its own estimate, at every size: ``PRIOR_ROWS`` rows that lie as the
-language's do are added to its own, so a group of a few rows is judged nearly as its language, a large one by itself; a
-language leans on the whole table likewise. A floor on each scatter keeps statistics that are constant in clean text (no
-symbols, no repeats) from making tiny differences outliers.
+The estimate has three fixed starts: medians and quartile ranges, the estimate that it leans on, and the moments of all
+its rows. From each, concentration steps are made while the determinant falls: distances, the nearest share of the rows
+(in whole bins of distance), and moments of those. Bins and leaning allow a step that raises it, which ends the start. The
+least determinant of all counts, so no bound on the number of steps decides anything. All are aggregations over all rows
+with partial sums before any shuffle, over whole numbers, so partitions and lost executors change no verdict. Every
+language has its own estimate, which leans on ``PRIOR_ROWS`` rows that lie as the whole table's quartiles tell, and every
+group, at every size, has one that leans on as many rows that lie as its language's estimate tells; so a group of a few
+rows is judged nearly as its language, a large one by itself. A floor on each scatter keeps statistics that are constant in
+clean text (no symbols, no repeats) from making tiny differences outliers.
 
 Nulls: a null text has no words and fails; null language or source is a value of its own. Repeated rows
 count once each and get the same verdict; ties in distance share a bin. Texts are measured whole, however long. Other
@@ -34,7 +35,6 @@ from pricetide.session import cut
 
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SHARE = 0.75  # of a group that the estimate rests on
-STEPS = 10  # at most; each lowers the determinant
 PRIOR_ROWS = 30  # that lie as the language's, added to each group
 UNIT = 10_000  # statistics are whole numbers of this part of one
 BINS = 32  # of squared distances to a factor of two
@@ -129,31 +129,34 @@ def bin_of(d2: Column) -> Column:
     return F.floor(F.log2(F.least(F.greatest(d2, F.lit(2.0**-20)), F.lit(2.0**40))) * BINS).cast("int")
 
 
-def mcd_distances(rows: DataFrame, group: str, parent: str, dims: int, floors: list[float], share: float = SHARE, prior: float = PRIOR_ROWS, steps: int = STEPS) -> DataFrame:
-    """rows (group, parent, x0.. bigint in 1 / UNIT) with ``d2``, the squared robust distance from the row's group.
+def _estimates(rows: DataFrame, key: str, base: DataFrame, dims: int, floors: list[float], share: float, prior: float) -> DataFrame:
+    """key, c0.. and k00.. and p00..: the location, scatter and precision of each key's rows; base has key, b0.. and v00.. to lean on.
 
-    rows is read several times. Sums are of whole numbers and quantiles of binned ones, so the order in which partial
-    results meet changes nothing.
+    A start goes on while its determinant falls, and the least of all counts. Only keys with such a start are looked at again.
     """
     pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
     scale = share / _chi2_below(chi2_quantile(share, dims), dims + 2)
-    given = [f"b{i}" for i in range(dims)] + [f"v{i}" for i in range(dims)]  # centre and variances of the language
-    names = [f"c{i}" for i in range(dims)] + [f"p{i}{j}" for i, j in pairs]
-    head = [group, "start", "volume", *given, *names]
-    ddl = f"{group} bigint, start int, volume double, " + ", ".join(f"{c} double" for c in [*given, *names])
+    given = [*(f"b{i}" for i in range(dims)), *(f"v{i}{j}" for i, j in pairs)]
+    names = [*(f"c{i}" for i in range(dims)), *(f"{k}{i}{j}" for k in "kp" for i, j in pairs)]
+    head = [key, "start", "volume", *given, *names]
+    ddl = f"{key} bigint, start int, volume double, " + ", ".join(f"{c} double" for c in [*given, *names])
 
-    def spread(q: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([x[1] for x in q]) / UNIT, np.array([((x[2] - x[0]) / UNIT / 1.349) ** 2 for x in q])
+    def held(r: dict, centre: str, scatter: str) -> tuple[np.ndarray, np.ndarray]:
+        cov = np.zeros((dims, dims))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = r[f"{scatter}{i}{j}"]
+        return np.array([r[f"{centre}{i}"] for i in range(dims)]), cov
 
     def row(r: dict, start: int, centre: np.ndarray, cov: np.ndarray, base: tuple[np.ndarray, np.ndarray]) -> list:
         whole = cov + np.diag(np.square(floors))
         p = np.linalg.inv(whole)
-        return [r[group], start, round(float(np.linalg.slogdet(whole)[1]), 9), *base[0], *base[1], *centre, *(p[i, j] for i, j in pairs)]
+        flat = lambda m: (m[i, j] for i, j in pairs)
+        return [r[key], start, round(float(np.linalg.slogdet(whole)[1]), 9), *base[0], *flat(base[1]), *centre, *flat(cov), *flat(p)]
 
     def mixed(n: float, centre: np.ndarray, cov: np.ndarray, base: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Location and scatter of n rows and ``prior`` rows that lie as the language's do."""
+        """Location and scatter of n rows and ``prior`` rows that lie as the base tells."""
         off, w = centre - base[0], n / (n + prior)
-        return w * centre + (1 - w) * base[0], w * cov + (1 - w) * np.diag(base[1]) + w * (1 - w) * np.outer(off, off)
+        return w * centre + (1 - w) * base[0], w * cov + (1 - w) * base[1] + w * (1 - w) * np.outer(off, off)
 
     def moments(r: dict) -> tuple[np.ndarray, np.ndarray]:
         n, unit = int(r["n"]), float(UNIT)
@@ -166,51 +169,74 @@ def mcd_distances(rows: DataFrame, group: str, parent: str, dims: int, floors: l
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.to_dict("records"):
-            (centre, var), (wide_centre, wide_var), every = (spread([r[f"{k}{i}"] for i in range(dims)]) for k in "qrt")
-            w = r["parent_n"] / (r["parent_n"] + prior)
-            base = w * wide_centre + (1 - w) * every[0], w * wide_var + (1 - w) * every[1]
-            out.append(row(r, 0, *mixed(r["n"], centre, np.diag(var), base), base))
-            out.append(row(r, 1, base[0], np.diag(base[1]), base))
-            out.append(row(r, 2, *mixed(r["n"], *moments(r), base), base))
+            base, (centre, var) = held(r, "b", "v"), spread([r[f"q{i}"] for i in range(dims)])
+            out.append(row(r, 0, *mixed(int(r["n"]), centre, np.diag(var), base), base))
+            out.append(row(r, 1, *base, base))
+            out.append(row(r, 2, *mixed(int(r["n"]), *moments(r), base), base))
         return pd.DataFrame(out, columns=head)
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.to_dict("records"):
-            base = tuple(np.array([r[f"{k}{i}"] for i in range(dims)]) for k in "bv")
-            centre, cov = moments(r)
+            base, (centre, cov) = held(r, "b", "v"), moments(r)
             out.append(row(r, r["start"], *mixed(int(r["n"]), centre, scale * cov, base), base))
         return pd.DataFrame(out, columns=head)
 
     def mapped(f):
         return lambda it: (f(pdf) for pdf in it if len(pdf))
 
-    def quartiles(name: str) -> list[Column]:
-        return [F.percentile(f"x{i}", [0.25, 0.5, 0.75]).alias(f"{name}{i}") for i in range(dims)]
-
     exact = lambda x: F.sum(x.cast("decimal(38,0)"))
+    kinds = ["n", *(f"m{i}" for i in range(dims)), *(f"s{i}{j}" for i, j in pairs)]
     sums = [F.count("*").alias("n"), *(exact(F.col(f"x{i}")).alias(f"m{i}") for i in range(dims)), *(exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in pairs)]
-    totals = [c.cast("string").alias(name) for c, name in ((F.sum(name), name) for name in ["n", *(f"m{i}" for i in range(dims)), *(f"s{i}{j}" for i, j in pairs)])]
-    own = rows.groupBy(group, parent).agg(*sums, *quartiles("q"))
-    own = own.select(group, parent, F.col("n").cast("double"), *(c for c in own.columns if c[0] == "q"), *(F.col(c).cast("string") for c in own.columns if c[0] in "ms" and c[1:].isdigit()))
-    wide = rows.groupBy(parent).agg(F.count("*").cast("double").alias("parent_n"), *quartiles("r"))
-    every = rows.agg(*quartiles("t"))
-    params = cut(own.join(wide, parent).crossJoin(F.broadcast(every)).drop(parent).mapInPandas(mapped(first), ddl))  # ``every`` is one row
+    texts = [F.col(c).cast("string").alias(c) for c in kinds]
+    own = rows.groupBy(key).agg(*sums, *_quartiles(dims)).select(key, *texts, *(f"q{i}" for i in range(dims)))
+    params = cut(own.join(base, key).mapInPandas(mapped(first), ddl))
     few = params.count() <= BROADCAST_GROUPS
-    beside = lambda df: F.broadcast(df) if few else df  # noqa: E731  a few rows a group
-    mark = None
-    for _ in range(steps):
-        found = params.agg(F.sum(F.xxhash64(group, "start", *names).cast("decimal(38,0)"))).first()
-        if found == mark:
-            break
-        mark = found
-        cells = rows.join(beside(params.drop("volume", *given)), group).withColumn("bin", bin_of(_distance(dims))).groupBy(group, "start", "bin").agg(*sums)
-        upto = Window.partitionBy(group, "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        near = cells.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(group, "start"))).where(F.col("before") < F.ceil(share * F.col("all")))
-        sum_up = near.groupBy(group, "start").agg(*totals)
-        params = cut(sum_up.join(beside(params.select(group, "start", *given)), [group, "start"]).mapInPandas(mapped(again), ddl))
-    best = params.groupBy(group).agg(F.min_by(F.struct(*names), F.struct("volume", "start")).alias("best")).select(group, "best.*")
-    return rows.join(beside(best), group).withColumn("d2", _distance(dims)).drop(*names)
+    beside = lambda df: F.broadcast(df) if few else df  # noqa: E731  a few rows a key
+    state = [key, "start", "volume", *given, *names]
+
+    def step(now: DataFrame) -> DataFrame:
+        cells = rows.join(beside(now.select(key, "start", *names)), key).withColumn("bin", bin_of(_distance(dims))).groupBy(key, "start", "bin").agg(*sums)
+        upto = Window.partitionBy(key, "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        near = cells.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(key, "start"))).where(F.col("before") < F.ceil(share * F.col("all")))
+        sum_up = near.groupBy(key, "start").agg(*(F.sum(c).alias(c) for c in kinds)).select(key, "start", *texts)
+        return sum_up.join(beside(now.select(key, "start", *given)), [key, "start"]).mapInPandas(mapped(again), ddl)
+
+    best = cut(step(params).withColumn("fell", F.lit(True)))
+    while not (going := best.where("fell")).isEmpty():
+        new = step(going).select(key, "start", F.struct(*state).alias("new"))
+        fell = F.coalesce(F.col("new.volume") < F.col("volume"), F.lit(False))
+        both = best.join(new, [key, "start"], "left")
+        best = cut(both.select(key, "start", *(F.when(fell, F.col("new")[c]).otherwise(F.col(c)).alias(c) for c in state[2:]), fell.alias("fell")))
+    return best.groupBy(key).agg(F.min_by(F.struct(*names), F.struct("volume", "start")).alias("best")).select(key, "best.*")
+
+
+def _quartiles(dims: int) -> list[Column]:
+    return [F.percentile(f"x{i}", [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(dims)]
+
+
+def spread(q: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Medians, and variances from quartile ranges."""
+    return np.array([x[1] for x in q]) / UNIT, np.array([((x[2] - x[0]) / UNIT / 1.349) ** 2 for x in q])
+
+
+def mcd_distances(rows: DataFrame, group: str, parent: str, dims: int, floors: list[float], share: float = SHARE, prior: float = PRIOR_ROWS) -> DataFrame:
+    """rows (group, parent, x0.. bigint in 1 / UNIT) with ``d2``, the squared robust distance from the row's group.
+
+    rows is read several times. Sums are of whole numbers and quantiles of binned ones, so the order in which partial
+    results meet changes nothing.
+    """
+    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
+    names = [*(f"c{i}" for i in range(dims)), *(f"p{i}{j}" for i, j in pairs)]
+    every = rows.agg(*_quartiles(dims))
+    middle = [(F.col(f"q{i}")[1] / UNIT).alias(f"b{i}") for i in range(dims)]
+    wide = [(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / UNIT / 1.349, 2) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in pairs]
+    whole = cut(every.select(*middle, *wide))  # one row
+    parents = _estimates(rows.drop(group), parent, rows.select(parent).distinct().crossJoin(F.broadcast(whole)), dims, floors, share, prior)
+    lean = parents.select(parent, *(F.col(f"c{i}").alias(f"b{i}") for i in range(dims)), *(F.col(f"k{i}{j}").alias(f"v{i}{j}") for i, j in pairs))
+    best = _estimates(rows.drop(parent), group, rows.select(group, parent).distinct().join(lean, parent).drop(parent), dims, floors, share, prior).select(group, *names)
+    few = cut(best)
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_GROUPS else few, group).withColumn("d2", _distance(dims)).drop(*names)
 
 
 def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:

@@ -42,37 +42,68 @@ def test_outliers_go_and_clean_texts_stay(docs, words):
     assert {r.doc_id for r in Q.keep_good(docs(rows, extra=True)).collect()} == {i for i, kept in got.items() if kept}
 
 
-def brute_distances(x, group, parent, floors, share=Q.SHARE, prior=Q.PRIOR_ROWS):
-    """The same estimate in numpy, over all rows at once."""
-    dims, unit = x.shape[1], Q.UNIT
+def brute_fit(v, base, floors, share, prior, seen):
+    """The estimate of some rows in numpy, over all of them at once; ``seen`` gets the determinants of each start."""
+    dims, unit, n = v.shape[1], Q.UNIT, len(v)
     scale = share / Q._chi2_below(Q.chi2_quantile(share, dims), dims + 2)
-    box = lambda v: ((q := np.percentile(v, [25, 50, 75], axis=0) / unit)[1], ((q[2] - q[0]) / 1.349) ** 2)
-    mix = lambda n, a, b: (n * a + prior * b) / (n + prior)
+    wide = lambda s: s + np.diag(np.square(floors))
 
-    def shrunk(n, centre, cov, base):
+    def lean(n, centre, cov):
         off, w = centre - base[0], n / (n + prior)
-        return mix(n, centre, base[0]), mix(n, cov, np.diag(base[1])) + w * (1 - w) * np.outer(off, off)
-
-    d2 = lambda v, c, s: np.einsum("ij,jk,ik->i", v / unit - c, np.linalg.inv(s + np.diag(np.square(floors))), v / unit - c)
-    out, every = np.zeros(len(x)), box(x)
-    for g in np.unique(group):
-        own = group == g
-        wide = parent == parent[own][0]
-        v, n = x[own], own.sum()
-        base = tuple(mix(wide.sum(), a, b) for a, b in zip(box(x[wide]), every))
-        ends = []
-        for start in range(3):
-            c, s = (shrunk(n, box(v)[0], np.diag(box(v)[1]), base), (base[0], np.diag(base[1])), shrunk(n, v.mean(axis=0) / unit, np.cov(v.T, bias=True) / unit**2, base))[start]
-            for _ in range(Q.STEPS):
-                cell = np.floor(np.log2(np.clip(d2(v, c, s), 2.0**-20, 2.0**40)) * Q.BINS)
-                near = v[cell <= np.sort(cell)[int(np.ceil(share * n)) - 1]]
-                c, s = shrunk(len(near), near.mean(axis=0) / unit, scale * np.cov(near.T, bias=True) / unit**2, base)
-            ends.append((round(float(np.linalg.slogdet(s + np.diag(np.square(floors)))[1]), 9), start, c, s))
-        *_, c, s = min(ends, key=lambda e: e[:2])
-        out[own] = d2(v, c, s)
+        return w * centre + (1 - w) * base[0], w * cov + (1 - w) * base[1] + w * (1 - w) * np.outer(off, off)
+
+    def closer(c, s):
+        off = v / unit - c
+        d2 = np.einsum("ij,jk,ik->i", off, np.linalg.inv(wide(s)), off)
+        cell = np.floor(np.log2(np.clip(d2, 2.0**-20, 2.0**40)) * Q.BINS)
+        near = v[cell <= np.sort(cell)[int(np.ceil(share * n)) - 1]]
+        return lean(len(near), near.mean(axis=0) / unit, scale * np.cov(near.T, bias=True) / unit**2)
+
+    m, r = box(v)
+    ends = []
+    for k, (c, s) in enumerate((lean(n, m, np.diag(r)), base, lean(n, v.mean(axis=0) / unit, np.cov(v.T, bias=True) / unit**2))):
+        path = []
+        for _ in range(40):
+            c, s = closer(c, s)
+            path.append((round(float(np.linalg.slogdet(wide(s))[1]), 9), k, c, s))
+        sizes = [x[0] for x in path]
+        seen.append(sizes)
+        fallen = next(i for i in range(39) if sizes[i + 1] >= sizes[i])
+        ends.append(path[fallen])
+    *_, c, s = min(ends, key=lambda e: e[:2])
+    return c, s
+
+
+def box(v):
+    q = np.percentile(v, [25, 50, 75], axis=0) / Q.UNIT
+    return q[1], ((q[2] - q[0]) / 1.349) ** 2
+
+
+def brute_distances(x, group, parent, floors, share=Q.SHARE, prior=Q.PRIOR_ROWS, seen=None):
+    seen = [] if seen is None else seen
+    out, (m, r) = np.zeros(len(x)), box(x)
+    for p in np.unique(parent):
+        language = brute_fit(x[parent == p], (m, np.diag(r)), floors, share, prior, seen)
+        for g in np.unique(group[parent == p]):
+            c, s = brute_fit(x[group == g], language, floors, share, prior, seen)
+            off = x[group == g] / Q.UNIT - c
+            out[group == g] = np.einsum("ij,jk,ik->i", off, np.linalg.inv(s + np.diag(np.square(floors))), off)
     return out
 
 
+def test_groups_that_swing_have_one_estimate(spark):
+    """Steps of some small groups never settle; the least determinant before the first rise counts, wherever one stops."""
+    r = np.random.default_rng(120)
+    x = np.round(np.concatenate([r.standard_t(1.5, size=(n, 2)) * r.uniform(0.2, 3) for n in range(5, 25)]) * Q.UNIT).astype(np.int64)
+    group = np.repeat(np.arange(20), range(5, 25))
+    seen = []
+    want = brute_distances(x, group, group % 2, [0.05, 0.05], seen=seen)
+    assert any(len(set(sizes[-6:])) > 1 for sizes in seen)
+    df = spark.createDataFrame([(i, int(g), int(g % 2), int(a), int(b)) for i, (g, (a, b)) in enumerate(zip(group, x))], "i int, g bigint, p bigint, x0 bigint, x1 bigint")
+    got = {q.i: q.d2 for q in Q.mcd_distances(df, "g", "p", 2, [0.05, 0.05]).collect()}
+    assert [got[i] for i in range(len(x))] == pytest.approx(want, rel=1e-6)
+
+
 def test_distances_against_numpy(spark):
     r = np.random.default_rng(6)
     x = np.concatenate([r.normal(size=(300, 2)) @ np.array([[1.0, 0.4], [0, 0.5]]), 8 + r.normal(size=(60, 2)), r.normal(3, 2, size=(200, 2)), r.normal(1, 1, size=(9, 2))])
