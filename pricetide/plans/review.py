@@ -121,17 +121,21 @@ def described(d):
     return p.select("property_id", X.described_post(ref, _null(), F.array("fact", F.lit(" ")), F.lit(0.5)).alias("post"))
 
 
-@query("E5_F32_planted_listings", """SELECT doc_id, 0 AS item, CASE WHEN lang = 'en' THEN 'house' WHEN lang = 'de' THEN 'land' ELSE 'apartment' END AS type, CASE WHEN lang = 'fr' THEN 'rent' ELSE 'sale' END AS listing_type,
-  (CASE WHEN lang = 'fr' THEN 1000000 ELSE 100000000 END * (10 * (1 + doc_id) + 5))::BIGINT AS price_vnd, 'total' AS price_basis, (50 + doc_id)::DOUBLE AS area_m2, CASE WHEN lang NOT IN ('en', 'de') THEN 2 END AS bedrooms, 0.82::DOUBLE AS confidence FROM documents""")
-def planted(d):
-    """A listing for every document, worded by its language."""
+def planted_text():
+    """The listing of a document (doc_id, lang)."""
     n = F.col("doc_id")
     size = F.concat(F.lit(" "), (50 + n).cast("string"), F.lit("m2 giá "))
     ask = F.concat((1 + n).cast("string"), F.lit(",5 tỷ, thương lượng"))
     rent = F.concat(F.lit("Cho thuê chung cư 2pn"), size, (10 * (1 + n) + 5).cast("string"), F.lit(" triệu"))
     lang = F.col("lang")
-    text = F.when(lang == "en", F.concat(F.lit("Bán nhà phố"), size, ask)).when(lang == "de", F.concat(F.lit("Bán đất nền"), size, ask)).when(lang == "fr", rent).otherwise(F.concat(F.lit("Bán căn hộ 2 phòng ngủ"), size, ask))
-    found = X.extract_listings(d.table("documents").select("doc_id", text.alias("text")))
+    return F.when(lang == "en", F.concat(F.lit("Bán nhà phố"), size, ask)).when(lang == "de", F.concat(F.lit("Bán đất nền"), size, ask)).when(lang == "fr", rent).otherwise(F.concat(F.lit("Bán căn hộ 2 phòng ngủ"), size, ask))
+
+
+@query("E5_F32_planted_listings", """SELECT doc_id, 0 AS item, CASE WHEN lang = 'en' THEN 'house' WHEN lang = 'de' THEN 'land' ELSE 'apartment' END AS type, CASE WHEN lang = 'fr' THEN 'rent' ELSE 'sale' END AS listing_type,
+  (CASE WHEN lang = 'fr' THEN 1000000 ELSE 100000000 END * (10 * (1 + doc_id) + 5))::BIGINT AS price_vnd, 'total' AS price_basis, (50 + doc_id)::DOUBLE AS area_m2, CASE WHEN lang NOT IN ('en', 'de') THEN 2 END AS bedrooms, 0.82::DOUBLE AS confidence FROM documents""")
+def planted(d):
+    """A listing for every document, worded by its language."""
+    found = X.extract_listings(d.table("documents").select("doc_id", planted_text().alias("text")))
     return found.select("doc_id", "item", "type", "listing_type", "price_vnd", "price_basis", "area_m2", "bedrooms", "confidence")
 
 

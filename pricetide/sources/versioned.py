@@ -22,6 +22,49 @@ def part_of(keys: list[str], parts: int = PARTS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 
 
+def publish_once(spark: SparkSession, folder: str, name: str, content: dict) -> bool:
+    """Create folder/name with JSON in it, whole or not at all; False if it is there already."""
+    of = lambda x: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}")
+    own = of(f".{uuid.uuid4().hex}")
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(own, False)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    return not fs.exists(of(name)) and fs.rename(own, of(name))
+
+
+class BatchLog:
+    """What the micro-batches of streams have written: one entry for each batch, made when all its folders are there.
+
+    A batch that runs again after its entry was made is skipped; one that was lost before writes new folders, and nobody
+    reads the old ones.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def entries(self) -> dict[str, dict[str, str]]:
+        """name -> folder by kind; as many as there were batches."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batches")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        names = [n for n in names if not n.startswith(".")]
+        if not names:
+            return {}
+        rows = self.spark.read.text([f"{self.root}/batches/{n}" for n in names], wholetext=True).select("value", F.col("_metadata.file_name").alias("name")).collect()
+        return {r["name"]: json.loads(r["value"]) for r in rows}
+
+    def read(self, kind: str, schema: str) -> DataFrame:
+        folders = [e[kind] for e in self.entries().values() if kind in e]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def folder(self, kind: str, name: str) -> str:
+        return f"{self.root}/{kind}/{name}-{uuid.uuid4().hex[:8]}"
+
+    def publish(self, name: str, folders: dict[str, str]) -> bool:
+        return publish_once(self.spark, f"{self.root}/batches", name, folders)
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str], parts: int = PARTS):
         self.spark, self.root, self.schema, self.keys, self.parts = spark, root.rstrip("/"), schema, keys, parts
@@ -50,15 +93,6 @@ class VersionedTable:
         paths = [f"{self.root}/{folder}/part={p}" for p, folder in sorted(held.items()) if only is None or p in only]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def _publish(self, version: int, held: dict[int, str]) -> None:
-        """Create the manifest under a name of its own, and then give it its number, which fails if another writer has it."""
-        own, fs = self._path(f"manifests/.{uuid.uuid4().hex}")
-        out = fs.create(own, False)
-        out.write(bytearray(json.dumps(held).encode()))
-        out.close()
-        if not fs.rename(own, self._path(f"manifests/{version}")[0]):
-            raise RuntimeError(f"version {version} of {self.root} was published by another writer")
-
     def merge(self, incoming: DataFrame, combine: Callable[[DataFrame], DataFrame], before_publishing: Callable[[], None] | None = None) -> list[int]:
         """Merge rows into the table; ``combine`` gets the old and the incoming rows (_new 0 and 1) of the touched parts.
 
@@ -79,7 +113,8 @@ class VersionedTable:
         if before_publishing:
             before_publishing()
         kept = {p: v for p, v in held.items() if p not in touched}
-        self._publish(start + 1, kept | {p: folder for p in written})
+        if not publish_once(self.spark, f"{self.root}/manifests", str(start + 1), kept | {p: folder for p in written}):
+            raise RuntimeError(f"version {start + 1} of {self.root} was published by another writer")
         return sorted(touched)
 
 

@@ -1,13 +1,11 @@
-"""Structured Streaming variants: replay protection, device presence, lease expiry, signal ingest, activity counts."""
+"""Structured Streaming variants: replay protection, device sessions, signal ingest, activity counts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricetide.operators.ingest import SIGNAL_KEY, facts, hashed
 
@@ -42,31 +40,6 @@ def job_counters(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max("ts").alias("updated_at"), F.count(F.when(F.col("type") == "heartbeat", 1)).alias("heartbeats"), F.sum(F.when(F.col("type") == "page", F.col("pages")).otherwise(0)).alias("pages"))
 
 
-def lease_expiry(events: DataFrame, lease_seconds: int = 300, late: str = "1 minute") -> DataFrame:
-    """(job_id, expired_at): jobs that had no event for the length of a lease in event time, unless their last one completes them."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "expired_at": [pd.Timestamp(last + lease_seconds * 1000, unit="ms")]})
-            return
-        last, kind = (state.get[0], None) if state.exists else (0, None)
-        for pdf in frames:
-            at = pdf["ts"].idxmax()
-            now = int(pdf["ts"][at].timestamp() * 1000)
-            if now >= last:
-                last, kind = now, pdf["type"][at]
-        if kind == "completed":
-            if state.exists:
-                state.remove()
-            return
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + lease_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return events.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(step, "job_id bigint, expired_at timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def ingest_batches(signals: DataFrame, facts_path: str, checkpoint: str, then: Callable[[DataFrame], DataFrame] | None = None):
     """Start a query that appends the facts of new signals, micro-batch by micro-batch; a batch that runs again writes its own folder again."""
 

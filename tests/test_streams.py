@@ -48,15 +48,6 @@ def test_presence_and_activity(spark, tmp_path):
     assert [r.n for r in counts] == [3]
 
 
-def test_lease_expiry(spark, tmp_path):
-    schema = "job_id bigint, ts timestamp, type string"
-    late = T0 + dt.timedelta(hours=1)
-    first = [(1, T0, "heartbeat"), (2, T0, "heartbeat"), (3, T0, "heartbeat")]
-    df = source(spark, tmp_path, [first, [(2, T0 + dt.timedelta(seconds=100), "completed"), (3, late, "heartbeat")], [(3, late + dt.timedelta(seconds=1), "heartbeat")]], schema)
-    got = [(r.job_id, r.expired_at) for r in drain(spark, S.lease_expiry(df), tmp_path)]
-    assert got == [(1, T0 + dt.timedelta(seconds=300))]
-
-
 def test_ingest_and_event_log(spark, tmp_path):
     schema = "signal_id bigint, source_type string, source_ref string, raw_text string, captured_at timestamp"
     df = source(spark, tmp_path, [[(1, "chat", "a", "Bán căn 60m2 giá 3 tỷ", T0), (2, "chat", "a", "Bán căn 60m2 giá 3 tỷ", T0), (3, "chat", "b", "hello", T0)]], schema)
