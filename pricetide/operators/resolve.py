@@ -113,10 +113,14 @@ def score() -> Column:
     return identity + 0.1 * same_type.cast("double") + 0.1 * same_area.cast("double")
 
 
-def ranked_candidates(extractions: DataFrame, entities: DataFrame, keep: int = KEEP) -> DataFrame:
-    """(ext_id, property_id, score, rank): the best candidates of positive score."""
-    pairs = candidates(extractions, entities)
-    scored = pairs.join(keyed_extractions(extractions), "ext_id").join(keyed_entities(entities), "property_id").select("ext_id", "property_id", F.round(score(), 12).alias("score")).where("score > 0")
+def ranked_candidates(extractions: DataFrame, entities: DataFrame, keep: int = KEEP, pairs: DataFrame | None = None, extra: Column | None = None) -> DataFrame:
+    """(ext_id, property_id, score, rank): the best candidates of positive score.
+
+    ``pairs`` (ext_id, property_id and more) takes the place of the token blocks; ``extra`` over its columns adds to the score.
+    """
+    pairs = candidates(extractions, entities) if pairs is None else pairs
+    total = score() if extra is None else score() + extra
+    scored = pairs.join(keyed_extractions(extractions), "ext_id").join(keyed_entities(entities), "property_id").select("ext_id", "property_id", F.round(total, 12).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("ext_id").orderBy(F.desc("score"), "property_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= keep)
 

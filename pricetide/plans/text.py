@@ -7,6 +7,7 @@ from pricetide.functions import urls as U
 from pricetide.operators import dedup as K
 from pricetide.operators import extract as X
 from pricetide.operators import pages as P
+from pricetide.operators import blocking as B
 from pricetide.operators import resolve as R
 from pricetide.plans.registry import query
 
@@ -241,3 +242,70 @@ def radius(d):
     k = F.col("property_id")
     p = d.properties().select(k.alias("id"), (20 + (k * 7919 % 1000) / F.lit(1000.0)).alias("lat"), (100 + (k * 104729 % 1000) / F.lit(1000.0)).alias("lng"))
     return within(p, p, 2).withColumn("km", F.round("km", 6))
+
+
+DIMS, ALIKE = 64, 0.8
+
+
+def _sides(column: str) -> str:
+    """The vector blocks of a column as SQL: a list of tables' sides, from the same seed."""
+    from pricetide.operators.blocking import planes
+
+    bit = lambda plane, i: f"(list_dot_product({column}, {plane.tolist()}::DOUBLE[]) >= 0)::INTEGER * {1 << i}"
+    return f"[{', '.join(' + '.join(bit(p, i) for i, p in enumerate(table)) for table in planes(DIMS))}]"
+
+
+VECTORS = f"v AS MATERIALIZED (SELECT *, {_sides('x')} AS sides FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings))"
+COSINE = "list_dot_product({0}.x, {1}.x) / sqrt(list_dot_product({0}.x, {0}.x)) / sqrt(list_dot_product({1}.x, {1}.x))"
+
+
+@query("D9_similar_vectors", f"""WITH {VECTORS}, s AS (SELECT vec_id, generate_subscripts(sides, 1) AS t, unnest(sides) AS side FROM v),
+p AS (SELECT DISTINCT a.vec_id AS id, b.vec_id AS other FROM s a JOIN s b ON a.t = b.t AND a.side = b.side AND a.vec_id < b.vec_id)
+SELECT id, other, round({COSINE.format("a", "b")}, 6) AS cosine FROM p JOIN v a ON a.vec_id = id JOIN v b ON b.vec_id = other WHERE {COSINE.format("a", "b")} >= {ALIKE}::DOUBLE""")
+def similar_vectors(d):
+    """Pairs of vectors of high cosine among those that share a block of hyperplane sides."""
+    e = d.table("embeddings").select("vec_id", "embedding")
+    blocks = B.vector_blocks(e, "vec_id", "embedding", DIMS)
+    pairs = B.block_pairs(blocks.withColumnRenamed("vec_id", "id"), blocks.withColumnRenamed("vec_id", "other"), "id", "other", 1 << 40).where("id < other")
+    sides = [e.select(F.col("vec_id").alias(name), F.col("embedding").alias(x)) for name, x in (("id", "a"), ("other", "b"))]
+    scored = pairs.join(sides[0], "id").join(sides[1], "other").select("id", "other", R.cosine(F.col("a"), F.col("b")).alias("cosine"))
+    return scored.where(F.col("cosine") >= ALIKE).withColumn("cosine", F.round("cosine", 6))
+
+
+PLACE = "20 + ({0} * 7919 % 1000) / 1000.0::DOUBLE AS lat, 100 + ({0} * 104729 % 1000) / 1000.0::DOUBLE AS lng"
+KM = "2 * 6371.0088::DOUBLE * asin(sqrt(least(sin(radians(c.lat - x.lat) / 2) ** 2 + cos(radians(x.lat)) * cos(radians(c.lat)) * sin(radians(c.lng - x.lng) / 2) ** 2, 1.0)))"
+WARD_PAIRS = 300
+
+
+def _placed(d):
+    """Extractions and entities with brands as wards, places made of their keys, and vectors; suppliers stand a little off."""
+    ext, ent = _resolution(d)
+    brand = d.properties().select("property_id", F.col("project").alias("ward"))
+    spot = lambda k: {"lat": 20 + (k * 7919 % 1000) / F.lit(1000.0), "lng": 100 + (k * 104729 % 1000) / F.lit(1000.0)}
+    vector = d.table("embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"))
+    placed = []
+    for df, key, shift in ((ext, "ext_id", 1), (ent, "property_id", 0)):
+        k = F.col(key)
+        with_ward = df.join(brand.withColumnRenamed("property_id", key) if key != "property_id" else brand, key)
+        placed.append(with_ward.withColumns(spot(k + shift)).join(vector, k + shift == F.col("_id"), "left").drop("_id"))
+    return placed
+
+
+@query("D8_D9_composite_scores", f"""WITH {RANKED.split("k AS (")[0].rstrip().rstrip(",")}, {VECTORS},
+xp AS (SELECT s_suppkey AS ext_id, p_brand AS ward, {PLACE.format("(s_suppkey + 1)")}, v.x, v.sides FROM supplier JOIN part ON p_partkey = s_suppkey LEFT JOIN v ON vec_id = s_suppkey + 1),
+cp AS (SELECT p_partkey AS property_id, p_brand AS ward, {PLACE.format("p_partkey")}, v.x, v.sides FROM part LEFT JOIN v ON vec_id = p_partkey),
+xb AS (SELECT ext_id, 'ward' AS kind, ward AS block FROM xp UNION ALL SELECT ext_id, 'v' || generate_subscripts(sides, 1), unnest(sides)::VARCHAR FROM xp),
+cb AS (SELECT property_id, 'ward' AS kind, ward AS block FROM cp UNION ALL SELECT property_id, 'v' || generate_subscripts(sides, 1), unnest(sides)::VARCHAR FROM cp),
+small AS (SELECT kind, block FROM (SELECT kind, block, count(*) AS n FROM xb GROUP BY ALL) JOIN (SELECT kind, block, count(*) AS m FROM cb GROUP BY ALL) USING (kind, block) WHERE n * m <= {WARD_PAIRS}),
+near AS (SELECT ext_id, property_id FROM xp x, cp c WHERE {KM} <= 2),
+pairs AS (SELECT ext_id, property_id FROM h UNION SELECT ext_id, property_id FROM near UNION SELECT ext_id, property_id FROM xb JOIN small USING (kind, block) JOIN cb USING (kind, block)),
+base AS (SELECT p.ext_id, p.property_id, 0.72::DOUBLE * CASE WHEN x.n = c.n THEN 1.0 ELSE len(list_intersect({TOKENS.format('x.n')}, {TOKENS.format('c.n')}))::DOUBLE / len(list_distinct(list_concat({TOKENS.format('x.n')}, {TOKENS.format('c.n')}))) END::DOUBLE
+  + 0.1::DOUBLE * (x.type = c.type)::INTEGER + 0.1::DOUBLE * (c.area > 0 AND abs(x.area - c.area) / c.area <= 0.1::DOUBLE)::INTEGER AS score FROM pairs p JOIN x USING (ext_id) JOIN c USING (property_id)),
+full_score AS (SELECT ext_id, property_id, round(score + 0.1::DOUBLE * greatest(1 - {KM} / 2, 0) + 0.1::DOUBLE * coalesce(greatest({COSINE.format("x", "c")}, 0), 0), 12) AS score FROM base JOIN xp x USING (ext_id) JOIN cp c USING (property_id)),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY score DESC, property_id) AS rank FROM full_score WHERE score > 0)
+SELECT ext_id, property_id, round(score, 9) AS score, rank::INTEGER AS rank FROM ranks WHERE rank <= 10""")
+def composite_scores(d):
+    """The ranked candidates of tokens, wards, distances and vectors together, with both in the score."""
+    ext, ent = _placed(d)
+    pairs = B.composite_candidates(ext, ent, B.REACH_KM, DIMS, WARD_PAIRS)
+    return R.ranked_candidates(ext, ent, pairs=pairs, extra=B.extra_score(F.col("km"), F.col("cosine"))).withColumn("score", F.round("score", 9))
