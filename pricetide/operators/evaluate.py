@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,37 +27,42 @@ def location_matches(p: Column, wanted: Column) -> Column:
     return F.coalesce(normalize_name(p).contains(normalize_name(wanted)), F.lit(False))
 
 
-def pairs(predicted: DataFrame, expected: DataFrame) -> DataFrame:
-    """(case_id, p_id, e_id, score) of the pairs of a case: 2 for the price, 1 for the area, 1 for the type."""
-    p, e = predicted.select("case_id", F.struct("*").alias("p")), expected.select("case_id", F.struct("*").alias("e"))
-    score = 2 * price_matches(F.col("p.price_vnd"), F.col("e.price_vnd")).cast("int") + area_matches(F.col("p.area_m2"), F.col("e.area_m2")).cast("int") + (F.col("p.type") == F.col("e.type")).cast("int")
-    return p.join(e, "case_id").select("case_id", F.col("p.id").alias("p_id"), F.col("e.id").alias("e_id"), score.alias("score"))
+def align(predicted: DataFrame, expected: DataFrame) -> DataFrame:
+    """(case_id, p_id, e_id): expected rows in order take the best prediction left: 2 for the price, 1 for the area, 1 for
+    the type, and the first of equal ones.
 
-
-def align(scored: DataFrame) -> DataFrame:
-    """(case_id, p_id, e_id): expected ones in order take the best prediction left.
-
-    The order matters, so a case's pairs stay together, sorted, and are passed over once; only the predictions
-    that the current case has taken are held.
+    Each choice depends on those before it, so a case is passed over once, its predictions first; these are what is
+    held, and no pair is ever a row.
     """
+    columns = ["case_id", "id", F.col("price_vnd").cast("double").alias("price"), F.col("area_m2").cast("double").alias("area"), "type"]
+    rows = predicted.select(*columns, F.lit(0).alias("side")).unionByName(expected.select(*columns, F.lit(1).alias("side")))
+
+    def same(have: np.ndarray, want: float, reach: float) -> np.ndarray:
+        return np.isnan(have) if np.isnan(want) else np.abs(have - want) <= reach
 
     def greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        case, e_now, done, taken = None, None, False, set()
+        case, held, ready = None, [], None
         for pdf in frames:
             out = []
-            for case_id, p_id, e_id in zip(pdf["case_id"], pdf["p_id"], pdf["e_id"], strict=True):
+            for case_id, i, price, area, kind, side in zip(pdf["case_id"], pdf["id"], pdf["price"], pdf["area"], pdf["type"], pdf["side"], strict=True):
                 if case_id != case:
-                    case, e_now, taken = case_id, None, set()
-                if e_id != e_now:
-                    e_now, done = e_id, False
-                if not done and p_id not in taken:
-                    done = True
-                    taken.add(p_id)
-                    out.append((case_id, p_id, e_id))
+                    case, held, ready = case_id, [], None
+                if not side:
+                    held.append((i, price, area, kind))
+                    continue
+                if ready is None:
+                    ids, prices, areas, kinds = zip(*held, strict=True) if held else ((), (), (), ())
+                    ready = list(ids), np.array(prices, float), np.array(areas, float), np.array(kinds, object), np.ones(len(held), bool)
+                ids, prices, areas, kinds, left = ready
+                if left.any():
+                    score = 2 * same(prices, price, PRICE_TOLERANCE * max(abs(price), 1)) + same(areas, area, AREA_TOLERANCE) + (kinds == kind)
+                    best = int(np.where(left, score, -1).argmax())
+                    left[best] = False
+                    out.append((case_id, ids[best], i))
             yield pd.DataFrame(out, columns=["case_id", "p_id", "e_id"])
 
-    placed = scored.repartition("case_id").sortWithinPartitions("case_id", "e_id", F.desc("score"), "p_id")
-    return placed.select("case_id", "p_id", "e_id").mapInPandas(greedy, "case_id string, p_id int, e_id int")
+    placed = rows.repartition("case_id").sortWithinPartitions("case_id", "side", "id")
+    return placed.mapInPandas(greedy, "case_id string, p_id int, e_id int")
 
 
 def field_accuracy(predicted: DataFrame, expected: DataFrame, matched: DataFrame) -> DataFrame:

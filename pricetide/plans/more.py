@@ -122,19 +122,52 @@ def created(d):
     return ext.withColumn("display", T.display_name("project_name", "building_name", "house_number", "name", "location_text")).select("ext_id", F.col("display").alias("name"), F.col("name").alias("alias")).join(made.select("name").distinct(), "name", "left_semi").select("ext_id", "name", "alias")
 
 
-@query("V1_V3_alignment")
-def alignment(d):
-    """Facts of an order against themselves with prices off by up to 1 %: matched pairs, and price accuracy by order."""
+#: Facts of an order as expected rows, and the same with other prices, areas and fields as predictions: aligned in order.
+ALIGNED = f"""{OBS},
+first AS (SELECT *, row_number() OVER (PARTITION BY signal_id, item ORDER BY round(price)::BIGINT, area_m2, property_type, area, listing_type) AS k FROM obs),
+e AS (SELECT signal_id::VARCHAR AS case_id, item AS id, round(price)::BIGINT AS price, area_m2 AS size, property_type AS type, listing_type AS listing, area FROM first WHERE k = 1),
+p AS (SELECT case_id, id, round(price * (1 + (id % 3) / 200.0::DOUBLE))::BIGINT AS price, size + id % 4 * 0.2::DOUBLE AS size, type, CASE WHEN id = 5 THEN 'unknown' ELSE listing END AS listing, 'near ' || area AS place FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) AS turn FROM e),
+scored AS (SELECT n.case_id, turn, n.id AS e_id, p.id AS p_id, 2 * (abs(p.price - n.price) <= 0.005::DOUBLE * greatest(abs(n.price), 1))::INTEGER + (abs(p.size - n.size) <= 0.5)::INTEGER + (p.type = n.type)::INTEGER AS score FROM n JOIN p USING (case_id)),
+walk AS (SELECT DISTINCT case_id, 0::BIGINT AS turn, []::INTEGER[] AS taken FROM e
+  UNION ALL SELECT w.case_id, w.turn + 1, list_append(w.taken, arg_max(s.p_id, s.score * 1000 - s.p_id)::INTEGER) FROM walk w JOIN scored s ON s.case_id = w.case_id AND s.turn = w.turn + 1 AND NOT list_contains(w.taken, s.p_id::INTEGER) GROUP BY w.case_id, w.turn, w.taken),
+matched AS (SELECT w.case_id, n.id AS e_id, w.taken[-1] AS p_id FROM walk w JOIN n ON n.case_id = w.case_id AND n.turn = w.turn)"""
+
+
+def _cases(d):
     o = d.observations()
-    base = o.select(F.col("signal_id").cast("string").alias("case_id"), F.col("item").alias("id"), F.round("price").cast("bigint").alias("price_vnd"), F.col("area_m2").alias("area_m2"), F.col("property_type").alias("type"))
-    base = K.first_by(base, ["case_id", "id"], "price_vnd", "area_m2", "type")
-    moved = base.withColumn("price_vnd", F.round(F.col("price_vnd") * (1 + (F.col("id") % 3) / 200)).cast("bigint"))
-    matched = V.align(V.pairs(moved, base))
-    p, e = moved.select("case_id", F.col("id").alias("p_id"), F.col("price_vnd").alias("p")), base.select("case_id", F.col("id").alias("e_id"), F.col("price_vnd").alias("e"))
+    base = o.select(F.col("signal_id").cast("string").alias("case_id"), F.col("item").alias("id"), F.round("price").cast("bigint").alias("price_vnd"), "area_m2", F.col("property_type").alias("type"), "listing_type", F.col("area").alias("place"))
+    base = K.first_by(base, ["case_id", "id"], "price_vnd", "area_m2", "type", "place", "listing_type")
+    wanted = F.when(F.col("id") % 2 == 1, F.lower("place"))
+    rest = {"price_basis": F.lit("total"), "bedrooms": F.lit(2), "is_negotiable": F.lit(False), "deal_status": F.lit("asking")}
+    expected = base.withColumns(rest | {"location_contains": wanted}).drop("place")
+    off = {"price_vnd": F.round(F.col("price_vnd") * (1 + (F.col("id") % 3) / 200)).cast("bigint"), "area_m2": F.col("area_m2") + F.col("id") % 4 * 0.2, "listing_type": F.when(F.col("id") == 5, "unknown").otherwise(F.col("listing_type"))}
+    predicted = base.withColumns(rest | off | {"location_text": F.concat(F.lit("near "), "place")}).drop("place")
+    return predicted, expected
+
+
+@query("V1_V3_alignment", f"""WITH RECURSIVE {ALIGNED} SELECT m.case_id, count(*) AS matched, count(*) FILTER (WHERE abs(p.price - e.price) <= 0.005::DOUBLE * greatest(abs(e.price), 1)) AS price_right
+FROM matched m JOIN p ON p.case_id = m.case_id AND p.id = m.p_id JOIN e ON e.case_id = m.case_id AND e.id = m.e_id GROUP BY m.case_id""")
+def alignment(d):
+    """Matched pairs, and right prices among them, by case."""
+    predicted, expected = _cases(d)
+    matched = V.align(predicted, expected)
+    p, e = predicted.select("case_id", F.col("id").alias("p_id"), F.col("price_vnd").alias("p")), expected.select("case_id", F.col("id").alias("e_id"), F.col("price_vnd").alias("e"))
     both = matched.join(p, ["case_id", "p_id"]).join(e, ["case_id", "e_id"])
     return both.groupBy("case_id").agg(F.count("*").alias("matched"), F.count(F.when(V.price_matches(F.col("p"), F.col("e")), 1)).alias("price_right"))
 
 
+@query("V1_V2_V3_field_accuracy", f"""WITH RECURSIVE {ALIGNED},
+t AS (SELECT abs(p.price - e.price) <= 0.005::DOUBLE * greatest(abs(e.price), 1) AS price, abs(p.size - e.size) <= 0.5 AS area, p.type = e.type AS type, p.listing = e.listing AS listing,
+  CASE WHEN e.id % 2 = 1 THEN contains(lower(p.place), lower(e.area)) END AS location FROM matched m JOIN p ON p.case_id = m.case_id AND p.id = m.p_id JOIN e ON e.case_id = m.case_id AND e.id = m.e_id),
+u AS (SELECT unnest(['price', 'area', 'type', 'listing', 'location', 'basis', 'bedrooms', 'negotiable', 'deal']) AS field, unnest([price, area, type, listing, location, true, true, true, true]) AS ok FROM t)
+SELECT field, avg(ok::INTEGER) AS accuracy, count(*) AS n FROM u WHERE ok IS NOT NULL GROUP BY field""", "accuracy")
+def field_accuracy(d):
+    """The share of right fields over matched pairs; the location counts where one is expected."""
+    predicted, expected = _cases(d)
+    return V.field_accuracy(predicted, expected, V.align(predicted, expected))
+
+
 @query("S5_crawl_batches", """WITH b AS (SELECT source, doc_id, text FROM documents WHERE length(text) BETWEEN 200 AND 12000) SELECT source AS job_id, doc_id AS item_id, sha256(text) AS text_hash, length(text) AS n_chars FROM b""")
 def crawl_batches(d):
     """Submissions as JSON text, one for each source and batch of ten items: parsed with a schema, exploded and checked for length."""

@@ -293,7 +293,7 @@ def test_evaluation(spark):
     one = lambda i, price, area: ("c", i, "apartment", "sale", price, "total", area, 2, False, "asking", "Quận 7, HCM", "quan 7" if i == 0 else None)
     expected = spark.createDataFrame([one(0, 1000, 50.0), one(1, 2000, 60.0)], cols)
     predicted = spark.createDataFrame([one(0, 2001, 60.4), one(1, 1004, 70.0), one(2, 5, 5.0)], cols)
-    matched = V.align(V.pairs(predicted, expected))
+    matched = V.align(predicted, expected)
     assert {(r.p_id, r.e_id) for r in matched.collect()} == {(1, 0), (0, 1)}
     acc = {r.field: (r.accuracy, r.n) for r in V.field_accuracy(predicted, expected, matched).collect()}
     assert acc["price"] == (1.0, 2) and acc["area"] == (0.5, 2) and acc["location"] == (1.0, 1)
@@ -317,3 +317,22 @@ def test_frontier_and_pointers_go_over_whole_keys(spark):
     part = {r[0] for r in spark.read.parquet(f"{folder}/lineitem.parquet").where("l_returnflag <> 'R' and l_partkey > 0").select("l_partkey").distinct().collect()}
     assert {r.id for r in catalog.queries["D10_undone_pointer_chase"](spark, folder).select("id").collect()} == part
     assert catalog.queries["E10_whole_link_frontier"](spark, folder).agg(F.max("url")).first()[0] > 997
+
+
+def test_alignment_is_the_greedy_one(spark):
+    import random
+
+    r = random.Random(8)
+    cols = "case_id string, id int, price_vnd bigint, area_m2 double, type string"
+    side = lambda: [(f"c{c}", i, r.choice([None, 1000, 1004, 1010, 2000]), r.choice([None, 50.0, 50.4, 51.0]), r.choice(["a", "b", None])) for c in range(30) for i in range(r.choice([0, 1, 3, 9]))]
+    predicted, expected = side(), side()
+    price = lambda p, e: p is None if e is None else p is not None and abs(p - e) <= 0.005 * max(abs(e), 1)
+    area = lambda p, e: p is None if e is None else p is not None and abs(p - e) <= 0.5
+    want, taken = [], set()
+    for c, e_id, *e in expected:
+        left = [(-(2 * price(p[0], e[0]) + area(p[1], e[1]) + (p[2] == e[2])), p_id) for k, p_id, *p in predicted if k == c and (c, p_id) not in taken]
+        if left:
+            want.append((c, min(left)[1], e_id))
+            taken.add((c, min(left)[1]))
+    got = V.align(spark.createDataFrame(predicted, cols), spark.createDataFrame(expected, cols))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
