@@ -6,6 +6,7 @@ from pricetide.functions import text as T
 from pricetide.functions import urls as U
 from pricetide.operators import dedup as K
 from pricetide.operators import extract as X
+from pricetide.operators import page_items as I
 from pricetide.operators import pages as P
 from pricetide.operators import blocking as B
 from pricetide.operators import resolve as R
@@ -90,6 +91,24 @@ def page_links(d):
     return P.links(P.parsed(d.table("pages")))
 
 
+@query("E1_E3_items_by_source", """WITH p AS (SELECT page_id, url, html, regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS lang FROM pages),
+t AS (SELECT page_id, lang, regexp_replace(regexp_replace(url, '/+$', ''), '#.*', '') AS page, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS head FROM p)
+SELECT page_id, 1 AS place, CASE WHEN lang IN ('en', 'de') THEN page || '#item-1' ELSE page END AS ref, CASE WHEN lang = 'de' THEN left(head, 20) ELSE head END AS text FROM t WHERE head <> ''""")
+def items_by_source(d):
+    """Headlines of pages as their sources' selectors tell: English and German ones by item, with a bound for German ones, the others by page."""
+    lang = F.regexp_extract("url", r"^https?://[^/]+/([a-z]+)", 1)
+    by = {"en": ("article", None, "h1", ".ad", None), "de": ("body article", "a.more[href]", "h1", None, 20)}
+    none = (None, None, "article h1", "p", None)
+    column = lambda i: F.when(lang == "en", F.lit(by["en"][i])).when(lang == "de", F.lit(by["de"][i])).otherwise(F.lit(none[i]))
+    return I.page_items(d.table("pages").withColumns({c: column(i) for i, c in enumerate(I.CONFIG)}))
+
+
+@query("E4_links_by_selector", """WITH l AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), 'href="([^"]*)"', 1))) AS href FROM pages)
+SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_replace(href, '/+$', '') AS link FROM l WHERE href <> ''""")
+def links_by_selector(d):
+    return I.page_links(d.table("pages").withColumn("link_selector", F.lit("nav a"))).select("page_id", "link")
+
+
 @query("E9_changed_texts", "SELECT doc_id, source, sha256(text) <> lag(sha256(text)) OVER (PARTITION BY source ORDER BY doc_id) AS changed FROM documents")
 def changed(d):
     return P.changes(d.table("documents"), "source", "doc_id", "text").select("doc_id", "source", "changed")
