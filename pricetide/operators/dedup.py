@@ -27,10 +27,26 @@ def upsert(known: DataFrame, incoming: DataFrame, keys: list[str], version: str)
     return first_by(both, keys, F.desc(version), F.desc("_new")).drop("_new")
 
 
-def batches(rows: DataFrame, by: str, size: int, *order: Column | str) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """rows with ``place``, from 0 in the order within their group, whatever its size.
+
+    Rows are partitioned by range of group and order, so a large group is spread; the counts of its partitions tell where
+    each begins, and a window numbers the rows within one.
+    """
+    ranged = cut(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    first = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_in"), (upto - F.col("_n")).alias("_first"))
+    inner = ranged.withColumn("_inner", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    same = F.col("_part") == F.col("_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return inner.join(first, same).withColumn("place", F.col("_first") + F.col("_inner") - 1).drop("_part", "_in", "_first", "_inner", *(f"_{c}" for c in by))
+
+
+def batches(rows: DataFrame, by: str, size: int, *order: str) -> DataFrame:
     """Batch number of each row within ``by``, ``size`` rows each, in the order."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("int"))
+    return numbered(rows, [by], *order).withColumn("batch", F.floor(F.col("place") / size).cast("int")).drop("place")
 
 
 def merge_text(kept: Column, new: Column, keep_key) -> Column:

@@ -34,16 +34,15 @@ def refs(d):
     return d.table("documents").select("doc_id", U.signal_ref(F.lit("web"), "source", F.concat(F.lit("https://p/"), "source"), "text").alias("ref"))
 
 
-@query("F6_F8_best_similarities", "WITH n AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS t FROM part), b AS (SELECT p_brand, list(DISTINCT p_name) AS names FROM part GROUP BY 1) SELECT name, p_brand AS project, round(list_max(list_transform(names, lambda x: CASE WHEN x = name THEN 1.0 ELSE len(list_intersect(t, string_split(x, ' ')))::DOUBLE / len(list_distinct(list_concat(t, string_split(x, ' ')))) END)), 6) AS best FROM n, b")
+@query("F6_F8_best_similarities", "SELECT * FROM (WITH n AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS t FROM part), b AS (SELECT p_brand, list(DISTINCT p_name) AS names FROM part GROUP BY 1) SELECT name, p_brand AS project, round(list_max(list_transform(names, lambda x: CASE WHEN x = name THEN 1.0 ELSE len(list_intersect(t, string_split(x, ' ')))::DOUBLE / len(list_distinct(list_concat(t, string_split(x, ' ')))) END)), 6) AS best FROM n, b) WHERE best > 0")
 def best(d):
+    """The best similarity of each name to a project's names, where they share a word; others have none."""
     p = d.properties()
     named = p.select("project", F.col("name").alias("other")).distinct()
     names = p.select("name").distinct()
     word = lambda c: F.explode(F.array_distinct(T.tokens(T.normalize_name(c)))).alias("word")
     near = names.select("name", word("name")).join(named.select("project", "other", word("other")), "word").select("name", "project", "other").distinct()
-    sims = near.select("name", "project", T.text_sim("name", "other").alias("sim")).groupBy("name", "project").agg(F.max("sim").alias("best"))
-    every = names.crossJoin(named.select("project").distinct())  # the result has a row for each of these, near or not
-    return every.join(sims, ["name", "project"], "left").select("name", "project", F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best"))
+    return near.select("name", "project", T.text_sim("name", "other").alias("sim")).groupBy("name", "project").agg(F.round(F.max("sim"), 6).alias("best"))
 
 
 @query("F24_F25_R10_R16_inferred_names", "SELECT p_partkey AS property_id, p_brand AS project, p_type AS building FROM part")
@@ -171,8 +170,8 @@ def field_accuracy(d):
 @query("S5_crawl_batches", """WITH b AS (SELECT source, doc_id, text FROM documents WHERE length(text) BETWEEN 200 AND 12000) SELECT source AS job_id, doc_id AS item_id, sha256(text) AS text_hash, length(text) AS n_chars FROM b""")
 def crawl_batches(d):
     """Submissions as JSON text, one for each source and batch of ten items: parsed with a schema, exploded and checked for length."""
-    docs = K.batches(d.table("documents"), "source", 10, "doc_id")
-    sent = docs.groupBy("source", "batch").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("doc_id").alias("id"), "text")).alias("items"))).alias("body"))
+    placed = K.batches(d.table("documents").select("source", "doc_id"), "source", 10, "doc_id").select("doc_id", "batch")  # texts come after
+    sent = d.table("documents").join(placed, "doc_id").groupBy("source", "batch").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("doc_id").alias("id"), "text")).alias("items"))).alias("body"))
     items = sent.select("source", F.explode(F.from_json("body", "items array<struct<id: bigint, text: string>>", {"maxStringLen": "100000000"})["items"]).alias("i"))
     return items.where(F.length("i.text").between(200, 12_000)).select(F.col("source").alias("job_id"), F.col("i.id").alias("item_id"), F.sha2("i.text", 256).alias("text_hash"), F.length("i.text").cast("bigint").alias("n_chars"))
 
@@ -222,3 +221,18 @@ def persisted(d):
     s = d.table("supplier").select(F.col("s_suppkey").alias("ext_id"), F.when(F.col("s_nationkey") % 5 == 0, "unknown").otherwise("sale").alias("listing_type"), F.when(F.col("s_nationkey") % 7 != 0, F.col("s_suppkey")).alias("price_vnd"), ((100 - F.col("s_nationkey") * 3) / F.lit(100.0)).alias("confidence"))
     parents = d.spark.createDataFrame([], "name_normalized string")
     return R.persist_decisions(ext.join(s, "ext_id"), ent, parents).select("ext_id", "outcome")
+
+
+@query("R8_R7_grounded_parents", f"""WITH x AS (SELECT s_suppkey AS ext_id, n_name, CASE WHEN s_nationkey % 5 = 0 THEN 'unknown' ELSE 'sale' END AS listing, (100 - s_nationkey * 3) / 100.0::DOUBLE AS confidence, s_acctbal FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+g AS (SELECT n_name FROM nation WHERE n_regionkey < 3)
+SELECT ext_id, CASE WHEN confidence < 0.4 OR listing = 'unknown' THEN 'rejected' WHEN confidence < 0.6 THEN 'review' WHEN s_acctbal > 0 AND n_name NOT IN (SELECT n_name FROM g) THEN 'review' ELSE 'created' END AS outcome FROM x""")
+def grounded(d):
+    """Houses that match nothing: one under a project that isn't known waits for a reviewer."""
+    none, n = _null(), F.col("s_nationkey")
+    s = d.table("supplier").join(d.table("nation"), n == F.col("n_nationkey"))
+    ext = s.select(
+        F.col("s_suppkey").alias("ext_id"), F.concat(F.lit("zz"), F.col("s_suppkey").cast("string")).alias("name"), F.when(F.col("s_acctbal") > 0, F.lower("n_name")).alias("project_name"), none.alias("building_name"), none.alias("house_number"),
+        F.array().cast("array<string>").alias("aliases"), none.alias("location_text"), F.lit("house").alias("type"), F.lit(50.0).alias("area_m2"), F.when(n % 5 == 0, "unknown").otherwise("sale").alias("listing_type"), F.lit(9).cast("bigint").alias("price_vnd"), ((100 - n * 3) / F.lit(100.0)).alias("confidence"),
+    )
+    parents = d.table("nation").where("n_regionkey < 3").select(T.normalize_name("n_name").alias("name_normalized"))
+    return R.persist_decisions(ext, _resolution(d)[1], parents).select("ext_id", "outcome")

@@ -336,3 +336,12 @@ def test_alignment_is_the_greedy_one(spark):
             taken.add((c, min(left)[1]))
     got = V.align(spark.createDataFrame(predicted, cols), spark.createDataFrame(expected, cols))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_numbers_of_a_large_group_are_gapless(spark):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, 'hot') AS k", "CAST(id * 7919 % 3000 AS INT) AS v").unionByName(spark.range(5).selectExpr("'few' AS k", "CAST(1 AS INT) AS v"))
+    got = K.numbered(rows, ["k"], "v").collect()
+    for k, n in (("hot", 2000), (None, 1000), ("few", 5)):
+        own = sorted((r.place, r.v) for r in got if r.k == k)
+        assert [p for p, _ in own] == list(range(n)) and [v for _, v in own] == sorted(v for _, v in own)
+    assert {r.batch for r in K.batches(rows.where("k = 'few'"), "k", 2, "v").collect()} == {0, 1, 2}
