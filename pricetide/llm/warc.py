@@ -8,7 +8,7 @@ Content-Length, compresses each as a gzip member of its own and notes its offset
 Nulls: a null payload is an empty one; a record without page_id has none in its headers, is never the response that
 others refer to, and is a response itself. Rows that repeat the least page_id of a payload are all responses. Empty
 tables give no archives. Payloads are stored whole, and a long one makes a long archive. Equal
-payloads are told by their SHA-1; other columns of pages are not looked at. URLs keep their printable characters; others
+payloads are told by their SHA-1 (a payload of very many pages moves ids and digests, never their html); other columns of pages are not looked at. URLs keep their printable characters; others
 are percent-encoded byte by byte in UTF-8.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm import kernel as K
-from pricetide.session import stash
+from pricetide.session import cut, stash
 
 PIECE, READ_ROWS = 1 << 20, 500  # bytes inflated, and records read, at a time
+FREQUENT = 1000  # payloads of more than this part of all repeated ones are looked up by broadcast
 ARCHIVE_BYTES = 8 << 20  # of records before compression
 LEVEL = 4
 GZIP = 31  # zlib's window bits for gzip framing
@@ -47,10 +49,15 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, sha1, refers_to): of equal payloads of least_bytes or more, the least page_id is referred to by the others."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    keyed = rows.select("page_id", "sha1", F.octet_length("html").alias("bytes")).where((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull())
-    least = keyed.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    known = rows.join(least, "sha1", "left")
-    return known.withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
+    keyed = rows.select("page_id", "sha1", F.octet_length("html").alias("bytes")).where((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull()).drop("bytes")
+    least = cut(keyed.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    total = least.agg(F.sum("n")).first()[0] or 0
+    frequent = F.col("n") * FREQUENT > total
+    near = F.broadcast(least.where(frequent).select("sha1", "first"))  # fewer than FREQUENT rows
+    apart = keyed.join(near, "sha1", "left_anti").join(least.where(~frequent).select("sha1", "first"), "sha1")
+    later = keyed.join(near, "sha1").unionByName(apart).where("page_id <> first").distinct()
+    named = later.select(F.col("page_id").alias("own_id"), F.col("sha1").alias("own_sha1"), F.col("first").alias("refers_to"))
+    return rows.join(named, (F.col("page_id") == F.col("own_id")) & (F.col("sha1") == F.col("own_sha1")), "left").drop("own_id", "own_sha1")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None) -> bytes:
@@ -164,26 +171,37 @@ def normalise(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "data").mapInArrow(run, _MEMBER_DDL)
 
 
+def record_row(data: bytes, with_payload: bool = True) -> dict:
+    """A record, inflated, as a row. Records of others may lack any field but type and length, and need not hold HTTP."""
+    fields, block, nxt = headers(data, 0)
+    kind, content, http, body = fields.get("warc-type"), fields.get("content-type", ""), {}, block
+    if content.startswith("application/http") and (end := data.find(b"\r\n\r\n", block, nxt - 4)) >= 0:
+        body = end + 4
+        http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[block:end].decode("latin-1").split("\r\n")[1:])}
+    payload = data[body : nxt - 4]
+
+    def number(name: str) -> int | None:
+        text = fields.get(name, "").strip("<>")
+        return int(text.removeprefix(RECORD_ID)) if re.fullmatch(RECORD_ID + r"-?\d+", text) else None
+
+    algorithm, _, digest = fields.get("warc-payload-digest", "").partition(":")
+    if kind == "response" and algorithm == "sha1" and not {"content-encoding", "transfer-encoding"} & http.keys() and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        raise ValueError(f"payload of {fields.get('warc-record-id')} differs from its digest")
+    told = http.get("content-length", "")
+    size = (int(told) if told.isdigit() else None) if kind == "revisit" else len(payload)
+    return {"page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest or None, "record_type": kind, "refers_to": number("warc-refers-to"), "payload": payload if with_payload and kind != "revisit" else None}
+
+
 def read_records(members: DataFrame, with_payload: bool = True) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null for a revisit), found through the index."""
-
-    def parsed(row: dict) -> Iterator[dict]:
-        for entry in row["index"]:
-            data = zlib.decompress(row["data"][entry["offset"] : entry["offset"] + entry["length"]], GZIP)
-            fields, block, nxt = headers(data, 0)
-            body = data.index(b"\r\n\r\n", block) + 4
-            http = dict(x.split(": ", 1) for x in data[block : body - 4].decode().split("\r\n")[1:])
-            number = lambda name: int(fields[name].strip("<>").removeprefix(RECORD_ID)) if name in fields else None
-            kind, payload = fields["warc-type"], data[body : nxt - 4]
-            digest = fields["warc-payload-digest"].removeprefix("sha1:")
-            if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                raise ValueError(f"payload of {fields.get('warc-record-id')} differs from its digest")
-            yield {"page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": int(http["Content-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": number("warc-refers-to"), "payload": payload if with_payload and kind == "response" else None}
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null for a revisit), found through the index.
+
+    Records of other writers are read as well: an id that isn't a page's is null, and so is a digest that isn't told.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                found = parsed(row)
+                found = (record_row(zlib.decompress(row["data"][x["offset"] : x["offset"] + x["length"]], GZIP), with_payload) for x in row["index"])
                 while part := list(islice(found, READ_ROWS)):
                     yield pa.RecordBatch.from_pylist(part, schema=_PAGE)
 

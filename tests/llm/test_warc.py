@@ -85,3 +85,39 @@ def test_export(spark, tmp_path):
 
 def test_empty(spark):
     assert W.archive_round_trip(pages(spark, [])).count() == 0
+
+
+def test_records_of_other_writers(spark):
+    """A warcinfo, a request, a response without digest and a revisit without length, normalised and read back."""
+    def rec(kind, block, *more):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"Content-Length: {len(block)}", *more]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    whole = (
+        rec("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields", "WARC-Record-ID: <urn:uuid:1>")
+        + rec("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request")
+        + rec("response", b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n<p>\r\n\r\n", "Content-Type: application/http; msgtype=response", "WARC-Record-ID: <urn:page:7>")
+        + rec("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "Content-Type: application/http; msgtype=response", "WARC-Refers-To: <urn:page:7>", "WARC-Payload-Digest: md5:00")
+        + rec("resource", b"", "Content-Type: text/plain")
+    )
+    archives = spark.createDataFrame([("a", bytearray(gzip.compress(whole)))], "archive string, data binary")
+    got = [(r.record_type, r.page_id, r.payload_bytes, r.payload_digest, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in W.read_records(W.normalise(archives)).collect()]
+    assert got == [
+        ("warcinfo", None, 13, None, None, b"software: x\r\n"),
+        ("request", None, 0, None, None, b""),
+        ("response", 7, 7, None, None, b"<p>\r\n\r\n"),
+        ("revisit", None, None, "00", 7, None),
+        ("resource", None, 0, None, None, b""),
+    ]
+
+
+def test_one_payload_in_half_of_all_pages(spark, monkeypatch):
+    monkeypatch.setattr(W, "FREQUENT", 4)
+    rows = [(i, "u", "same" if i % 2 else f"few {i % 5}" if i % 3 else f"own {i}") for i in range(600)] + [(1, "u", "same"), (None, "u", "same"), (4, "u", "other")]
+    found = W.deduplicated(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(found) == len(rows)
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html] = min(i, first.get(html, i))
+    for r in found:
+        assert r.refers_to == (None if r.page_id in (None, first[r.html]) else first[r.html])
