@@ -31,9 +31,12 @@ class Filters:
 
 
 def in_window(rows: DataFrame, months: int, at: str = "at") -> DataFrame:
-    """Rows from the first day of the first month of the axis on, counted from the latest row."""
-    last = rows.agg(F.max(F.trunc(at, "MM")).alias("_last"))
-    return rows.join(F.broadcast(last), F.col(at) >= F.add_months("_last", -(months - 1))).drop("_last")
+    """Rows from the first day of the first month of the axis on, counted from the latest row.
+
+    The latest month is read first, so that the bound is a literal, which reaches the scan.
+    """
+    last = rows.agg(F.max(F.trunc(at, "MM"))).first()[0]
+    return rows.where("false") if last is None else rows.where(F.col(at) >= F.add_months(F.lit(last), -(months - 1)).cast("timestamp"))
 
 
 def filtered(rows: DataFrame, f: Filters) -> DataFrame:

@@ -197,11 +197,13 @@ def commits(d):
     return I.committed(sessions, drafts, messages).select("session_id", "source_ref", "content_hash")
 
 
-@query("X9_research_records", "SELECT p_brand AS project, count(*) FILTER (WHERE p_type IN ('SMALL', 'PROMO')) AS facts, least(count(*), 5) AS evidence FROM part GROUP BY 1")
+@query("X9_research_records", "SELECT p_brand AS project, count(*) FILTER (WHERE p_type IN ('SMALL', 'PROMO')) AS facts, coalesce(string_agg(p_name, ',' ORDER BY p_name) FILTER (WHERE p_type IN ('SMALL', 'PROMO')), '') AS told, 'project' AS scope, array_to_string(list_sort(list(p_partkey))[:5], ',') AS evidence FROM part GROUP BY 1")
 def research(d):
+    """The facts of a project's scope or of both, and its first five pieces of evidence."""
     scope = F.when(F.col("property_type") == "SMALL", "project").when(F.col("property_type") == "PROMO", "both").otherwise("building")
-    held = d.properties().groupBy("project").agg(F.collect_list(F.struct(scope.alias("applies_to"), F.col("name").alias("fact"))).alias("facts"), F.sort_array(F.collect_list("property_id")).alias("evidence"))
-    return held.select("project", I.research_record("project", "facts", "evidence").alias("r")).select("project", F.size("r.facts").cast("bigint").alias("facts"), F.size("r.evidence").cast("bigint").alias("evidence"))
+    held = d.properties().groupBy("project").agg(F.sort_array(F.collect_list(F.struct(F.col("name").alias("fact"), scope.alias("applies_to")))).alias("facts"), F.sort_array(F.collect_list("property_id")).alias("evidence"))
+    told = held.select("project", I.research_record("project", "facts", "evidence").alias("r"))
+    return told.select("project", F.size("r.facts").cast("bigint").alias("facts"), F.array_join(F.transform("r.facts", lambda f: f["fact"]), ",").alias("told"), "r.scope", F.array_join("r.evidence", ",").alias("evidence"))
 
 
 @query("R13_applied_hierarchies", "SELECT p_partkey AS ext_id, 'Project ' || p_brand AS project_name, 'Project ' || p_brand || ' / ' || p_type AS name, p_name AS alias FROM part")

@@ -243,7 +243,8 @@ def hierarchy(d):
     return R.choose_hierarchy(wanted, near).select("ext_id", "project_name", F.round("score", 9).alias("score"))
 
 
-@query("G1_F20_F21_geocode_candidates")
+@query("G1_F20_F21_geocode_candidates", """WITH p AS (SELECT p_partkey AS id, p_brand || ' ' || p_type || ' ' || p_partkey AS w, p_type || ' ' || p_brand AS t, p_brand AS b, 'Q7, ' || p_name AS a, ', Quận 7, ' || p_name AS far, CASE WHEN length(p_name) > length(p_type) THEN p_name ELSE p_type END AS s FROM part)
+SELECT id, pos, part.q || ', Vietnam' AS query, part.a AS address FROM (SELECT id, unnest(range(8))::INTEGER AS pos, unnest([{'q': w || far, 'a': a}, {'q': t || far, 'a': a}, {'q': b || far, 'a': a}, {'q': t, 'a': NULL}, {'q': w, 'a': NULL}, {'q': b, 'a': NULL}, {'q': w || ', ' || b, 'a': b}, {'q': w || ', ' || s, 'a': s}]) AS part FROM p)""")
 def geocode(d):
     from pricetide.operators.geo import geocode_candidates
 
