@@ -20,6 +20,9 @@ COLUMNS = {
     "op8": ["doc_id:bigint", "size:bigint", "text_crc32:bigint", "law:string", "shard:int", "slot:bigint", "grown_shard:int"],
     "op9": ["doc_id:bigint", "start:bigint", "length:bigint", "ids_crc32:bigint", "doc_tokens:bigint", "sequence_id:bigint", "offset:bigint"],
     "op10": ["page_id:bigint", "payload_bytes:bigint", "payload_digest:string", "record_type:string", "refers_to:bigint"],
+    "op11": ["doc_id:bigint", "n_lines:bigint", "n_dropped:bigint", "kept_sha256:string"],
+    "op12": ["conv_id:bigint", "gaps:bigint", "blank:bigint", "duplicate:bigint", "truncated:bigint", "illegal:bigint", "cost:bigint", "audit:string", "repaired_sha256:string"],
+    "op13": ["conv_id:bigint", "depth:bigint", "parent_conv_id:bigint", "n_convs:bigint", "n_children:bigint", "n_leaves:bigint", "saved_tokens:bigint", "ends_sha256:string"],
 }
 
 
