@@ -1,7 +1,7 @@
 """Entity resolution of extractions against properties, set at a time.
 
-Blocking is exact: a token of an extraction is a substring of an entity's text only if the text holds the token's first
-trigram, so trigrams join by equality and ``contains`` verifies. Scoring is column arithmetic over the candidates, and
+Blocking is exact: a token of an extraction is a substring of an entity's text only if the text holds all trigrams of the
+token, so its rarest one joins by equality and ``contains`` verifies. Scoring is column arithmetic over the candidates, and
 a window keeps the best. Extractions have ext_id and the extraction record's columns; entities have property_id, name,
 project_name, building_name, house_number, aliases, wiki_notes, type, area_m2 and maybe more.
 """
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pricetide.functions import gate
 from pricetide.functions import text as T
 from pricetide.operators.dedup import first_by, new_only
+from pricetide.operators.quantiles import beside
+from pricetide.session import cut
 
 LINK_FROM, REVIEW_FROM, KEEP = 0.80, 0.45, 10
 _NONE = "array<string>"
@@ -40,10 +42,18 @@ def entity_text(*columns: str | Column) -> Column:
 
 
 def token_matches(wanted: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """(ext_id, key): entities (key, search_text) whose text holds a token of the extraction."""
-    distinct = wanted.select("token").distinct().withColumn("gram", F.substring("token", 1, 3))
+    """(ext_id, key): entities (key, search_text) whose text holds a token of the extraction.
+
+    A token is looked for where the rarest of its trigrams is; one with a trigram that no text has is nowhere. Tokens go
+    beside the trigrams of the texts if they are few, else by trigram and salt, so a common trigram isn't one task.
+    """
     spread = texts.select(key, F.explode(trigrams(F.col("search_text"))).alias("gram"))
-    maybe = spread.join(distinct, "gram").select(key, "token")  # keys alone; a text moves once it can be a hit
+    counts = spread.groupBy("gram").agg(F.count("*").alias("n"))
+    grams = wanted.select("token").distinct().select("token", F.explode(trigrams(F.col("token"))).alias("gram"))
+    n = F.coalesce("n", F.lit(0))
+    rarest = grams.join(counts, "gram", "left").groupBy("token").agg(F.min(n).alias("least"), F.min_by("gram", F.struct(n, "gram")).alias("own_gram"))
+    tokens = cut(rarest.where("least > 0").select("token", "own_gram"))
+    maybe = beside(spread, tokens, F.col("gram") == F.col("own_gram"), F.col(key)).select(key, "token")  # keys alone; a text moves once it can be a hit
     hits = maybe.join(texts.select(key, "search_text"), key).where(F.col("search_text").contains(F.col("token"))).select(key, "token").distinct()
     return wanted.join(hits, "token").select("ext_id", key).distinct()
 

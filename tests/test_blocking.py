@@ -51,3 +51,15 @@ def test_distance_and_vectors_in_the_score(spark):
     plain = {r.property_id: r.score for r in R.ranked_candidates(e, c).collect()}
     assert got[1] == pytest.approx(plain[1] + 0.2) and got[3] == plain[3]
     assert got[2] == pytest.approx(plain[2] + 0.1 * (1 - 0.986 / 2), abs=1e-3)
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_tokens_are_found_by_their_rarest_trigram(spark, monkeypatch, most):
+    from pricetide.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "BROADCAST_CELLS", most)
+    texts = [(i, f"anna banana {i % 7}" if i % 3 else f"bananas\nana{i}") for i in range(60)]
+    tokens = ["banana", "ana", "nas", "xyz", "ananas", "anna", "ana5", "sana"]
+    wanted = spark.createDataFrame([(k, t) for k, t in enumerate(tokens)], "ext_id int, token string")
+    got = {(r.ext_id, r.id) for r in R.token_matches(wanted, spark.createDataFrame(texts, "id int, search_text string"), "id").collect()}
+    assert got == {(k, i) for k, t in enumerate(tokens) for i, text in texts if t in text}
