@@ -8,11 +8,12 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.text import Text, _col
 from pricetide.functions.urls import canonical_url
+from pricetide.operators.dedup import numbered
 from pricetide.session import cut
 
 #: Texts and markup of walls that need a person.
@@ -22,6 +23,8 @@ WALL_TEXTS = (
     "ddos protection by", "đăng nhập để tiếp tục", "xác minh bạn không phải", "vui lòng xác minh",
 )
 WALL_MARKUP = ("cf-browser-verification", "cf_chl_opt", "/cdn-cgi/challenge-platform", "challenge-platform", "__cf_chl", "_incapsula_resource")
+#: The reasons that are given for a blocked page.
+WALL_REASON, MARKUP_REASON, STATUS_REASON = "bot/auth wall: ", "anti-bot challenge: ", "HTTP "
 #: Signals of a listing; two of them make one.
 LISTING_SIGNALS = (
     r"(?u)\b\d+(?:[,.]\d+)?\s*(?:tỷ|ty|triệu|tr|vnd|₫|đ)(?![\p{L}\p{N}])",
@@ -46,10 +49,10 @@ def verdict(html: Text, text: Text, status: Text) -> Column:
     first = lambda where, known: F.coalesce(*(F.when(where.contains(x), x) for x in known))
     told = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), reason.alias("reason"))
     wall, mark = first(low_text, WALL_TEXTS), first(low_html, WALL_MARKUP)
-    http = F.concat(F.lit("HTTP "), code.cast("string"))
+    http = F.concat(F.lit(STATUS_REASON), code.cast("string"))
     return (
-        F.when(wall.isNotNull(), told("blocked", F.concat(F.lit("bot/auth wall: "), wall)))
-        .when(mark.isNotNull() & ~looks_like_listing(text), told("blocked", F.concat(F.lit("anti-bot challenge: "), mark)))
+        F.when(wall.isNotNull(), told("blocked", F.concat(F.lit(WALL_REASON), wall)))
+        .when(mark.isNotNull() & ~looks_like_listing(text), told("blocked", F.concat(F.lit(MARKUP_REASON), mark)))
         .when(code.isin(401, 403, 429), told("blocked", http))
         .when(code >= 400, told("error", http))
         .otherwise(told("ok", F.lit(None).cast("string")))
@@ -190,10 +193,15 @@ def metadata(html: Text) -> Column:
 
 
 def changes(snapshots: DataFrame, url: str, version: str, text: str) -> DataFrame:
-    """Snapshots with ``changed``: null for the first of a URL, else whether its text hash differs from the one before."""
-    hashed = snapshots.withColumn("text_hash", F.sha2(text, 256))
-    before = F.lag("text_hash").over(Window.partitionBy(url).orderBy(version))
-    return hashed.withColumn("changed", before != F.col("text_hash"))
+    """url, version, text_hash and ``changed``: null for the first snapshot of a URL, else whether its text's hash differs from the one before.
+
+    Hashes alone are moved. Snapshots are numbered within their URL, whatever its number, and each meets the one before.
+    """
+    placed = cut(numbered(snapshots.select(url, version, F.sha2(text, 256).alias("text_hash")), [url], version))
+    before = placed.select(F.col(url).alias("_url"), (F.col("place") + 1).alias("_next"), F.col("text_hash").alias("_before"))
+    joined = placed.join(before, F.col(url).eqNullSafe(F.col("_url")) & (F.col("place") == F.col("_next")), "left")
+    changed = F.when(F.col("_next").isNotNull(), ~F.col("_before").eqNullSafe(F.col("text_hash")))
+    return joined.select(url, version, "text_hash", changed.alias("changed"))
 
 
 def frontier(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
