@@ -68,12 +68,14 @@ def shard_digest(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 17) -> None:
     """Write docs (doc_id, text, source, ...) under path/shard=N/, each shard in slot order.
 
-    Rows are named by a hash of all their columns; what is ranked are these names and sources alone, and whole rows are
-    moved once, to their shard's place. Rows that repeat each other get a place each.
+    Rows are named by 128 bits of all their columns (maps as JSON); what is ranked are these names and sources alone, and
+    whole rows are moved once, to their shard's place. Rows that repeat each other get a place each.
     """
-    named = docs.select(F.xxhash64(*docs.columns).alias("own_name"), F.struct(*docs.columns).alias("row"))
-    rows = named.select("own_name", F.col("row")["source"].cast("string").alias("source"))
-    placed = interleave(rows, shards, seed, keys=("own_name",)).select("own_name", F.col("shard").alias("own_shard"), F.col("slot").alias("own_slot"))
-    joined = named.dropDuplicates(["own_name"]).join(placed, "own_name").select("own_shard", "own_slot", "row.*")
+    plain = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    names = ("own_name1", "own_name2")
+    named = docs.select(F.xxhash64(*plain).alias(names[0]), F.xxhash64(F.lit(1), *plain).alias(names[1]), F.struct(*docs.columns).alias("row"))
+    rows = named.select(*names, F.col("row")["source"].cast("string").alias("source"))
+    placed = interleave(rows, shards, seed, keys=names).select(*names, F.col("shard").alias("own_shard"), F.col("slot").alias("own_slot"))
+    joined = named.dropDuplicates(list(names)).join(placed, list(names)).select("own_shard", "own_slot", "row.*")
     out = joined.drop("shard", "slot").withColumnsRenamed({"own_shard": "shard", "own_slot": "slot"})
     out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -94,3 +94,11 @@ def test_many_sources_of_one_row_spread_over_buckets(docs, spark):
         S.ranked = real
     assert seen[0] == 1 and seen[1] <= 20
     assert len(placed) == 5000
+
+
+def test_rows_with_maps_are_written(docs, tmp_path, spark):
+    df = docs([(i, f"t{i % 5}") for i in range(20)]).selectExpr("*", "map('k', doc_id % 2, 'j', NULL) AS m", "struct(map(1, 'a') AS inner) AS n")
+    S.write_shards(df.unionByName(df.where("doc_id < 3")), str(tmp_path / "out"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.doc_id for r in back.collect()) == sorted([*range(20), 0, 1, 2])
+    assert back.where("m['k'] = doc_id % 2").count() == 23
