@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pricetide.operators import page_items as P
 
-CARD = '<div class="re__card-info"><a class="js__link" href="/ban/ecopark-{0}">Bán căn hộ Ecopark {1}</a> <span>{2}</span></div>'
+CARD = '<div class="tile-card"><a class="go" href="/ban/sky-{0}">Bán căn hộ Sky {1}</a> <span>{2}</span></div>'
 CARDS = "<html><head><title>Listings</title></head><body>" + CARD.format("a", "A", "2PN, 58m², giá 3.6 tỷ") + CARD.format("b", "B", "3PN, 82m², giá 5.1 tỷ") + "</body></html>"
 URL = "https://example.com/search"
 
@@ -38,14 +38,14 @@ def test_items_by_selector():
 
 
 def test_a_selected_link_stands_for_its_card():
-    found = got(CARDS, "a.js__link")
-    assert [r for _, r, _ in found] == ["https://example.com/ban/ecopark-a", "https://example.com/ban/ecopark-b"]
+    found = got(CARDS, "a.go")
+    assert [r for _, r, _ in found] == ["https://example.com/ban/sky-a", "https://example.com/ban/sky-b"]
     assert "2PN, 58m², giá 3.6 tỷ" in found[0][2] and "5.1" not in found[0][2]
 
 
 def test_overlapping_cards_are_one_item():
-    html = '<div class="js__card">' + CARD.format("a", "A", "x") + "</div>"
-    assert [r for _, r, _ in got(html, ".js__card, .re__card-info", "a.js__link")] == ["https://example.com/ban/ecopark-a"]
+    html = '<div class="big-card">' + CARD.format("a", "A", "x") + "</div>"
+    assert [r for _, r, _ in got(html, ".big-card, .tile-card", "a.go")] == ["https://example.com/ban/sky-a"]
 
 
 @pytest.mark.parametrize(("selector", "want"), [("p", "ab"), ("div p", "a"), ("div.k > p", ""), ("#i", "b"), ("[data-x*='lo']", "b"), ("[data-x=hello]", "b"), ("[data-y]", ""), ("section, div p", "a")])
@@ -63,7 +63,7 @@ def test_broken_and_deep_markup():
 
 
 def test_in_a_lateral_join(spark):
-    rows = [(1, URL, CARDS, "a.js__link", None), (2, URL, CARDS, None, 7), (3, None, CARDS, None, None), (4, URL, None, None, None)]
+    rows = [(1, URL, CARDS, "a.go", None), (2, URL, CARDS, None, 7), (3, None, CARDS, None, None), (4, URL, None, None, None)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string, item_selector string, max_chars int")
     df = df.withColumns({c: F.lit(None).cast("string") for c in ("link_selector", "content_selector", "drop_selectors")})
     assert [(r.page_id, r.place) for r in P.page_items(df).orderBy("page_id", "place").collect()] == [(1, 1), (1, 2), (2, 1)]
