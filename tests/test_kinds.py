@@ -32,3 +32,19 @@ def test_candidates_of_copies(copies, monkeypatch, block):
     got = [tuple(r) for r in R.candidates(ext, ent).collect()]
     assert len(got) == len(set(got)) and set(got) == {(e, p) for e in range(90) for p in range(120) if {e % 3, p % 3} != {0, 2}}
     assert seen == [(6, 3)]
+
+
+def test_ranks_of_copies(copies):
+    ext, ent, seen = copies
+    got = {}
+    for r in R.ranked_candidates(ext, ent, 4).collect():
+        got.setdefault(r.ext_id, []).append((r["rank"], r.property_id))
+    assert got == {e: [(k + 1, e % 3 + 3 * k) for k in range(4)] for e in range(90)}
+    assert {r.ext_id: r.property_id for r in R.resolve(ext, ent).where("action = 'link'").collect()} == {e: e % 3 for e in range(90)}
+    assert all(texts == 3 for _, texts in seen)
+
+
+def test_kinds_keep_the_sign_of_zero(spark):
+    rows = spark.createDataFrame([(1, 0.0), (2, -0.0), (3, None), (4, 0.0)], "id int, x double")
+    members, kinds = R.kinds(rows, "id", ("x",))
+    assert members.join(kinds.withColumnRenamed("id", "kind"), "kind").count() == 4
