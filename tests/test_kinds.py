@@ -48,3 +48,15 @@ def test_kinds_keep_the_sign_of_zero(spark):
     rows = spark.createDataFrame([(1, 0.0), (2, -0.0), (3, None), (4, 0.0)], "id int, x double")
     members, kinds = R.kinds(rows, "id", ("x",))
     assert members.join(kinds.withColumnRenamed("id", "kind"), "kind").count() == 4
+
+
+def test_search_of_copies(spark, copies):
+    ext, ent, seen = copies
+    wanted = spark.createDataFrame([(e, t) for e in range(30) for t in ("ring", "zzz")], "ext_id bigint, token string")
+    names, none = ent.selectExpr("property_id AS id", "name"), ent.selectExpr("property_id AS id", "name").where("false")
+    got = {}
+    for r in R.search_entities(wanted, none, none, names, 5).collect():
+        got.setdefault(r.ext_id, []).append((r.name, r.id))
+    blue = sorted(str(p) for p in range(1, 120, 3))[:5]
+    assert {e: sorted(rows) for e, rows in got.items()} == {e: sorted(("blue ring", i) for i in blue) for e in range(30)}
+    assert seen == [(2, 0), (2, 0), (2, 3)]
