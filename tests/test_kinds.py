@@ -2,6 +2,8 @@
 
 import pytest
 
+from pricetide.operators import geo as G
+from pricetide.operators import kinds as K
 from pricetide.operators import resolve as R
 
 RECORD = "name string, project_name string, building_name string, house_number string, location_text string, aliases array<string>, wiki_notes string, type string, area_m2 double"
@@ -28,7 +30,7 @@ def copies(spark, monkeypatch):
 @pytest.mark.parametrize("block", [7, 1 << 15])
 def test_candidates_of_copies(copies, monkeypatch, block):
     ext, ent, seen = copies
-    monkeypatch.setattr(R, "BLOCK", block)
+    monkeypatch.setattr(K, "BLOCK", block)
     got = [tuple(r) for r in R.candidates(ext, ent).collect()]
     assert len(got) == len(set(got)) and set(got) == {(e, p) for e in range(90) for p in range(120) if {e % 3, p % 3} != {0, 2}}
     assert seen == [(6, 3)]
@@ -46,7 +48,7 @@ def test_ranks_of_copies(copies):
 
 def test_kinds_keep_the_sign_of_zero(spark):
     rows = spark.createDataFrame([(1, 0.0), (2, -0.0), (3, None), (4, 0.0)], "id int, x double")
-    members, kinds = R.kinds(rows, "id", ("x",))
+    members, kinds = K.kinds(rows, "id", ("x",))
     assert members.join(kinds.withColumnRenamed("id", "kind"), "kind").count() == 4
 
 
@@ -60,3 +62,11 @@ def test_search_of_copies(spark, copies):
     blue = sorted(str(p) for p in range(1, 120, 3))[:5]
     assert {e: sorted(rows) for e, rows in got.items()} == {e: sorted(("blue ring", i) for i in blue) for e in range(30)}
     assert seen == [(2, 0), (2, 0), (2, 3)]
+
+
+def test_places_of_copies(spark, monkeypatch):
+    seen, step = [], G.expanded
+    monkeypatch.setattr(G, "expanded", lambda pairs, *rest: seen.append(pairs.count()) or step(pairs, *rest))
+    rows = spark.createDataFrame([(i, 10.0 + i % 2 / 100, 100.0) for i in range(60)] + [(60, 20.0, 100.0), (61, None, 100.0)], "id int, lat double, lng double")
+    got = [(r.left_id, r.right_id) for r in G.within(rows, rows, 2).collect()]
+    assert len(got) == len(set(got)) == 60 * 60 + 1 and seen == [5]
