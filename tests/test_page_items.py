@@ -69,3 +69,19 @@ def test_in_a_lateral_join(spark):
     assert [(r.page_id, r.place) for r in P.page_items(df).orderBy("page_id", "place").collect()] == [(1, 1), (1, 2), (2, 1)]
     assert P.page_items(df).where("page_id = 2").first().text == "Bán căn"
     assert sorted((r.page_id, r.link[-1]) for r in P.page_links(df).collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+
+
+def test_references_without_a_semicolon_in_headlines(spark, tmp_path):
+    """A page that ends a headline within a reference is read the same by the query and its SQL."""
+    import duckdb
+
+    from pricetide.plans import catalog
+
+    head = "a &lt b &amp;lt c &gt; d &quot e &#x27;f&#x27; g &amp"
+    rows = [(i, f"https://h.example.com/{lang}/{i}", f"<html><body><article><h1>{head}</h1></article></body></html>") for i, lang in enumerate(("en", "de", "fr"))]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.queries["E1_E3_items_by_source"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.ref, r.text) for r in got) == sorted(con.execute(f"SELECT page_id, ref, text FROM ({catalog.oracle['E1_E3_items_by_source']})").fetchall())
+    assert {r.page_id: r.text for r in got}[0] == "a < b &lt c > d \" e 'f' g &"
