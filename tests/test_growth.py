@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from pricetide.functions import text as T
 from pricetide.operators import dedup as K
 
 
@@ -14,3 +15,15 @@ def test_first_names_of_a_large_group(spark):
     began = time.perf_counter()
     got = {r.project: r.names for r in K.keep_first_names(names.unionByName(odd), "project", "name", "id").collect()}
     assert got == {"p": [f"Tòa {i}" for i in range(15_000)], "q": [], "r": ["Đất 1"]} and time.perf_counter() - began < 60
+
+
+def test_clean_name_is_the_name_of_the_split(spark):
+    names = ["Dự án Sky", "DU AN  villa x", "villa", " villa ", "Căn hộ\tA", "project", "can hox y", "", " ", None, "shop house Mé\nb", "NHÀ PHỐ 1"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(T.clean_project_name("n").alias("a"), T.split_name_tags("n")["name"].alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a == "Sky"
+
+
+def test_hierarchies_take_few_expressions(spark):
+    """A part is cut and cleaned once, not once for each use."""
+    plan = lambda c: spark.range(1).select(F.lit("a / b / c").alias("n"), F.col("id")).repartition(1).select(c("n").alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(T.hierarchy_from_name).count("split(") <= 3
