@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,7 @@ NOISE = {"script", "style", "noscript", "template", "svg", "nav", "header", "foo
 _BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "main", "body", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ITEM_CHARS = 12_000
+AT_ONCE = 64  # pages that Python holds parsed
 
 
 def looks_like_listing(text: Text) -> Column:
@@ -149,11 +150,14 @@ def parsed(pages: DataFrame, item_selector: str = "", link_selector: str = "") -
     """page_id, url, title, text, links (absolute, as they come) and items (ref, text) of pages (page_id, url, html)."""
     ddl = "page_id bigint, url string, title string, text string, links array<string>, items array<struct<ref: string, text: string>>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    text = pa.string()
+    made = pa.schema({"page_id": pa.int64(), "url": text, "title": text, "text": text, "links": pa.list_(text), "items": pa.list_(pa.struct({"ref": text, "text": text}))})
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item, link = _Selector(item_selector), _Selector(link_selector)
-        for pdf in frames:
+        for batch in frames:
             out = []
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+            for page_id, url, html in ((r["page_id"], r["url"], r["html"]) for at in range(0, batch.num_rows, AT_ONCE) for r in batch.slice(at, AT_ONCE).to_pylist()):
                 p = _Page(item, link)
                 p.feed(html or "")
                 p.close()
@@ -164,10 +168,13 @@ def parsed(pages: DataFrame, item_selector: str = "", link_selector: str = "") -
                     if text and (ref is None or ref not in seen):
                         seen.add(ref)
                         items.append({"ref": ref, "text": text})
-                out.append((page_id, url, _tidy(p.title) or None, _tidy(p.text), links, items))
-            yield pd.DataFrame(out, columns=["page_id", "url", "title", "text", "links", "items"])
+                out.append({"page_id": page_id, "url": url, "title": _tidy(p.title) or None, "text": _tidy(p.text), "links": links, "items": items})
+                if len(out) == AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(out, made)
+                    out = []
+            yield pa.RecordBatch.from_pylist(out, made)
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(run, ddl)
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, ddl)
 
 
 def _joined(base: str | None, href: str) -> str | None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import text as T
 from pricetide.operators import dedup as K
+from pricetide.operators import pages as P
 
 
 def test_first_names_of_a_large_group(spark):
@@ -27,3 +28,10 @@ def test_hierarchies_take_few_expressions(spark):
     """A part is cut and cleaned once, not once for each use."""
     plan = lambda c: spark.range(1).select(F.lit("a / b / c").alias("n"), F.col("id")).repartition(1).select(c("n").alias("h"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan(T.hierarchy_from_name).count("split(") <= 3
+
+
+def test_pages_leave_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(P, "AT_ONCE", 3)
+    rows = spark.createDataFrame([(i, "https://h/x", f"<title>t{i}</title><li><a href='/{i}'>word {i}</a></li>" if i else None) for i in range(10)], "page_id bigint, url string, html string").coalesce(1)
+    got = {r.page_id: (r.title, r.text, r.links, [tuple(x) for x in r["items"]]) for r in P.parsed(rows, "li").collect()}
+    assert got == {0: (None, "", [], [])} | {i: (f"t{i}", f"word {i}", [f"https://h/{i}"], [(f"https://h/{i}", f"word {i}")]) for i in range(1, 10)}
