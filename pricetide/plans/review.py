@@ -8,9 +8,9 @@ from pricetide.operators import geo as G
 from pricetide.operators import ingest as I
 from pricetide.operators import resolve as R
 from pricetide.plans.registry import query
-from pricetide.plans.streams import _run
+from pricetide.plans.streams import _run, in_pieces
 from pricetide.plans.text import NORM, RANKED, TOKENS, _resolution
-from pricetide.session import stash, stash_path
+from pricetide.session import stash_path
 from pricetide.streaming import streams as S
 
 
@@ -171,9 +171,8 @@ def backfilled(d):
 @query("T10_stream_new_signals", "SELECT DISTINCT source AS source_ref, sha256(trim(text)) AS content_hash FROM documents")
 def stream_signals(d):
     """Documents in several micro-batches at one capture time: the state lets each key through once."""
-    split = stash(d.table("documents").select(F.lit("web").alias("source_type"), F.col("source").alias("source_ref"), F.col("text").alias("raw_text"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("captured_at")).repartition(3), "signals")
-    raw = d.spark.readStream.schema(split.schema).option("maxFilesPerTrigger", 1).parquet(split.inputFiles()[0].rsplit("/", 1)[0])
-    return _run(d, S.new_signals(raw), "append").select("source_ref", "content_hash")
+    rows = d.table("documents").select(F.lit("web").alias("source_type"), F.col("source").alias("source_ref"), F.col("text").alias("raw_text"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("captured_at"))
+    return _run(d, S.new_signals(in_pieces(rows, stash_path(d.spark, "signals"))), "append").select("source_ref", "content_hash")
 
 
 @query("R6_created_rows", f"""SELECT sha256(concat_ws('|', {NORM.format("p_brand || ' / ' || p_type")}, 'apartment')) AS property_id, p_brand || ' / ' || p_type AS name, {NORM.format("p_brand || ' / ' || p_type")} AS name_normalized, p_brand AS project_name,

@@ -30,6 +30,16 @@ def _run(d, df, mode):
     return d.spark.read.parquet(f"{root}/out").drop("part")
 
 
+FILE_ROWS = 20_000
+
+
+def in_pieces(rows, path, pieces=3):
+    """rows as a stream of so many micro-batches, or one more; more rows are more files, so a task's share stays the same."""
+    each = max(-(-rows.count() // (pieces * FILE_ROWS)), 1)
+    rows.repartition(pieces * each).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
+
+
 @query("T7_stream_job_counters", f"WITH {EVENTS} SELECT job_id, count(*) FILTER (WHERE type = 'heartbeat') AS heartbeats, sum(CASE WHEN type = 'page' THEN pages ELSE 0 END)::BIGINT AS pages FROM ev GROUP BY 1")
 def job_counters(d):
     return first_by(_run(d, S.job_counters(_stream(d)), "update"), ["job_id"], F.desc("batch")).select("job_id", "heartbeats", "pages")

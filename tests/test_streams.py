@@ -58,3 +58,16 @@ def test_ingest_and_event_log(spark, tmp_path):
     events = source(spark, tmp_path / "e", [[(1, T0)]], "id bigint, ts timestamp")
     S.event_log(events, str(tmp_path / "log"), str(tmp_path / "cp3")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log")).where(F.col("day") == T0.date()).count() == 1
+
+
+def test_files_of_a_stream_are_bounded(spark, tmp_path, monkeypatch):
+    """Four times the rows are four times the files in as many micro-batches."""
+    from pricetide.plans import streams as P
+
+    monkeypatch.setattr(P, "FILE_ROWS", 100)
+    for n, files in ((300, 3), (1200, 12)):
+        sent, path = P.in_pieces(spark.range(n), f"{tmp_path}/{n}"), f"{tmp_path}/{n}-out"
+        sizes = []
+        sent.writeStream.foreachBatch(lambda b, _, sizes=sizes: sizes.append(b.count())).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+        assert len(spark.read.parquet(f"{tmp_path}/{n}").inputFiles()) == files
+        assert sum(sizes) == n and len(sizes) == 3
