@@ -63,3 +63,20 @@ def test_tokens_are_found_by_their_rarest_trigram(spark, monkeypatch, most):
     wanted = spark.createDataFrame([(k, t) for k, t in enumerate(tokens)], "ext_id int, token string")
     got = {(r.ext_id, r.id) for r in R.token_matches(wanted, spark.createDataFrame(texts, "id int, search_text string"), "id").collect()}
     assert got == {(k, i) for k, t in enumerate(tokens) for i, text in texts if t in text}
+
+
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_similar_pairs_of_copies(spark, monkeypatch, tile):
+    monkeypatch.setattr(B, "TILE", tile)
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(30, 24)), 4, axis=0) + 0.3 * r.normal(size=(120, 24))
+    x = np.concatenate([x, x[:40], x[:10], np.zeros((2, 24))])
+    df = spark.createDataFrame([(i * 7 % 173, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id bigint, v array<float>")
+    blocks = B.vector_blocks(df, "id", "v", 24)
+    shared = B.block_pairs(blocks, blocks.withColumnRenamed("id", "other"), "id", "other", 1 << 40).where("id < other")
+    sides = [df.select(F.col("id").alias(n), F.col("v").alias(v)) for n, v in (("id", "a"), ("other", "b"))]
+    want = shared.join(sides[0], "id").join(sides[1], "other").select("id", "other", R.cosine(F.col("a"), F.col("b")).alias("cosine")).where("cosine >= 0.8")
+    seen, step = [], B.expanded
+    monkeypatch.setattr(B, "expanded", lambda pairs, *rest: seen.append(pairs.count()) or step(pairs, *rest))
+    got = sorted((p.id, p.other, p.cosine) for p in B.similar_pairs(df, "id", "v", 24, 0.8).collect())
+    assert got == sorted((p.id, p.other, p.cosine) for p in want.collect()) and len(got) > seen[0]
