@@ -80,3 +80,19 @@ def test_similar_pairs_of_copies(spark, monkeypatch, tile):
     monkeypatch.setattr(B, "expanded", lambda pairs, *rest: seen.append(pairs.count()) or step(pairs, *rest))
     got = sorted((p.id, p.other, p.cosine) for p in B.similar_pairs(df, "id", "v", 24, 0.8).collect())
     assert got == sorted((p.id, p.other, p.cosine) for p in want.collect()) and len(got) > seen[0]
+
+
+def test_the_best_of_composite_blocks(spark, monkeypatch):
+    monkeypatch.setattr(B, "ASKERS", 5)
+    monkeypatch.setattr(B, "HOLDERS", 80)
+    r, names = np.random.default_rng(2), ["Red Ring", "Blue Ring", "Blue Bolt", "Old Nail"]
+    vector = lambda i: None if i % 3 == 0 else [1.0, None] if i % 31 == 0 else [float(x) for x in r.normal(size=2 if i % 7 else 3)]
+    rows = lambda n, first: [(first + i, names[i % 4], f"w{i % 9}", 10 + i % 5 / 100, 100.0 if i % 6 else None, vector(i % 60)) for i in range(n)]
+    e, c = record(spark, "ext_id", rows(30, 1)), record(spark, "property_id", rows(240, 1000))
+    old = B.composite_candidates(e, c, 2.0, 2, 150)
+    want = R.ranked_candidates(e, c, 6, pairs=old, extra=B.extra_score(F.col("km"), F.col("cosine")))
+    seen, step = [], R.scores
+    monkeypatch.setattr(R, "scores", lambda pairs, *rest: seen.append(pairs.count()) or step(pairs, *rest))
+    ranked = lambda df: sorted((p.ext_id, p["rank"], p.property_id, p.score) for p in df.select("ext_id", "rank", "property_id", "score").collect())
+    assert ranked(B.ranked_composite(e, c, 2.0, 2, 150, 6)) == ranked(want)
+    assert seen[0] < old.count() / 3
