@@ -35,3 +35,13 @@ def test_pages_leave_in_small_pieces(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "https://h/x", f"<title>t{i}</title><li><a href='/{i}'>word {i}</a></li>" if i else None) for i in range(10)], "page_id bigint, url string, html string").coalesce(1)
     got = {r.page_id: (r.title, r.text, r.links, [tuple(x) for x in r["items"]]) for r in P.parsed(rows, "li").collect()}
     assert got == {0: (None, "", [], [])} | {i: (f"t{i}", f"word {i}", [f"https://h/{i}"], [(f"https://h/{i}", f"word {i}")]) for i in range(1, 10)}
+
+
+def test_geocoding_is_dealt_out(spark):
+    from pricetide.operators.geo import geocode_candidates
+
+    named = {"name": "'A'", "project_name": "'Dự án Sky'", "building_name": "'B1'", "house_number": "'2'", "address": "'Q7'", "building_address": "'q7'", "project_address": "string(null)", "location_texts": "array('P. 3', 'Q7')"}
+    rows = spark.range(64).coalesce(1).selectExpr("id", *(f"{v} AS {k}" for k, v in named.items()))
+    found = geocode_candidates(rows)
+    parts = {r.part for r in found.selectExpr("spark_partition_id() AS part").distinct().collect()}
+    assert len(parts) > 4 and found.groupBy("id").count().where("count = 8").count() == 64
