@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetide.operators import stats as S
 from pricetide.operators.quantiles import distributions, medians, quantiles
+from pricetide.session import stash
 
 DEALS = ("asking", "transacted")
 
@@ -173,7 +174,7 @@ def outlier_bands(rows: DataFrame) -> DataFrame:
 def source_reliability(rows: DataFrame) -> DataFrame:
     """Each source's median deviation from its segments' medians, in units of the segment's own (MAD), and far-off rows."""
     keys = ["listing_type", "deal_status", "property_type"]
-    priced = rows.where("ppm2 is not null")
+    priced = stash(rows.where("ppm2 is not null").select(*keys, "source_id", "ppm2"), "priced")  # read in each of the passes
     middle = medians(priced, keys, "ppm2", "mid").drop("n")
     off = priced.join(middle, keys).withColumn("off", F.abs(F.col("ppm2") - F.col("mid")))
     mad = medians(off, keys, "off", "mad").drop("n")

@@ -75,3 +75,12 @@ def test_cases_are_aligned_side_by_side(spark, monkeypatch):
     pdf = [pd.concat([pd.DataFrame(rows, columns=["case", "id", "price", "area", "type"]).assign(side=side) for side, rows in ((0, predicted), (1, expected))]).sort_values(["case", "side", "id"])]
     p, _ = V._matches(*(pdf[0][c] for c in ("case", "price", "area", "type", "side")))
     assert len(p) == len(want) and len(seen) < len(expected) and max(shape[0] for shape in seen) > 5
+
+
+def test_reliability_reads_its_rows_once(spark, tmp_path):
+    from pricetide.operators import market as M
+
+    rows = spark.range(60).selectExpr("id % 4 AS source_id", "'sale' AS listing_type", "'asking' AS deal_status", "'house' AS property_type", "double(id % 7) AS ppm2")
+    rows.write.parquet(str(tmp_path / "rows"))
+    got = M.source_reliability(spark.read.parquet(str(tmp_path / "rows")))
+    assert got.count() == 4 and got.inputFiles() and all("pricetide-priced" in f for f in got.inputFiles())
