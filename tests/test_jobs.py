@@ -44,6 +44,79 @@ def test_presence(spark, tmp_path, rocks):
     assert sorted((r.device_id, r.online_from, r.offline_at, r.events) for r in got) == [(1, at(0), at(180), 2), (1, at(600), at(720), 1)]
 
 
+def by_rows(batches, seconds):
+    """Runs of events, and those still open, by going through each key's rows."""
+    done, state = [], {}
+    for rows in batches:
+        for _, key, ts, kind in sorted(rows, key=lambda e: (e[2], e[0])):
+            run = state.get(key)
+            if run and ts > run[1] + dt.timedelta(seconds=seconds):
+                done.append((key, *run))
+                run = None
+            run = run or (ts, ts, 0, kind)
+            state[key] = (run[0], ts, run[2] + 1, kind) if ts >= run[1] else (run[0], run[1], run[2] + 1, run[3])
+    return done, [(key, *run) for key, run in state.items()]
+
+
+def in_order(runs):
+    return sorted(runs, key=lambda run: [(x is None, x or 0 if i < 4 else x or "") for i, x in enumerate(run)])
+
+
+def ms(t):
+    return (t - T0) // dt.timedelta(milliseconds=1) + 1_704_067_200_000
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_keys_share_a_bucket(spark, tmp_path, rocks, buckets):
+    """Late rows, equal times, gaps of just the limit, and events without a key or a type."""
+    import random
+
+    r = random.Random(7)
+    when = lambda b: at(b + r.choice([0, 30, 60, 120, 180, 299, 300]) + r.choice([-60, 0, 0, 1]))
+    batches = [[(b * 1000 + i, r.choice([None, *range(60)]), when(b), r.choice([None, "x", "y"])) for i in range(90)] for b in (100, 200, 300, 2000, 2100)]
+    done, left = by_rows(batches, 120)
+    assert len(done) > 60 and len({run[2] for run in left}) > 5
+    events = source(spark, tmp_path, [*batches, [(1, 99, at(90_000), "z")]], EVENTS.format("device_id"))
+    got = [(x.device_id, x.started_ms, x.last_ms, x.events, x.last_type) for x in drain(spark, S.runs(events, "device_id", 120, "10 minutes", buckets), tmp_path)]
+    assert in_order(got) == in_order((k, ms(a), ms(b), n, kind) for k, a, b, n, kind in done + left)
+
+
+def test_state_is_asked_by_bucket():
+    """500 keys in a micro-batch: the state store is asked as often as for one."""
+    import pandas as pd
+
+    asked, value = [], []
+
+    class Store:
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            asked.append("exists")
+            return bool(value)
+
+        def get(self):
+            asked.append("get")
+            return value[0]
+
+        def update(self, new):
+            asked.append("update")
+            value[:] = [new]
+
+        def registerTimer(self, at):
+            asked.append("register")
+
+        def deleteTimer(self, at):
+            asked.append("delete")
+
+    gaps = S.Gaps("job_id", 120_000)
+    gaps.init(Store())
+    for at_ms in (0, 200_000):
+        rows = pd.DataFrame({"id": range(500), "event_id": range(500), "at_ms": at_ms, "kind": "x"})
+        out = list(gaps.handleInputRows((3,), iter([rows[:200], rows[200:]]), None))
+    assert len(asked) == 8 and [len(x) for x in out] == [500] and set(out[0]["last_ms"]) == {0}
+
+
 SIGNALS = "signal_id bigint, source_type string, source_ref string, raw_text string, captured_at timestamp"
 ENTITY = "property_id bigint, name string, project_name string, building_name string, house_number string, aliases array<string>, wiki_notes string, type string, area_m2 double"
 
