@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pricetide.operators import ingest as I
 from pricetide.operators.resolve import persist_decisions
+from pricetide.session import cut, dealt
 from pricetide.sources.versioned import BatchLog
 
 SIGNALS = "signal_id bigint, source_type string, source_ref string, raw_text string, captured_at timestamp, content_hash string"
@@ -22,10 +23,10 @@ FACTS = """ext_id string, signal_id bigint, item int, name string, type string,
 
 
 def decided(signals: DataFrame, entities: DataFrame, parents: DataFrame) -> DataFrame:
-    """Facts of signals with outcome, reason and the property they are linked to."""
+    """Facts of signals with outcome, reason and the property they are linked to; signals are read and extracted once."""
     none = F.array().cast("array<string>")
-    found = I.facts(signals).drop("reason", "needs_review").withColumns({"aliases": none, "tags": none})
-    extractions = found.withColumn("ext_id", F.concat_ws("#", "signal_id", "item"))
+    found = I.facts(dealt(signals)).drop("reason", "needs_review", "raw_text", "item_text").withColumns({"aliases": none, "tags": none})
+    extractions = cut(found.withColumn("ext_id", F.concat_ws("#", "signal_id", "item")))
     outcome = persist_decisions(extractions, entities, parents)
     rows = extractions.join(outcome, "ext_id").withColumn("needs_review", F.col("outcome") == "review")
     return rows.selectExpr(*(f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in FACTS.split(",")))

@@ -155,3 +155,14 @@ def test_a_batch_is_published_once(spark, tmp_path):
     spark.range(2).select(F.col("id").cast("int").alias("a")).write.parquet(f"{tmp_path}/one")
     assert log.publish("x-0", {"facts": f"{tmp_path}/one"}) and not log.publish("x-0", {"facts": "other"})
     assert log.read("facts", "a int").count() == 2
+
+
+def test_signals_are_extracted_once(spark, tmp_path):
+    """A small file's signals go over all cores, and what is decided about them reads what was extracted."""
+    rows = spark.range(64).selectExpr("id AS signal_id", "'web' AS source_type", "'r' AS source_ref", "concat('Bán nhà phố ', 60 + id, 'm2 giá 3,5 tỷ') AS raw_text", "timestamp'2024-01-01' AS captured_at", "string(id) AS content_hash")
+    rows.coalesce(1).write.parquet(str(tmp_path / "signals"))
+    signals = spark.read.parquet(str(tmp_path / "signals"))
+    found = P.decided(signals, spark.createDataFrame([], ENTITY), spark.createDataFrame([], "name_normalized string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "triệu" not in plan and "raw_text" not in plan
+    assert sorted((r.signal_id, r.area_m2, r.price_vnd, r.outcome) for r in found.collect()) == [(i, 60.0 + i, 3_500_000_000, "created") for i in range(64)]
