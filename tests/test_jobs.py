@@ -117,6 +117,61 @@ def test_state_is_asked_by_bucket():
     assert len(asked) == 8 and [len(x) for x in out] == [500] and set(out[0]["last_ms"]) == {0}
 
 
+UNEVEN = {
+    "one long before": "CASE WHEN id = 0 THEN timestamp'2024-01-01' WHEN id < 1200 THEN timestamp'2024-01-20' + make_dt_interval(0, 0, 0, id * 40) ELSE timestamp'2024-01-30' + make_dt_interval(0, 0, 0, id * 3) END",
+    "one time": "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id * 0)",
+    "none": None,
+}
+
+
+@pytest.mark.parametrize("when", UNEVEN.values(), ids=UNEVEN)
+def test_uneven_times_lose_no_event(spark, tmp_path, when):
+    """A piece of few rows has fewer of them than a micro-batch takes files: it must not take those of the next one."""
+    import duckdb
+
+    from pricetide.plans import jobs, registry
+
+    at = f"to_timestamp_ntz(date_format({when or 'null'}, 'yyyy-MM-dd HH:mm:ss'))"
+    rows = spark.range(1800 if when else 0).selectExpr("id AS event_id", f"{at} AS ts", "(id * 7919) % 40 AS user_id", "element_at(array('view', 'purchase'), int(1 + id % 2)) AS event_type", "1.0D AS value", """'{"k": 1}' AS props""")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    before = spark.conf.get(jobs.PARTITIONS)
+    for name in ("T2_stream_presence", "T4_stream_lease_expiry"):
+        got = registry.queries[name](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracle[name]).fetchall()) and (len(got) > 40) == (when == UNEVEN["one long before"])
+    assert spark.conf.get(jobs.PARTITIONS) == before
+
+
+def test_streams_with_timers_take_no_more_partitions_than_cores_want(spark, tmp_path, monkeypatch):
+    from pricetide.plans import jobs
+    from pricetide.sources.domain import Domain
+
+    seen = []
+    monkeypatch.setattr(jobs, "_run", lambda d, df, mode: seen.append(int(d.spark.conf.get(jobs.PARTITIONS))))
+    monkeypatch.setattr(jobs, "_in_order", lambda d, rows: rows)
+    spark.range(1).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get(jobs.PARTITIONS)
+    try:
+        for parts in (3, 600):
+            spark.conf.set(jobs.PARTITIONS, parts)
+            jobs._timed(Domain(spark, str(tmp_path)), lambda events: events)
+            assert int(spark.conf.get(jobs.PARTITIONS)) == parts
+    finally:
+        spark.conf.set(jobs.PARTITIONS, before)
+    assert seen == [3, 4 * spark.sparkContext.defaultParallelism]
+
+
+def test_large_event_ids_keep_their_order():
+    """Events of one time go by their ids, of which a double can't tell these two apart."""
+    import pandas as pd
+
+    held = pd.DataFrame({"id": [1], "started": [0], "last": [0], "n": [1], "kind": ["x"]})
+    rows = pd.DataFrame({"id": [1, 1], "at_ms": [5, 5], "event_id": [2**53 + 1, 2**53], "kind": ["a", "b"]})
+    found, is_open = S._runs(held, rows, 10)
+    assert found.to_dict("records") == [{"id": 1, "started": 0, "last": 5, "n": 3, "kind": "a"}] and is_open.tolist() == [True]
+
+
 SIGNALS = "signal_id bigint, source_type string, source_ref string, raw_text string, captured_at timestamp"
 ENTITY = "property_id bigint, name string, project_name string, building_name string, house_number string, aliases array<string>, wiki_notes string, type string, area_m2 double"
 
