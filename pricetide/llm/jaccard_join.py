@@ -6,13 +6,17 @@
    with the fewest hashes that aren't frequent in the table (a passage that many texts share leads nowhere). The order
    depends on a part's contents alone, so two such sets still agree in a part that both keep. Sets
    that agree in a part of a band they both can join in are connected; the connected groups are the only places
-   where links can be. A task connects what agrees within it by itself, so a key has one row a task at most.
+   where links can be. A task connects what agrees within it by itself, so it sends a key once a chunk at most. Keys
+   travel packed, a row for each chunk and range of keys, and name sets by 32 bits: sets of equal names or equal packed
+   keys are only looked at in vain.
 3. Tiles. A group is cut into size bands and blocks of bounded size; a tile is a pair of blocks of one band or of
    neighbouring bands. In a tile, parity bitmaps of the hashes bound the overlap of two sets from above
    (bits that differ are at most the hashes that differ), and sorted arrays of those left are intersected.
 4. Pairs already connected within a tile are passed over, so a tile emits a spanning forest of its links, and
    components over all tiles are those of all links: no link between different sets is lost.
 
+Texts are moved only where they may be needed: a bitmap of bounded size tells which tags surely aren't among the wanted ones.
+
 Nulls: a null text has an empty set and no links; a null doc_id takes part but never names a component unless all
 are null. Repeated rows are nodes with the same set. Extra columns are not looked at. Empty tables give no rows.
 """
@@ -22,19 +26,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm import kernel as K
 from pricetide.llm.graph import connected_components
-from pricetide.session import cut
+from pricetide.session import cut, wide
 
 BLOCK_ROWS, BLOCK_HASHES = 4096, 1_600_000  # of a tile's side; 64 bits a hash
 SEEN = 1_000_000  # sets that a task remembers, to send equal ones once
 GROWTH = 1.5  # of the size bands of step 2
 SPARE = 3  # one spare part for so many hashes that may differ
 CHUNK_KEYS = 2_000_000  # keys or hashes that a task holds at a time
+KEY_BITS, SHORT = 46, 0xFFFFFFFF  # of a key as it travels, and of a set's name beside it
+RANGE_HASHES, MOST_RANGES = 2_000_000, 4096  # hashes of the table for a range of keys, which is joined at once; and how many ranges there are at most
+MARKS, LEAST_MARKS, MOST_MARKS = 32, 1 << 16, 1 << 27  # bits of a bitmap for each tag, and of all
 #: Hashes that a task reports as frequent, the least count there, and how many of the whole table count as frequent. These
 #: choose which parts are left out, and so how much work there is; the links found are the same with any others.
 FREQUENT, LEAST_FREQUENT, HOT = 5_000, 8, 20_000
@@ -148,8 +156,31 @@ def combined(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([keys[first], own(pairs[0]), own(heads)]), np.concatenate([nodes[first], pairs[1], heads])
 
 
-def _keys(n: int, num: int, den: int, hot: np.ndarray):
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+def packed(keys: np.ndarray, nodes: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, bytes): the keys' upper KEY_BITS by range, in order as steps of as few bytes as the longest takes; then the nodes' names."""
+    keys = keys.view(np.uint64) >> np.uint64(64 - KEY_BITS)
+    order = np.argsort(keys, kind="stable")
+    keys, names = keys[order], nodes.view(np.uint64)[order].astype(np.uint32)
+    width = -(-(1 << KEY_BITS) // ranges)
+    of = (keys // np.uint64(width)).astype(np.int64)
+    ends = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+    for lo, hi in zip(ends, ends[1:] if len(of) else [], strict=False):
+        steps = np.diff(keys[lo:hi], prepend=np.uint64(int(of[lo]) * width))
+        size = max((int(steps.max()).bit_length() + 7) // 8, 1)
+        yield int(of[lo]), bytes([size]) + steps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes() + names[lo:hi].tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, counted from the begin of their range, and names of the nodes."""
+    size, rest = data[0], np.frombuffer(data, np.uint8, offset=1)
+    n = len(rest) // (size + 4)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :size] = rest[: n * size].reshape(n, size)
+    return np.cumsum(steps.view(np.uint64)[:, 0]), np.frombuffer(rest[n * size :].tobytes(), np.uint32)
+
+
+def _keys(n: int, num: int, den: int, hot: np.ndarray, ranges: int):
+    schema = pa.schema([("range", pa.int32()), ("packed", pa.binary())])
     hot = np.sort(hot)
 
     def cold(hashes: np.ndarray) -> np.ndarray:
@@ -162,7 +193,8 @@ def _keys(n: int, num: int, den: int, hot: np.ndarray):
         tops, keys, owner, waiting = band_tops(1 << 10), [], [], 0
 
         def done() -> pa.RecordBatch:
-            return K.table(dict(zip(("key", "node"), combined(np.concatenate(keys), np.concatenate(owner)), strict=True)), schema)
+            rows = [*packed(*combined(np.concatenate(keys), np.concatenate(owner)), ranges)]
+            return K.table({"range": [r for r, _ in rows], "packed": [x for _, x in rows]}, schema)
 
         for batch in batches:
             for part in K.slices(batch.column("text")):
@@ -188,6 +220,51 @@ def _keys(n: int, num: int, den: int, hot: np.ndarray):
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least): names of sets that share a key, each beside the least of them. Rows of a range come together."""
+    schema = pa.schema([("node", pa.int64()), ("least", pa.int64())])
+
+    def solve(held: list[bytes]) -> pa.RecordBatch:
+        keys, names = (np.concatenate(x) for x in zip(*map(unpacked, held), strict=True))
+        order = np.lexsort((names, keys))
+        keys, names = keys[order], names[order].astype(np.int64)
+        first = np.append(True, keys[1:] != keys[:-1])
+        least = names[first][np.cumsum(first) - 1]
+        pairs = np.unique(np.stack([names, least])[:, names != least], axis=1)
+        return K.table({"node": pairs[0], "least": pairs[1]}, schema)
+
+    at, held = None, []
+    for batch in batches:
+        for r, data in zip(batch.column("range").to_pylist(), batch.column("packed"), strict=True):
+            if r != at and held:
+                yield solve(held)
+                held = []
+            at = r
+            held.append(data.as_py())
+    if held:
+        yield solve(held)
+
+
+def marked(tags: DataFrame) -> np.ndarray:
+    """A bitmap of the tags of a table, by their lowest bits; about MARKS bits a tag, MOST_MARKS at most."""
+    bits = 1 << min(max(MARKS * tags.count(), LEAST_MARKS) - 1, MOST_MARKS - 1).bit_length()
+    at = F.col("tag").bitwiseAND(bits - 1)
+    words = tags.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def maybe(marks: np.ndarray) -> Column:
+    """Whether a row's tag may be among the marked ones: always so if it is."""
+
+    def look(tags: pd.Series) -> pd.Series:
+        at = tags.to_numpy(np.int64) & (64 * len(marks) - 1)
+        return pd.Series((marks[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return F.pandas_udf(look, "boolean")("tag")
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """Parity bitmaps: a bit tells whether an odd number of a set's hashes fall on it. One width for all."""
     most = max(len(s) for s in sets)
@@ -301,12 +378,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     sets = described.where("node is not null")
     often = described.where("node is null").groupBy("tag").agg(F.sum("n_shingles").alias("n")).orderBy("n", "tag").limit(HOT).collect()
     hot = np.array([r["tag"] for r in often], np.int64).view(np.uint64)
-    keys = rows.select("text").mapInArrow(_keys(n, num, den, hot), "key bigint, node bigint")
-    least = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    groups = connected_components(keys.withColumn("least", least).where("node != least").select("node", "least").distinct(), "node", "least")
+    hashes = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    ranges = min(max(hashes // RANGE_HASHES, wide(docs.sparkSession)), MOST_RANGES)
+    keys = rows.select("text").mapInArrow(_keys(n, num, den, hot, ranges), "range int, packed binary")
+    met = keys.repartition("range").sortWithinPartitions("range").mapInArrow(_met, "node bigint, least bigint")
+    groups = connected_components(met, "node", "least").withColumnRenamed("node", "short")
     nodes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("tag").alias("tag"), F.max("n_shingles").alias("n"))
-    tiles = _assign(nodes.join(groups, "node"), num, den)
-    placed = rows.select("tag", "text").join(tiles, "tag").select("tile", "node", "side", "text")
+    short = F.col("node").bitwiseAND(F.lit(SHORT))
+    tiles = cut(_assign(nodes.withColumn("short", short).join(groups, "short").drop("short"), num, den))
+    placed = rows.where(maybe(marked(tiles.select("tag")))).join(tiles, "tag").select("tile", "node", "side", "text")
     links = placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(n, num, den), "a bigint, b bigint")
     linked = connected_components(links)
     least_id = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -321,9 +401,12 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """docs without near-duplicates: of each component the row of least doc_id stays (null ids come last), and all rows
     without shingles. Rows that repeat an id and a text count as copies, one stays.
     """
-    marked = jaccard_components(docs, n, num, den)
+    found = cut(jaccard_components(docs, n, num, den).select("doc_id", "tag", "n_shingles", "root"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tag"))
-    chosen = marked.where("n_shingles > 0").groupBy("root").agg(F.min_by("tag", order).alias("tag")).select("tag")
-    bare = marked.where("n_shingles = 0").select("tag").distinct()
+    chosen = found.where("n_shingles > 0").groupBy("root").agg(F.min_by("tag", order).alias("tag")).select("tag")
+    kept = chosen.unionByName(found.where("n_shingles = 0").select("tag").distinct())
+    times = found.groupBy("tag").agg(F.count("*").alias("times")).join(kept.withColumn("kept", F.lit(True)), "tag", "left")
+    doubtful = maybe(marked(times.where("kept IS NULL OR times > 1").select("tag")))  # all others stay, and needn't move
     held = docs.select(F.xxhash64(_id(), _text()).alias("tag"), F.struct(*docs.columns).alias("row"))  # no name of docs clashes in here
-    return held.join(chosen.unionByName(bare), "tag", "left_semi").dropDuplicates(["tag"]).select("row.*")
+    moved = held.where(doubtful).join(kept, "tag", "left_semi").dropDuplicates(["tag"])
+    return held.where(~doubtful).unionByName(moved).select("row.*")

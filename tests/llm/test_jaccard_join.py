@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -90,3 +91,40 @@ def test_bitmap_bound_is_an_upper_bound():
         for j in range(40):
             differ = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
             assert len(np.intersect1d(sets[i], sets[j])) <= (len(sets[i]) + len(sets[j]) - differ) / 2
+
+
+def test_texts_without_copies_are_not_moved(spark, docs):
+    """What shuffles leave on disk, beside the texts: keys of some bytes, and the texts of the few that may be copies."""
+    r = random.Random(6)
+    rows = [(i, " ".join("%07x" % r.randrange(1 << 28) for _ in range(300))) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " tail") for i in range(20)] + rows[:5]
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for top in manager.localDirsString() for d, _, names in os.walk(top) for f in names if f.startswith("shuffle"))
+    table = docs(rows).repartition(4).cache()
+    assert table.count() == 2025
+    before = held()
+    assert {x.doc_id for x in J.keep_one(table).collect()} == set(range(2000))
+    moved = held() - before
+    assert moved < 0.75 * sum(len(t) for _, t in rows)
+
+
+def test_packed_keys():
+    r = np.random.default_rng(3)
+    for n, ranges in ((0, 4), (1, 1), (3, 4096), (5000, 7)):
+        keys, nodes = r.integers(-(2**63), 2**63 - 1, n), r.integers(-(2**63), 2**63 - 1, n)
+        keys[: n // 2] = keys[n // 2 : n // 2 * 2]
+        width, got = -(-(1 << J.KEY_BITS) // ranges), []
+        for of, data in J.packed(keys, nodes, ranges):
+            assert 0 <= of < ranges
+            a, b = J.unpacked(data)
+            got += zip((a.astype(int) + of * width).tolist(), b.tolist(), strict=True)
+        assert sorted(got) == sorted((int(k) % 2**64 >> 64 - J.KEY_BITS, int(x) & J.SHORT) for k, x in zip(keys, nodes, strict=True))
+
+
+def test_marked_tags_are_always_found(spark, monkeypatch):
+    rows = spark.range(-3000, 3000).selectExpr("xxhash64(id) AS tag", "id")
+    some = rows.where("id % 50 = 0").select("tag")
+    for most, others in ((J.MOST_MARKS, 400), (J.LEAST_MARKS, 400), (256, 5880)):
+        monkeypatch.setattr(J, "MOST_MARKS", most)
+        found = {x.id for x in rows.where(J.maybe(J.marked(some))).collect()}
+        assert found >= set(range(-3000, 3000, 50)) and len(found) - 120 <= others
