@@ -1,6 +1,9 @@
 """Rows of equal columns are matched and scored once, and every one of them is in the results."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from pricetide.operators import geo as G
 from pricetide.operators import kinds as K
@@ -70,3 +73,26 @@ def test_places_of_copies(spark, monkeypatch):
     rows = spark.createDataFrame([(i, 10.0 + i % 2 / 100, 100.0) for i in range(60)] + [(60, 20.0, 100.0), (61, None, 100.0)], "id int, lat double, lng double")
     got = [(r.left_id, r.right_id) for r in G.within(rows, rows, 2).collect()]
     assert len(got) == len(set(got)) == 60 * 60 + 1 and seen == [5]
+
+
+def shuffled(spark, run):
+    """What run gives, and the bytes of shuffles that it leaves on disk."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for top in manager.localDirsString() for d, _, names in os.walk(top) for f in names if f.startswith("shuffle"))
+    before = held()
+    return run(), held() - before
+
+
+@pytest.mark.parametrize("block, least, most", [(64, 64, 400_000), (9, 4, 3_000_000)])
+def test_a_kind_has_the_blocks_that_its_rows_need(spark, monkeypatch, block, least, most):
+    """40 kinds of 50 rows on each side, all paired: blocks by the whole table's size would be a row each."""
+    monkeypatch.setattr(K, "BLOCK", block)
+    monkeypatch.setattr(K, "LEAST", least, raising=False)
+    sides = [spark.range(2000).selectExpr(f"id AS {key}", "id % 40 AS kind") for key in ("l", "r")]
+    pairs = spark.range(1600).selectExpr("id div 40 AS l", "id % 40 AS r", "id % 7 AS more")
+    every = K.expanded(pairs, *sides, "l", "r")
+    checked = F.sum((F.col("more") == (F.col("l") % 40 * 40 + F.col("r") % 40) % 7).cast("int"))
+    got, moved = shuffled(spark, lambda: every.agg(F.count("*"), F.count_distinct("l", "r"), checked).first())
+    assert tuple(got) == (2000 * 2000,) * 3
+    _, alone = shuffled(spark, lambda: every.write.format("noop").mode("overwrite").save())
+    assert alone < most
