@@ -96,3 +96,12 @@ def test_a_kind_has_the_blocks_that_its_rows_need(spark, monkeypatch, block, lea
     assert tuple(got) == (2000 * 2000,) * 3
     _, alone = shuffled(spark, lambda: every.write.format("noop").mode("overwrite").save())
     assert alone < most
+
+
+def test_candidates_of_many_copies_move_little(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 64)
+    monkeypatch.setattr(K, "LEAST", 64, raising=False)
+    names = ["red ring", "blue ring", "blue bolt"]
+    ext, ent = record(spark, "ext_id", names * 800), record(spark, "property_id", names * 800)
+    got, moved = shuffled(spark, lambda: R.candidates(ext, ent).count())
+    assert got == 7 * 800 * 800 and moved < 600_000
