@@ -105,3 +105,11 @@ def test_candidates_of_many_copies_move_little(spark, monkeypatch):
     ext, ent = record(spark, "ext_id", names * 800), record(spark, "property_id", names * 800)
     got, moved = shuffled(spark, lambda: R.candidates(ext, ent).count())
     assert got == 7 * 800 * 800 and moved < 600_000
+
+
+def test_places_of_many_copies_move_little(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 64)
+    monkeypatch.setattr(K, "LEAST", 64, raising=False)
+    rows = spark.range(3000).selectExpr("id", "10.0D + id % 3 / 100 AS lat", "100.0D AS lng")
+    got, moved = shuffled(spark, lambda: G.within(rows, rows, 2).count())
+    assert got == 7 * 1000 * 1000 and moved < 600_000
