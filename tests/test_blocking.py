@@ -1,5 +1,7 @@
 """Composite blocks: recall of vectors, oversized wards, what distance and vectors add to a score."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,26 @@ def test_the_best_of_composite_blocks(spark, monkeypatch):
     ranked = lambda df: sorted((p.ext_id, p["rank"], p.property_id, p.score) for p in df.select("ext_id", "rank", "property_id", "score").collect())
     assert ranked(B.ranked_composite(e, c, 2.0, 2, 150, 6)) == ranked(want)
     assert seen[0] < old.count() / 3
+
+
+def test_entities_move_once_however_many_kinds_ask(spark):
+    """60 kinds of extractions, each of which asks for all 600 entities: a row for each of both would be 18 MB of vectors."""
+    r = np.random.default_rng(5)
+    rows = lambda n, first: [(first + i, f"ring w{i % 60}", f"w{i}", 10 + i / 10, 100.0, [float(x) for x in r.normal(size=128)]) for i in range(n)]
+    e, c = (record(spark, key, rows(n, 1)).cache() for key, n in (("ext_id", 60), ("property_id", 600)))
+    assert (e.count(), c.count()) == (60, 600)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for top in manager.localDirsString() for d, _, names in os.walk(top) for f in names if f.startswith("shuffle"))
+    before, seen, step = held(), [], B._best_in_blocks
+
+    def spy(left, right, *rest):
+        found = step(left, right, *rest)
+        seen.append((found.count(), held() - before))
+        return found
+
+    B._best_in_blocks = spy
+    try:
+        B.ranked_composite(e, c, 2.0, 128, 1)
+    finally:
+        B._best_in_blocks = step
+    assert seen[0][0] >= 600 and seen[0][1] < 6_000_000
